@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, toxicity
+from . import bpe, decontaminate, langid, media, quality, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op9_quality_scores(spark, sf_dir):
 @query("op2_toxicity_grades")
 def op2_toxicity_grades(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_media_sequences")
+def op1_media_sequences(spark, sf_dir):
+    return media.report(table(spark, sf_dir, "documents"))
