@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, media, quality, toxicity
+from . import bpe, decontaminate, html_text, langid, media, quality, secrets, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,13 @@ def op5_language_id(spark, sf_dir):
 @query("op1_media_sequences")
 def op1_media_sequences(spark, sf_dir):
     return media.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_page_main_text")
+def op8_page_main_text(spark, sf_dir):
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
