@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, langid, media, quality, secrets, toxicity
+from . import bpe, decontaminate, html_text, jaccard, langid, media, quality, secrets, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8_page_main_text(spark, sf_dir):
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_jaccard_components")
+def op7_jaccard_components(spark, sf_dir):
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
