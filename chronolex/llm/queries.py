@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, jaccard, langid, media, quality, secrets, toxicity
+from . import bpe, decontaminate, html_text, jaccard, langid, media, quality, repeats, secrets, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op4_secret_scan(spark, sf_dir):
 @query("op7_jaccard_components")
 def op7_jaccard_components(spark, sf_dir):
     return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+@query("op6_repeat_removal")
+def op6_repeat_removal(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
