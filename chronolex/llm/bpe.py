@@ -161,10 +161,11 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts and digests of what ``encode`` returns."""
+def digests(encoded: DataFrame, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and digests of what ``encode`` returns, after the columns to ``carry``."""
     return encoded.select(
         key,
+        *carry,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
