@@ -21,7 +21,9 @@ smaller doc_id, or in the same document further left).
 
 A document is looked at in slices that overlap by LENGTH - 1 bytes, so length is
 no limit. Null text is empty; texts shorter than LENGTH lose nothing. Rows with
-equal ids do not precede each other. Rows with a null id come after all others.
+equal ids do not precede each other; if their texts differ, what is marked in
+one is cut out of all of them, as far as they reach. Rows with a null id come
+after all others.
 """
 
 from __future__ import annotations
@@ -269,10 +271,11 @@ def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
                     items = own.values
                     raw = data[at[k] : at[k + 1]].tobytes()
                     s, w = items.field("start").to_pylist(), items.field("windows").to_pylist()
-                    keys.append(np.asarray(items.field("key")))
-                    docs_ += [doc] * len(s)
-                    starts += s
-                    bodies += [raw[i : i + j + LENGTH - 1] for i, j in zip(s, w, strict=True)]
+                    fits = [i + j + LENGTH - 1 <= len(raw) for i, j in zip(s, w, strict=True)]
+                    keys.append(np.asarray(items.field("key"))[fits])
+                    docs_ += [doc] * sum(fits)
+                    starts += [i for i, ok in zip(s, fits, strict=True) if ok]
+                    bodies += [raw[i : i + j + LENGTH - 1] for i, j, ok in zip(s, w, fits, strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(docs_, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], ["key", "doc", "start", "body"])
 
     return texts.join(lists, "doc").mapInArrow(run, "key long, doc long, start int, body binary")
@@ -381,8 +384,8 @@ def strip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 for k, own in enumerate(part.column("list")):
                     raw = data[at[k] : at[k + 1]]
                     if own.is_valid and len(own.values):
-                        start = np.asarray(own.values.field("start")).astype(np.int64)
-                        end = start + np.asarray(own.values.field("windows")) + LENGTH - 1
+                        start = np.minimum(np.asarray(own.values.field("start")).astype(np.int64), len(raw))
+                        end = np.minimum(start + np.asarray(own.values.field("windows")) + LENGTH - 1, len(raw))
                         step = np.zeros(len(raw) + 1, np.int32)
                         np.add.at(step, start, 1)
                         np.add.at(step, end, -1)

@@ -36,8 +36,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "crf")
 LEAST_HEX = 24
+LEAST_VALUE = 6
 MOST_TEXTS = 20_000
-SYNTHETIC = 1500
+MOST_WINDOWED = 2000
+SYNTHETIC = 800
 REACH = 12
 SLOTS = 1 << 16
 O, B, I = 0, 1, 2
@@ -197,7 +199,8 @@ class Crf:
             span = None
             for k, t in enumerate([*self.viterbi(score[i:j]), O]):
                 if t != I and span:
-                    out[r].append((int(start[span[0]] - at[r]), int(end[span[1] - 1] - at[r])))
+                    if end[span[1] - 1] - start[span[0]] >= LEAST_VALUE:
+                        out[r].append((int(start[span[0]] - at[r]), int(end[span[1] - 1] - at[r])))
                     span = None
                 if t != O:
                     span = (span[0] if span else i + k, i + k + 1)
@@ -345,7 +348,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Crf:
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(key).type), pa.array(texts, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["id", "text", "starts", "ends"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = drawn.mapInArrow(run, f"id {kind}, text string, starts array<int>, ends array<int>").orderBy(F.xxhash64("id"), "text").limit(4000).collect()
+    rows = drawn.mapInArrow(run, f"id {kind}, text string, starts array<int>, ends array<int>").orderBy(F.xxhash64("id"), "text").limit(MOST_WINDOWED).collect()
     rng = random.Random(4)
     context = [w for r in rows[:300] if not r["starts"] for w in r["text"].split()[:40]]
     examples = [w for r in rows for w in window(r["text"], list(zip(r["starts"], r["ends"], strict=True)), rng)]
