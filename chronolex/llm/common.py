@@ -157,3 +157,50 @@ def importable(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
+BLOOM_BITS = 26
+BLOOM_CHUNK = 1 << 20
+
+
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.int64).view(np.uint64) ^ np.uint64(0xB10F))
+    size = np.uint64(64 - BLOOM_BITS)
+    return np.stack([h >> size, (h * BASE) >> size, (h * BYTE_CODE[7]) >> size]).astype(np.int64)
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of a column of longs, 2**BLOOM_BITS bits at any size; built in tasks and merged chunk by chunk."""
+
+    def rows(chunks: dict[int, np.ndarray]):
+        return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["chunk", "bits"])
+
+    def local(batches):
+        found = [np.unique(_bloom_places(np.asarray(b.column(0)))) for b in batches if b.num_rows]
+        if found:
+            place = np.unique(np.concatenate(found))
+            chunks = {}
+            for c in np.unique(place // BLOOM_CHUNK).tolist():
+                bits = np.zeros(BLOOM_CHUNK, bool)
+                bits[place[place // BLOOM_CHUNK == c] % BLOOM_CHUNK] = True
+                chunks[c] = np.packbits(bits)
+            yield rows(chunks)
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for c, raw in zip(b.column("chunk").to_pylist(), b.column("bits"), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint8)
+                total[c] = total[c] | x if c in total else x
+        yield rows(total)
+
+    out = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    parts = (1 << BLOOM_BITS) // BLOOM_CHUNK
+    for r in ids.mapInArrow(local, "chunk int, bits binary").repartition(parts, "chunk").mapInArrow(merge, "chunk int, bits binary").toLocalIterator():
+        out[r["chunk"] * BLOOM_CHUNK // 8 : (r["chunk"] + 1) * BLOOM_CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def maybe_in(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = _bloom_places(ids)
+    return ((filter_[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(axis=0)

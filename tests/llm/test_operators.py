@@ -113,7 +113,10 @@ def jaccard_truth(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def test_jaccard_equals_brute_force(spark, docs, edge, none):
+@pytest.mark.parametrize(("hot", "sets"), [(48, 1000), (3, 10), (1, 1000)])
+def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, sets):
+    monkeypatch.setattr(jaccard, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
     near = [(100 + k, " ".join(w if RNG.random() > 0.01 else "new" for w in PROSE.split())) for k in range(40)]
     grown = edge.filter("doc_id is not null").select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
     for table in (docs, grown):
