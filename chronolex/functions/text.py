@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..config import ACCENTED, IDENTITY_STOP_WORDS, TITLE_STOP_WORDS, UNACCENTED
 
 
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: inside nested lambdas an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def casefold(text: Column) -> Column:
     """Lower case with sharp s written out, as full case folding does for the letters in use."""
     return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
@@ -34,8 +39,12 @@ def identity_tokens(text: Column) -> Column:
 
 def windows(tokens: Column, width: int) -> Column:
     """Runs of ``width`` neighbouring tokens as strings; none for shorter arrays."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(tokens, i, width), " "))
-    return F.when(F.size(tokens) >= width, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.array_join(F.slice(t, i, width), " "))
+        return F.when(F.size(t) >= width, each).otherwise(F.array().cast("array<string>"))
+
+    return bind(tokens, runs)
 
 
 def collapse(text: Column) -> Column:

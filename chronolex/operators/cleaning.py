@@ -66,8 +66,8 @@ def chunks(pages: DataFrame, words: int = CONFIG.chunk_words, most: int = CONFIG
     grouped = F.aggregate(parts, zero, step, lambda state: F.concat(state["out"], F.array(F.array_join(state["held"], " "))))
     rows = pages.filter("text <> ''").select("doc_id", "page", "text", grouped.alias("parts"))
     # cleaned text has single spaces, so a passage starts one space after the last one's end
-    lengths = F.transform("parts", lambda p: F.char_length(p))
-    starts = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice(lengths, 1, i - 1), F.lit(0), lambda a, x: a + x + 1))
+    sums = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(p) + 1)))
+    starts = F.slice(sums, F.lit(1), F.size("parts"))
     out = rows.select("doc_id", "page", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), starts.alias("start"))).alias("at", "c"))
     return out.select("doc_id", "page", (F.col("at") + 1).alias("chunk"), F.col("c.start").alias("start"), (F.col("c.start") + F.char_length("c.text")).alias("end"), F.col("c.text").alias("text"))
 

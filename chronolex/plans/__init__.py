@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import alignment, retrieval, text  # noqa: F401
+from . import alignment, evaluation, retrieval, text  # noqa: F401

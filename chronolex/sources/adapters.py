@@ -58,8 +58,8 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a source: runs of lines, numbered from 1."""
     n = CONFIG.lines_per_page
-    lines = F.split("text", "\n")
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(lines, i * n + 1, n), "\n"))
+    cut = lambda lines: F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / n).cast("int")), lambda i: F.array_join(F.slice(lines, i * n + 1, n), "\n"))
+    runs = T.bind(F.split("text", "\n"), cut)
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(runs).alias("at", "raw_text")).select("doc_id", (F.col("at") + 1).alias("page"), "raw_text")
 
 
