@@ -149,10 +149,16 @@ def text_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+BATCH_BYTES = 8 << 20
+"""Bytes of an Arrow batch: rows may hold whole texts or sets, so a count of rows bounds nothing."""
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and get batches of bounded size."""
     import os
 
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -38,8 +38,8 @@ KINDS = ("assign", "access", "hex", "crf")
 LEAST_HEX = 24
 LEAST_VALUE = 6
 MOST_TEXTS = 20_000
-MOST_WINDOWED = 2000
-SYNTHETIC = 800
+MOST_WINDOWED = 1200
+SYNTHETIC = 500
 REACH = 12
 SLOTS = 1 << 16
 O, B, I = 0, 1, 2
@@ -279,7 +279,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, decay
         where.append(own[there])
         cell.append(i * width + np.nonzero(there)[0])
     known, col = np.unique(np.concatenate(where), return_inverse=True)
-    cell = np.concatenate(cell)
+    cell, col = np.concatenate(cell).astype(np.int32), col.astype(np.int32)
+    del where
     flat = np.zeros((len(known), 3))
     pairs = np.zeros((3, 3))
     moments = [np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(pairs), np.zeros_like(pairs)]
@@ -313,8 +314,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, decay
             both += (p * real[:, k, None, None]).sum(axis=0)
         both[O] += guess[:, 0].sum(axis=0)
         both[:, O] += guess[np.arange(n), last].sum(axis=0)
-        diff = (guess - truth).reshape(-1, 3)[cell]
-        g = np.column_stack([np.bincount(col, diff[:, y], len(known)) for y in range(3)]) / n + decay * flat
+        diff = (guess - truth).reshape(-1, 3)
+        g = np.column_stack([np.bincount(col, diff[cell, y], len(known)) for y in range(3)]) / n + decay * flat
         g_pairs = (both - seen) / n + decay * pairs
         for x, grad, m, v in ((flat, g, moments[0], moments[1]), (pairs, g_pairs, moments[2], moments[3])):
             m += 0.1 * (grad - m)
