@@ -185,7 +185,7 @@ def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple
         code = code << 9 | np.where(left >= k, padded[k : k + n], 0)
     at64 = None
     while True:
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         sorted_ = code[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
