@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, jaccard, langid, media, quality, repeats, secrets, toxicity
+from . import bpe, decontaminate, html_text, jaccard, langid, media, oracles, quality, repeats, secrets, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,7 @@ def op3_bpe_round_trip(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
-@query("op10_benchmark_decontamination")
+@query("op10_benchmark_decontamination", oracles.DECONTAMINATION)
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -79,11 +79,11 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-@query("op7_jaccard_components")
+@query("op7_jaccard_components", oracles.JACCARD)
 def op7_jaccard_components(spark, sf_dir):
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
-@query("op6_repeat_removal")
+@query("op6_repeat_removal", oracles.REPEATS)
 def op6_repeat_removal(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
