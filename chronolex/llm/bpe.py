@@ -12,6 +12,7 @@ are encoded alike. Other columns of the table are ignored.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from itertools import chain
 
@@ -60,15 +61,17 @@ class WordBpe:
         self.last = np.array([vocab[c + self.suffix] for c in letters], np.int32)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.find = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
-        self.blank = regex.compile(r"\p{White_Space}+")
+        # the same pattern for lower-case ASCII, in the faster module
+        plain = split.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\s\p{L}\p{N}", r" \t-\ra-z0-9")
+        self.find_ascii = re.compile(plain).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """Words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(self.blank.sub(" ", text).lower())
+        """Words of a text without special tokens. White space parts words and is dropped, so runs of it need no folding."""
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word, by merge rounds over all of them at once."""
