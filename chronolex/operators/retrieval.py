@@ -71,15 +71,16 @@ def bm25(chunks: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
     the terms in use before anything is shuffled by term.
     """
     stats = lengths(chunks, "doc_id", "decision_year")
-    whole = stats.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
+    whole = stats.agg(F.struct(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl")).alias("w")).scalar()
     used = terms.select("term").distinct()
     # postings per chunk need no shuffle: a chunk's tokens are in its row
     tokens = chunks.select("chunk_id", "doc_id", "decision_year", T.index_tokens(F.col("text")).alias("tokens"))
     hits = tokens.select("chunk_id", "doc_id", "decision_year", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(used, "term", "left_semi")
     tf = hits.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_id").alias("doc_id"), F.first("decision_year").alias("decision_year"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term").withColumn("whole", whole).select("*", "whole.*")
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").join(F.broadcast(whole)).withColumn("idf", F.when(idf <= 0, CONFIG.least_idf).otherwise(idf))  # one row is broadcast
+    weights = weights.withColumn("idf", F.when(idf <= 0, CONFIG.least_idf).otherwise(idf))
     part = F.col("weight") * F.col("idf") * F.col("tf") * (CONFIG.k1 + 1) / (F.col("tf") + CONFIG.k1 * (1 - CONFIG.b + CONFIG.b * F.col("dl") / F.col("avgdl")))
     scored = tf.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.first("doc_id").alias("doc_id"), F.first("decision_year").alias("decision_year"))
     return scored.join(queries.select("query_id", "query_year"), "query_id")

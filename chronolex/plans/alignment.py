@@ -40,10 +40,15 @@ GUARD = f"shared >= {CONFIG.shared_phrases} AND distinct_shared / total >= {CONF
 
 @register("p19_temporal_eligibility", having("sources", "queries") + f" SELECT query_id, {STATUS.format('query_year', 'decision_year')} AS status, count(*) AS n FROM queries, sources GROUP BY ALL")
 def p19_temporal_eligibility(spark, sf_dir):
-    # the status depends on years alone, so sources are counted by year before the queries meet them
-    years = sources(spark, sf_dir).groupBy("decision_year").agg(F.count("*").alias("n"))
-    met = queries(spark, sf_dir).select("query_id", "query_year").join(F.broadcast(years))  # one row per year
-    return met.withColumn("status", temporal.status(F.col("query_year"), F.col("decision_year"))).groupBy("query_id", "status").agg(F.sum("n").alias("n"))
+    # the status depends on years alone: sources are counted by year, running sums tell what is earlier, queries join on their year
+    s, q = sources(spark, sf_dir), queries(spark, sf_dir)
+    dated = s.filter("decision_year is not null").groupBy(F.col("decision_year").alias("y")).agg(F.count("*").alias("n"))
+    years = dated.unionByName(q.select(F.col("query_year").alias("y"), F.lit(0).cast("long").alias("n"))).groupBy("y").agg(F.sum("n").alias("n"))
+    run = Window.orderBy("y")  # one row per year
+    counted = years.select("y", F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("eligible"), F.col("n").alias("same_year_unresolved"), F.coalesce(F.sum("n").over(run.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("ineligible"))
+    missing = s.agg(F.sum(F.col("decision_year").isNull().cast("long"))).scalar()
+    wide = q.join(counted, F.col("query_year") == F.col("y")).withColumn("missing_temporal_metadata", missing)
+    return wide.unpivot(["query_id"], list(temporal.STATUSES), "status", "n").filter("n > 0")
 
 
 @register("p27_years_of_text", "SELECT d, CASE WHEN regexp_matches(trim(d), '^\\d{4}') THEN substring(trim(d), 1, 4)::INT ELSE TRY_CAST(nullif(regexp_extract(trim(d), '^\\d{1,2}[-/]\\d{1,2}[-/](\\d{4})$', 1), '') AS INT) END AS y, count(*) AS n FROM (SELECT strftime(o_orderdate, '%d-%m-%Y') AS d FROM orders UNION ALL SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders) GROUP BY d")

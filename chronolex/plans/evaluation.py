@@ -110,7 +110,7 @@ def a15_retrieval_metrics(spark, sf_dir):
     some = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     n = judged.agg(F.count("*").alias("cases"), some(F.col("rank") <= 5).alias("at5"), some(F.col("rank").isNotNull()).alias("atk"), some(F.col("bucket") == "retrieved_and_selected").alias("hit"))
     m = ev.join(judged.select("query_id"), "query_id", "left_semi").agg(F.count("*").alias("shown"))
-    both = n.join(F.broadcast(m))  # one row each
+    both = n.withColumn("shown", m.scalar())
     c = F.col
     return both.select("cases", M.ratio(c("at5"), c("cases")).alias("recall_5"), M.ratio(c("atk"), c("cases")).alias("recall_k"), M.ratio(c("hit"), c("shown")).alias("precision"), M.ratio(c("hit"), c("cases")).alias("recall"))
 
