@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import alignment, evaluation, retrieval, tables, text  # noqa: F401
+from . import alignment, audits, evaluation, retrieval, tables, text  # noqa: F401
