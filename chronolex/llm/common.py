@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Text handled at once inside a batch; a longer document is its own slice."""
 
 
@@ -153,12 +153,18 @@ BATCH_BYTES = 8 << 20
 """Bytes of an Arrow batch: rows may hold whole texts or sets, so a count of rows bounds nothing."""
 
 
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, and get batches of bounded size."""
     import os
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    # workers give large arrays back to the system as soon as they are freed, as idle ones are kept by the executor
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
