@@ -12,8 +12,18 @@ from ..config import CONFIG
 from ..functions import text as T
 
 
+TEXT_TABLES = ("documents", "pages")
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it lies. Only a small text table in fewer files than there are cores is dealt out anew: a file of one
+    row group is one task however many cores wait, and texts cost far more than moving a few megabytes."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
 def year():
