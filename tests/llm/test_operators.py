@@ -324,7 +324,8 @@ def test_kneser_ney_sums_to_one(spark):
         for c in context:
             code = code << np.uint64(16) | np.uint64(ord(c))
         p = np.exp(model.log_prob((code << np.uint64(16)) | units)).sum()
-        assert 0.98 < p < 1.001
+        # what is missing is kept for characters that were never seen
+        assert 1 - np.exp(model.floor[0]) - 1e-3 < p < 1.001
 
 
 def test_every_operator_has_a_query():
