@@ -40,10 +40,10 @@ from .common import RangeHash, materialise, mix, slices
 LENGTH = 100
 K = 32
 SPAN = LENGTH - K + 1
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 HOT = 5000
 LAST = 2**63 - 1
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def window_minima(h: np.ndarray, span: int) -> np.ndarray:
