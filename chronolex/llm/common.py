@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.adapters import table  # noqa: F401
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 """Text handled at once inside a batch; a longer document is its own slice."""
 
 
@@ -147,7 +147,7 @@ def text_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 """Bytes of an Arrow batch: rows may hold whole texts or sets, so a count of rows bounds nothing."""
 
 

@@ -30,7 +30,7 @@ from .common import LOWER, RangeHash, materialise, slices, words
 
 WINDOW = 10
 MOST_BROADCAST = 500_000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
