@@ -328,5 +328,20 @@ def test_kneser_ney_sums_to_one(spark):
         assert 1 - np.exp(model.floor[0]) - 1e-3 < p < 1.001
 
 
+def test_language_model_keeps_every_gram(spark, monkeypatch):
+    """One gram in over two million stays, and chunks are scored as the whole model scores."""
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 1 << 20)
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 4 < 2][:240]
+    rows = [(k, "abra cadabra " * 1500 if k != ids[0] else "qxyj", lang) for k in ids for lang in ("xx", "yy")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rare = sum(ord(c) << 16 * k for k, c in enumerate(reversed("qxyj")))
+    assert rare in model.grams[4][0].tolist() and rare >> 16 in model.contexts[4][0].tolist()
+    texts = ["qxyj", "cadabra qx", "never seen ü", "", None]
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["cross"] for r in langid.crosses(langid.chunks(asked), model, asked.select("doc_id").schema).collect()}
+    want = model.entropies([t or "" for t in texts])[0]
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-4)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES) == list(range(1, 11))
