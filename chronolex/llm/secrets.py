@@ -4,7 +4,8 @@ Three patterns give the base spans. A CRF tags word and punctuation tokens as
 secret begin, inside or outside from the token's shape, the words before and
 after it and features of the whole file; its spans are added as kind ``crf``
 where they touch no base span. The CRF is learned by exact forward-backward
-gradients from base spans in a bounded, hash-drawn sample of texts and from
+gradients from base spans in a bounded, hash-drawn sample of texts, whose
+windows are cut from the whole text with the whole text's features, and from
 SYNTHETIC generated windows with other key words and value forms.
 
 Decoding is Viterbi over whole texts. A token whose outside score leads by more
@@ -208,31 +209,31 @@ class Crf:
 
 
 def window(text: str, spans: list[tuple[int, int]], rng: random.Random) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of 2 * REACH + 1 tokens, as (slots, tags): around each value, and two elsewhere."""
+    """Training windows of 2 * REACH + 1 tokens, as (slots, tags): around values, at most 8 drawn from all, and two elsewhere. File features are the whole text's."""
     data = np.frombuffer(text.encode(), np.uint8)
     start, end, _, codes = tokens(data, np.array([0, len(data)]))
     n = len(start)
     if not n:
         return []
     tags = np.zeros(n, np.int64)
+    at = np.arange(len(text) + 1) if text.isascii() else np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # byte of each character
     for s, e in spans:
-        s, e = len(text[:s].encode()), len(text[:e].encode())
-        own = np.flatnonzero((end > s) & (start < e))
-        tags[own] = I
-        tags[own[:1]] = B
+        i, j = np.searchsorted(end, at[s], "right"), np.searchsorted(start, at[e], "left")
+        tags[i:j] = I
+        tags[i : min(i + 1, j)] = B
     extra = file_slots(data, maybe(text), n)
-    seen = np.full((n, PARTS * len(OFFSETS) + len(extra)), -1)
-    seen[:, -len(extra) :] = extra
-    for k, offset in enumerate(OFFSETS):
-        own = slots_of(codes, offset)
-        here = slice(max(0, -offset), n - max(0, offset))
-        there = slice(max(0, offset), n - max(0, -offset))
-        if n > abs(offset):
-            seen[here, PARTS * k : PARTS * (k + 1)] = own[there]
+    values = np.flatnonzero(tags == B).tolist()
     out = []
-    for mid in [*np.flatnonzero(tags == B)[:8].tolist(), rng.randrange(n), rng.randrange(n)]:
+    for mid in [*(rng.sample(values, 8) if len(values) > 8 else values), rng.randrange(n), rng.randrange(n)]:
         lo = max(0, min(mid - REACH, n - 2 * REACH - 1))
-        out.append((seen[lo : lo + 2 * REACH + 1], tags[lo : lo + 2 * REACH + 1]))
+        hi = min(lo + 2 * REACH + 1, n)
+        seen = np.full((hi - lo, PARTS * len(OFFSETS) + len(extra)), -1, np.int32)
+        seen[:, -len(extra) :] = extra
+        for k, offset in enumerate(OFFSETS):
+            a, b = max(lo + offset, 0), min(hi + offset, n)
+            if b > a:
+                seen[a - offset - lo : b - offset - lo, PARTS * k : PARTS * (k + 1)] = slots_of(codes[a:b], offset)
+        out.append((seen, tags[lo:hi]))
     return out
 
 
@@ -326,33 +327,33 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, decay
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Crf:
-    """Learn from base spans in at most about MOST_TEXTS hash-drawn texts: windows around values and two others per text, with or without values."""
+def drawn_windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, text, found, slots, tags): the windows of at most about MOST_TEXTS hash-drawn texts, cut from whole texts where they lie; ``text`` is some first words of one without spans."""
     share = min(1.0, MOST_TEXTS / max(docs.count(), 1))
     drawn = docs.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(share * 1_000_000))).select(key, text)
 
     def run(batches):
         for batch in batches:
-            ids, starts, ends, texts = [], [], [], []
+            rows = []
             for i, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True):
                 found = base_spans(t)
                 if found or zlib.crc32(str(i).encode()) % 8 == 0:
-                    # windows need the surroundings only
-                    lo = max(0, found[0][0] - 400) if found else 0
-                    hi = found[-1][2] + 400 if found else 4000
-                    near = [x for x in found if x[4] <= lo + 8000]
-                    hi = min(hi, lo + 8400)
-                    ids.append(i)
-                    texts.append(t[lo:hi])
-                    starts.append([x[3] - lo for x in near])
-                    ends.append([x[4] - lo for x in near])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(key).type), pa.array(texts, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["id", "text", "starts", "ends"])
+                    own = window(t, [(a, b) for _, _, _, a, b in found], random.Random(zlib.crc32(t.encode())))
+                    rows.append((i, " ".join(t[:4000].split()[:40]), bool(found), [x.astype(np.int32).tobytes() for x, _ in own], [y.astype(np.int8).tobytes() for _, y in own]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [batch.column(key).type, pa.string(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "text", "found", "slots", "tags"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = drawn.mapInArrow(run, f"id {kind}, text string, starts array<int>, ends array<int>").orderBy(F.xxhash64("id"), "text").limit(MOST_WINDOWED).collect()
+    return drawn.mapInArrow(run, f"id {kind}, text string, found boolean, slots array<binary>, tags array<binary>")
+
+
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Crf:
+    """Learn from base spans in hash-drawn texts: windows around values and two others per text, with or without values."""
+    rows = drawn_windows(docs, text, key).orderBy(F.xxhash64("id"), "text", "slots").limit(MOST_WINDOWED).collect()
     rng = random.Random(4)
-    context = [w for r in rows[:300] if not r["starts"] for w in r["text"].split()[:40]]
-    examples = [w for r in rows for w in window(r["text"], list(zip(r["starts"], r["ends"], strict=True)), rng)]
+    context = [w for r in rows[:300] if not r["found"] for w in r["text"].split()]
+    examples = [(np.frombuffer(x, np.int32).reshape(len(y), -1), np.frombuffer(y, np.int8)) for r in rows for x, y in zip(r["slots"], r["tags"], strict=True)]
     examples += [w for t, s in synthetic(context, rng) for w in window(t, s, rng)]
     return train(examples)
 

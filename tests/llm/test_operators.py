@@ -202,6 +202,19 @@ def test_crf_adds_spans_and_prunes_exactly():
     assert model.tag(data, at, keyed) == found
 
 
+def test_crf_learns_long_texts_whole(spark, monkeypatch):
+    """Windows around late values, with the size and key words of the whole text."""
+    text = 'token = "04dbebab91ab85687d33" ' + "é plain words of a line " * 900 + ' password: "a1b2c3d4e5f6a7b8" end'
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = secrets.file_slots(data, True, len(secrets.tokens(data, np.array([0, len(data)]))[0]))
+    seen = []
+    monkeypatch.setattr(secrets, "synthetic", lambda *_: [])
+    monkeypatch.setattr(secrets, "train", lambda examples: seen.extend(examples))
+    secrets.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert sum((tags == secrets.B).any() for _, tags in seen) >= 2
+    assert all((slots[:, -3:] == whole).all() for slots, _ in seen)
+
+
 def test_redact(spark):
     table = spark.createDataFrame([(1, "é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" b"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(table, secrets.Crf()).collect()} == {1: "é [SECRET]\" b", 2: None}
