@@ -39,8 +39,8 @@ KINDS = ("assign", "access", "hex", "crf")
 LEAST_HEX = 24
 LEAST_VALUE = 6
 MOST_TEXTS = 20_000
-MOST_WINDOWED = 1200
-SYNTHETIC = 500
+MOST_WINDOWED = 4000
+SYNTHETIC = 1500
 REACH = 12
 SLOTS = 1 << 16
 O, B, I = 0, 1, 2
@@ -265,40 +265,40 @@ def synthetic(context: list[str], rng: random.Random) -> list[tuple[str, list[tu
     return out
 
 
+BLOCK_WINDOWS = 1024
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, decay: float = 3e-4) -> Crf:
-    """Maximum likelihood by forward-backward over all windows at once (Adam)."""
+    """Maximum likelihood by forward-backward over all windows (Adam); each gradient is summed over blocks of BLOCK_WINDOWS, so that memory holds little more than the slots."""
     model = Crf()
     if not examples:
         return model
-    n, width = len(examples), max(len(t) for _, t in examples)
-    gold = np.zeros((n, width), np.int64)
+    n, width, many = len(examples), max(len(t) for _, t in examples), examples[0][0].shape[1]
+    gold = np.zeros((n, width), np.int8)
     real = np.zeros((n, width), bool)
-    cell, where = [], []
+    slot = np.full((n, width, many), SLOTS, np.int32)  # the last row of the weights stands for no token
     for i, (own, tags) in enumerate(examples):
         gold[i, : len(tags)], real[i, : len(tags)] = tags, True
-        there = own >= 0
-        where.append(own[there])
-        cell.append(i * width + np.nonzero(there)[0])
-    known, col = np.unique(np.concatenate(where), return_inverse=True)
-    cell, col = np.concatenate(cell).astype(np.int32), col.astype(np.int32)
-    del where
-    flat = np.zeros((len(known), 3))
+        slot[i, : len(tags)] = np.where(own >= 0, own, SLOTS)
+    examples.clear()
+    flat = np.zeros((SLOTS + 1, 3))
     pairs = np.zeros((3, 3))
     moments = [np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(pairs), np.zeros_like(pairs)]
     one = np.eye(3)
-    truth = one[gold] * real[..., None]
     seen = np.zeros((3, 3))
-    before = np.concatenate([np.zeros((n, 1), np.int64), gold[:, :-1]], axis=1)
+    before = np.concatenate([np.zeros((n, 1), np.int8), gold[:, :-1]], axis=1)
     np.add.at(seen, (before[real], gold[real]), 1)
-    last = real.sum(axis=1) - 1
-    np.add.at(seen, (gold[np.arange(n), last], np.zeros(n, np.int64)), 1)
+    np.add.at(seen, (gold[np.arange(n), real.sum(axis=1) - 1], np.zeros(n, np.int8)), 1)
 
     def lse(x, axis):
         m = x.max(axis=axis, keepdims=True)
         return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
 
-    for t in range(1, rounds + 1):
-        score = np.column_stack([np.bincount(cell, flat[col, y], n * width) for y in range(3)]).reshape(n, width, 3)
+    def gradient(slot, gold, real):
+        n = len(slot)
+        score = np.zeros((n, width, 3))
+        for k in range(many):
+            score += flat[slot[:, :, k]]
         ahead = np.zeros((n, width, 3))
         ahead[:, 0] = score[:, 0] + pairs[O]
         for k in range(1, width):
@@ -314,15 +314,25 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, decay
             p = np.exp(ahead[:, k - 1, :, None] + pairs + (score[:, k] + back[:, k])[:, None, :] - total[:, None, None])
             both += (p * real[:, k, None, None]).sum(axis=0)
         both[O] += guess[:, 0].sum(axis=0)
-        both[:, O] += guess[np.arange(n), last].sum(axis=0)
-        diff = (guess - truth).reshape(-1, 3)
-        g = np.column_stack([np.bincount(col, diff[cell, y], len(known)) for y in range(3)]) / n + decay * flat
-        g_pairs = (both - seen) / n + decay * pairs
+        both[:, O] += guess[np.arange(n), real.sum(axis=1) - 1].sum(axis=0)
+        diff = (guess - one[gold] * real[..., None]).reshape(-1, 3)
+        own = slot.reshape(-1)
+        return np.column_stack([np.bincount(own, np.repeat(diff[:, y], many), SLOTS + 1) for y in range(3)]), both
+
+    for t in range(1, rounds + 1):
+        g, both = np.zeros_like(flat), np.zeros((3, 3))
+        for i in range(0, n, BLOCK_WINDOWS):
+            some = slice(i, i + BLOCK_WINDOWS)
+            more, pair = gradient(slot[some], gold[some], real[some])
+            g += more
+            both += pair
+        g[SLOTS] = 0
+        g, g_pairs = g / n + decay * flat, (both - seen) / n + decay * pairs
         for x, grad, m, v in ((flat, g, moments[0], moments[1]), (pairs, g_pairs, moments[2], moments[3])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad**2 - v)
             x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    model.weights[known] = flat
+    model.weights[:] = flat[:SLOTS]
     model.pairs = pairs
     return model
 

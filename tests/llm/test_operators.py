@@ -215,6 +215,16 @@ def test_crf_learns_long_texts_whole(spark, monkeypatch):
     assert all((slots[:, -3:] == whole).all() for slots, _ in seen)
 
 
+def test_crf_blocks_add_up(monkeypatch):
+    rng = random.Random(5)
+    examples = [w for t, s in secrets.synthetic([], rng)[:60] for w in secrets.window(t, s, rng)]
+    whole = secrets.train(list(examples), rounds=5)
+    monkeypatch.setattr(secrets, "BLOCK_WINDOWS", 7)
+    parts = secrets.train(list(examples), rounds=5)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-5) and np.allclose(whole.pairs, parts.pairs)
+    assert secrets.MOST_WINDOWED == 4000 and secrets.SYNTHETIC == 1500
+
+
 def test_redact(spark):
     table = spark.createDataFrame([(1, "é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" b"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(table, secrets.Crf()).collect()} == {1: "é [SECRET]\" b", 2: None}
