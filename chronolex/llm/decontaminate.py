@@ -13,6 +13,9 @@ The vocabulary and windows of the test set go to every executor only while
 they are at most MOST_BROADCAST windows; a larger test set is searched in
 blocks of that many windows over the same stored index.
 
+Rows are told apart by segment and place in it, never by id: repeated, clashing
+and null ids stay rows of their own.
+
 Null or wordless texts have no words and are never hit; repeated items are
 each reported; items without words match nothing. Extra columns are ignored.
 """
@@ -20,9 +23,11 @@ each reported; items without words match nothing. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,31 +65,47 @@ def windows_of(items: list[tuple[int, str | None]], size: int = WINDOW) -> tuple
     return out, length, owner
 
 
-INDEX_SCHEMA = "doc_ids binary, n_words binary, terms binary, lists binary, positions binary"
+def window_blocks(items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``windows_of`` all items in blocks of MOST_BROADCAST windows; a long item may be cut between two of its windows."""
+    held, n = [windows_of([])], 0
+    for row in items:
+        held.append(windows_of([row]))
+        n += len(held[-1][1])
+        while n > MOST_BROADCAST:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            yield tuple(x[:MOST_BROADCAST] for x in whole)
+            held, n = [tuple(x[MOST_BROADCAST:] for x in whole)], n - MOST_BROADCAST
+    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+INDEX_SCHEMA = "segment long, doc_ids binary, named binary, n_words binary, terms binary, lists binary, positions binary"
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per segment: ids and word counts of its documents, and for each term of the sorted ``vocabulary``
     found there the positions of its words. Positions count the words of the segment, with a gap of WINDOW between documents."""
 
-    def segment(ids, counts, where, term):
+    def segment(name, ids, named, counts, where, term):
         order = np.lexsort((where, term))
         term, where = term[order], where[order]
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         lists = np.r_[first, len(term)].astype(np.int64)
-        raw = [np.concatenate(ids).astype(np.int64), np.concatenate(counts).astype(np.int64), term[first].astype(np.int32), lists, where.astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in raw], ["doc_ids", "n_words", "terms", "lists", "positions"])
+        raw = [np.concatenate(ids).astype(np.int64), np.concatenate(named), np.concatenate(counts).astype(np.int64), term[first].astype(np.int32), lists, where.astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in raw]], ["segment", "doc_ids", "named", "n_words", "terms", "lists", "positions"])
 
     def run(batches):
         def empty():
-            return [], [], [], [], 0, 0
+            return [], [], [], [], [], 0, 0
 
-        ids, counts, where, term, base, size = empty()
+        name = TaskContext.get().partitionId() << 32
+        ids, named, counts, where, term, base, size = empty()
         for batch in batches:
             for part, data, at in slices(batch, text):
                 hashes, row = terms(data, at)
                 n = np.bincount(row, minlength=part.num_rows)
-                ids.append(part.column(key).to_numpy(zero_copy_only=False))
+                own = part.column(key)
+                ids.append(own.fill_null(0).to_numpy(zero_copy_only=False))
+                named.append(own.is_valid().to_numpy(zero_copy_only=False))
                 counts.append(n)
                 position = np.arange(len(hashes)) + row * WINDOW + base
                 base += len(hashes) + part.num_rows * WINDOW
@@ -94,12 +115,13 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, text: str = "text", key
                 term.append(slot[hit].astype(np.int32))
                 size += len(data)
                 if size > SEGMENT_BYTES:
-                    yield segment(ids, counts, np.concatenate(where), np.concatenate(term))
-                    ids, counts, where, term, base, size = empty()
+                    yield segment(name, ids, named, counts, np.concatenate(where), np.concatenate(term))
+                    name += 1
+                    ids, named, counts, where, term, base, size = empty()
         if ids:
-            yield segment(ids, counts, np.concatenate(where), np.concatenate(term))
+            yield segment(name, ids, named, counts, np.concatenate(where), np.concatenate(term))
 
-    return docs.filter(F.col(key).isNotNull()).select(key, text).mapInArrow(run, INDEX_SCHEMA)
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, INDEX_SCHEMA)
 
 
 def _near(positions: np.ndarray, starts: np.ndarray, slop: int) -> np.ndarray:
@@ -136,7 +158,7 @@ def search_segment(seg: dict, windows: np.ndarray, length: np.ndarray, slop: int
 
 
 def search(index: DataFrame, windows: np.ndarray, length: np.ndarray, owner: np.ndarray, slop: int = 0, key: str = "doc_id") -> DataFrame:
-    """Per document of the index: n_words, hit (starts and lengths of covered words) and the items that occur."""
+    """Per row of the index, named by segment and place: id, n_words, hit (starts and lengths of covered words) and the items that occur."""
 
     def run(batches):
         for batch in batches:
@@ -160,22 +182,16 @@ def search(index: DataFrame, windows: np.ndarray, length: np.ndarray, owner: np.
                     else:
                         spans[r].append({"start": a, "stop": b})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(counts), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64()))],
-                    [key, "n_words", "spans", "items"],
+                    [pa.array(np.full(len(ids), seg["segment"])), pa.array(np.arange(len(ids))), pa.array(ids, mask=~np.frombuffer(seg["named"], bool)), pa.array(counts), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([sorted(x, key=str) for x in items], pa.list_(pa.int64()))],
+                    ["segment", "place", key, "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(run, f"{key} long, n_words long, spans array<struct<start: long, stop: long>>, items array<long>")
+    return index.mapInArrow(run, f"segment long, place long, {key} long, n_words long, spans array<struct<start: long, stop: long>>, items array<long>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, slop: int = 0, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """Documents with the word spans that test windows cover and the items they come from."""
-    blocks, block = [], []
-    for row in benchmark.filter(F.col(item).isNotNull()).select(item, "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        if sum(len(t or "") for _, t in block[-1:]) and len(block) >= MOST_BROADCAST // 64:
-            blocks.append(windows_of(block))
-            block = []
-    blocks.append(windows_of(block))
+    blocks = list(window_blocks((r[0], r[1]) for r in benchmark.filter(F.col(item).isNotNull()).select(item, "text").toLocalIterator()))
     vocabulary = np.unique(np.concatenate([w[np.arange(WINDOW) < n[:, None]] for w, n, _ in blocks]))
     index = materialise(build_index(docs, vocabulary, text, key), "postings")
     out = None
@@ -184,8 +200,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, slop: int = 0, text: st
         part = search(index, slots, length, owner, slop, key)
         out = part if out is None else out.unionByName(part)
     if len(blocks) == 1:
-        return out
-    return out.groupBy(key).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return out.drop("segment", "place")
+    return out.groupBy("segment", "place").agg(F.first(key).alias(key), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).drop("segment", "place")
 
 
 def covered(spans: str = "spans"):

@@ -89,6 +89,17 @@ def test_decontaminate_in_blocks(spark, edge, monkeypatch):
     assert shown(decontaminate.report(decontaminate.decontaminate(table, bench)).collect()) == shown(decontaminate.brute_force(pairs(table), rows))
 
 
+@pytest.mark.parametrize("most", [500_000, 5])
+def test_decontaminate_keeps_every_row(spark, edge, monkeypatch, most):
+    """Null, repeated and clashing ids, in one block of windows and in many."""
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    rows = [(4, " ".join(PROSE.split()[50:75])), (5, "one"), (6, "日本語")]
+    table = edge.select("doc_id", "text").union(spark.createDataFrame([(5, "one"), (None, "clean"), (None, None)], "doc_id long, text string"))
+    got = decontaminate.report(decontaminate.decontaminate(table, spark.createDataFrame(rows, "item_id long, text string"))).collect()
+    assert shown(got) == shown(decontaminate.brute_force(pairs(table), rows))
+    assert all(len(n) <= most for _, n, _ in decontaminate.window_blocks(rows))
+
+
 def jaccard_truth(rows):
     sets = {}
     for i, t in rows:
