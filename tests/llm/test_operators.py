@@ -137,6 +137,15 @@ def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, s
     assert jaccard.join_components(edge).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("bridge", [[(None, 8)], [(1, 8)]])
+def test_jaccard_links_rows_without_own_id(spark, bridge):
+    """Texts 0 and 16 are alike only to text 8, which has no id or shares that of another."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(words[k : k + 100])) for i, k in [(1, 0), (3, 16), *bridge]]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in got] == [1, 1, 1]
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(90, 77), (77, 90), (5, 5), (None, 1)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(chain).collect()}
