@@ -101,40 +101,74 @@ def test_decontaminate_keeps_every_row(spark, edge, monkeypatch, most):
 
 
 def jaccard_truth(rows):
-    sets = {}
-    for i, t in rows:
+    """(id, set size, component) of every row; rows are told apart by place, so null and repeated ids are like others."""
+    sets = []
+    for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
     holders = defaultdict(list)
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for g in s:
             holders[g].append(i)
-    parent = {i: i for i in sets}
+    parent = list(range(len(rows)))
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for i, s in sets.items():
+    for i, s in enumerate(sets):
         for j, n in Counter(j for g in s for j in holders[g] if j < i).items():
             if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    return {i: (len(s), find(i)) for i, s in sets.items()}
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[find(i)] = min(name, least.get(find(i), name))
+    return [(name, len(sets[i]), least.get(find(i))) for i, (name, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("hot", "sets"), [(48, 1000), (3, 10), (1, 1000)])
-def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, sets):
+@pytest.mark.parametrize(("hot", "rounds", "sets"), [(48, 6, 1000), (3, 1, 10), (1, 6, 1000), (2, 0, 7), (1, 2, 10)])
+def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, rounds, sets):
     monkeypatch.setattr(jaccard, "HOT_LIST", hot)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
-    near = [(100 + k, " ".join(w if RNG.random() > 0.01 else "new" for w in PROSE.split())) for k in range(40)]
-    grown = edge.filter("doc_id is not null").select("doc_id", "text").union(spark.createDataFrame(near, "doc_id long, text string"))
+    rng = random.Random(7)
+    near = [(100 + k, " ".join(w if rng.random() > 0.01 * (k % 6) else f"new{rng.randrange(5)}" for w in PROSE.split()[k % 4 : 300 - k % 9 * 4])) for k in range(60)]
+    clash = [(100, "one two three four five six"), (None, PROSE + " x"), (None, "six five four three two one"), (5, "one two three four five six"), (None, None)]
+    grown = edge.select("doc_id", "text").union(spark.createDataFrame(near + clash, "doc_id long, text string"))
     for table in (docs, grown):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(table).collect()}
-        assert got == jaccard_truth(pairs(table))
+        got = [tuple(r) for r in jaccard.join_components(table).select("doc_id", "n_shingles", "component_id").collect()]
+        assert shown(got) == shown(jaccard_truth(pairs(table)))
     assert jaccard.join_components(none).collect() == []
-    assert jaccard.join_components(edge).count() == len(EDGE)
+
+
+def test_jaccard_one_of_each(spark, edge):
+    """One row of every component stays, whatever the ids are; rows without words stay."""
+    rows = [*EDGE, (1, "A " * 9), (2, "A " * 9), (2, "B " * 9), (None, "lone " * 9)]
+    table = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _row string")
+    got = [(r["doc_id"], r["text"]) for r in jaccard.one_each(table).collect()]
+    want, seen = [], set()
+    for row, (_, n, c) in zip(rows, jaccard_truth(rows), strict=True):
+        if n == 0 or row[0] == c and row not in seen:
+            want.append(row)
+            seen.add(row)
+    assert shown(got) == shown(want)
+
+
+def test_jaccard_rows_follow_the_size_of_a_group(spark, monkeypatch):
+    """Near copies of one text are compared with a leader, in as many rows as there are copies, and never in blocks."""
+    monkeypatch.setattr(jaccard, "block_links", None)
+    compared = []
+    plain = jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    base = [f"w{k}" for k in range(120)]
+    for n in (300, 1200):
+        compared.clear()
+        rows = [(k, " ".join(base[:j] + [f"x{k}"] + base[j:])) for k in range(n) for j in [k * 7 % 120]]
+        got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["component_id"] for r in got.collect()} == {0}
+        assert sum(compared) < 12 * n
 
 
 @pytest.mark.parametrize("bridge", [[(None, 8)], [(1, 8)]])
