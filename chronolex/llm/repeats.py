@@ -7,23 +7,27 @@ smaller doc_id, or in the same document further left).
    it. Neighbouring windows with one minimizer form a stretch; equal windows
    always have equal minimizers, so a window need only be compared with the
    stretches of its minimizer. Only hashes of stretches are shuffled.
-2. Of equal stretches all but the first go at once. A minimizer with a single
-   kind of stretch is done. What is left are the first stretches of minimizers
-   that stand in different surroundings: the ends of repeats.
-3. Their bytes are fetched and indexed, bucket by bucket: suffix order, a
-   run-compressed Burrows-Wheeler transform with the text positions sampled at
-   run ends, and for each group of suffixes with LENGTH equal bytes its first
-   position. All strings are then streamed through the transform backwards, one
-   step of last-to-first mapping for all of them at once, which gives their
-   matching statistics; windows whose group has an earlier position are marked.
+2. Of equal stretches all but the first go at once: this much is settled by two
+   64-bit hashes (of the minimizer and of the whole stretch), not by the index.
+   A minimizer with a single kind of stretch is done. What is left are the first
+   stretches of minimizers that stand in different surroundings: the ends of
+   repeats.
+3. Their bytes are fetched and indexed, bucket by bucket: a run-compressed
+   Burrows-Wheeler transform that keeps, for each run, its symbol and the text
+   positions at its two ends. From these samples alone every position gets, as
+   the text is streamed, its matching statistics: the position of its neighbour
+   in suffix order and the length that both have in common. Between two samples
+   the position grows and the length shrinks by one a byte. Windows whose match
+   has LENGTH bytes or more are chained to their neighbour, and all of a chain
+   but its first position are marked.
 4. A minimizer with more than HOT such stretches is too large for a bucket; its
    windows are compared by two 64-bit hashes in a distributed sort instead.
 
 A document is looked at in slices that overlap by LENGTH - 1 bytes, so length is
-no limit. Null text is empty; texts shorter than LENGTH lose nothing. Rows with
-equal ids do not precede each other; if their texts differ, what is marked in
-one is cut out of all of them, as far as they reach. Rows with a null id come
-after all others.
+no limit. Null text is empty; texts shorter than LENGTH lose nothing. Rows come
+in the order of their ids, null last; rows of one id, or without one, in the
+order of a hash of the text, each a document of its own. Rows that repeat both id
+and text are one document and lose the same bytes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +48,8 @@ BUCKET = 1 << 19
 HOT = 5000
 LAST = 2**63 - 1
 PIECE = 1 << 20
+MEMO = 1 << 17
+"""Repeated stretches whose first place a task remembers, so that a line of all documents is put out about once a task."""
 
 
 def window_minima(h: np.ndarray, span: int) -> np.ndarray:
@@ -98,43 +104,77 @@ def pieces(batch: pa.RecordBatch, text: str):
                 yield part, own, np.array([0, len(own)]), lo
 
 
-STRETCH = "key long, content long, doc long, start int, windows int, gone boolean"
+STRETCH = "key long, content long, doc long, row long, start int, windows int, gone boolean"
 
 
-def _batch(key, content, doc, start, windows, gone) -> pa.RecordBatch:
-    arrays = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(gone)]
+def _batch(key, content, doc, row, start, windows, gone) -> pa.RecordBatch:
+    arrays = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(gone)]
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in STRETCH.split(", ")])
 
 
-def _later(key, content, doc, start) -> np.ndarray:
-    """Rows that have an equal (key, content) at an earlier (doc, start)."""
-    order = np.lexsort((start, doc, content, key))
-    k, c, d, s = key[order], content[order], doc[order], start[order]
+def _later(key, content, doc, row, start) -> np.ndarray:
+    """Rows that have an equal (key, content) at an earlier (doc, row, start)."""
+    order = np.lexsort((start, row, doc, content, key))
+    k, c, d, r, s = key[order], content[order], doc[order], row[order], start[order]
     new = np.ones(len(order), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     out = np.zeros(len(order), bool)
-    out[order] = (d != d[first]) | (s != s[first])
+    out[order] = (d != d[first]) | (r != r[first]) | (s != s[first])
     return out
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.fill_null(LAST))
+class _Memo:
+    """First places of stretches that occurred twice in a slice, as a sorted table."""
+
+    def __init__(self):
+        self.table = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+
+    def later(self, name, doc, row, start) -> np.ndarray:
+        """Which of the stretches have an earlier place in the table."""
+        known, d, r, s = self.table
+        if not len(known):
+            return np.zeros(len(name), bool)
+        at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+        after = (doc > d[at]) | (doc == d[at]) & ((row > r[at]) | (row == r[at]) & (start > s[at]))
+        return (known[at] == name) & after
+
+    def add(self, name, doc, row, start):
+        own = [name, doc, row, start]
+        if len(self.table[0]) > MEMO:
+            self.table = own
+        both = [np.concatenate(x) for x in zip(self.table, own, strict=True)]
+        order = np.lexsort(both[::-1])
+        both = [x[order] for x in both]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = both[0][1:] != both[0][:-1]
+        self.table = [x[fresh] for x in both]
+
+
+def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc (the id, LAST for a null one), row (a hash of the text) and the text."""
+    return docs.select(F.coalesce(F.col(key), F.lit(LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
 
 def stretch_table(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Stretches of all documents; repeats within a slice are marked gone and spread by place."""
+    """Stretches of all documents; repeats that a task sees are marked gone and spread by place."""
 
     def run(batches):
+        memo = _Memo()
         for batch in batches:
-            for part, data, at, lo in pieces(batch, text):
-                gram, content, row, start, windows = stretches(data, at)
-                doc, start = _ids(part.column(key))[row], start + lo
-                gone = _later(gram, content, doc, start)
+            for part, data, at, lo in pieces(batch, "text"):
+                gram, content, own, start, windows = stretches(data, at)
+                doc, row, start = np.asarray(part.column("doc"))[own], np.asarray(part.column("row"))[own], start + lo
+                name = mix(gram ^ content * np.uint64(0x9E3779B97F4A7C15))
+                twice = _later(gram, content, doc, row, start)
+                gone = twice | memo.later(name, doc, row, start)
+                if twice.any():
+                    hot = np.isin(name, name[twice]) & ~twice
+                    memo.add(name[hot], doc[hot], row[hot], start[hot])
                 spread = mix(doc.astype(np.uint64) * np.uint64(2654435761) + start.astype(np.uint64))
-                yield _batch(np.where(gone, spread, gram), content, doc, start, windows, gone)
+                yield _batch(np.where(gone, spread, gram), content, doc, row, start, windows, gone)
 
-    return docs.select(key, text).mapInArrow(run, STRETCH)
+    return _named(docs, text, key).mapInArrow(run, STRETCH)
 
 
 def settle(rows: DataFrame) -> DataFrame:
@@ -145,20 +185,20 @@ def settle(rows: DataFrame) -> DataFrame:
         held, held_many, held_said = None, False, True
         for batch in batches:
             gone = np.asarray(batch.column("gone").to_numpy(zero_copy_only=False))
-            key, content, doc, start, windows = (np.asarray(batch.column(k)) for k in ("key", "content", "doc", "start", "windows"))
-            yield _batch(key[gone], content[gone], doc[gone], start[gone], windows[gone], gone[gone])
-            key, content, doc, start, windows = (x[~gone] for x in (key, content, doc, start, windows))
+            key, content, doc, row, start, windows = (np.asarray(batch.column(k)) for k in ("key", "content", "doc", "row", "start", "windows"))
+            yield _batch(key[gone], content[gone], doc[gone], row[gone], start[gone], windows[gone], gone[gone])
+            key, content, doc, row, start, windows = (x[~gone] for x in (key, content, doc, row, start, windows))
             if not len(key):
                 continue
             ghost = held is not None
             if ghost:
-                key, content, doc, start, windows = (np.r_[h, x] for h, x in zip(held, (key, content, doc, start, windows), strict=True))
+                key, content, doc, row, start, windows = (np.r_[h, x] for h, x in zip(held, (key, content, doc, row, start, windows), strict=True))
             n = len(key)
             new_key = np.r_[True, key[1:] != key[:-1]]
             new = new_key.copy()
             new[1:] |= content[1:] != content[:-1]
             first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            later = (doc != doc[first]) | (start != start[first])
+            later = (doc != doc[first]) | (row != row[first]) | (start != start[first])
             group = np.cumsum(new_key) - 1
             many = np.bincount(group, new) > 1
             many[0] |= ghost and held_many
@@ -166,33 +206,30 @@ def settle(rows: DataFrame) -> DataFrame:
             if ghost and held_said:
                 ambiguous[0] = False
             out = later | ambiguous
-            yield _batch(key[out], content[out], doc[out], start[out], windows[out], later[out])
+            yield _batch(key[out], content[out], doc[out], row[out], start[out], windows[out], later[out])
             last = first[-1]
-            held = [x[last : last + 1] for x in (key, content, doc, start, windows)]
+            held = [x[last : last + 1] for x in (key, content, doc, row, start, windows)]
             held_many = bool(many[-1])
             held_said = bool(many[-1])
 
-    return rows.repartition("key").sortWithinPartitions("key", "content", "doc", "start").mapInArrow(run, STRETCH)
+    return rows.repartition("key").sortWithinPartitions("key", "content", "doc", "row", "start").mapInArrow(run, STRETCH)
 
 
-def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes, and their ranks at 64 symbols, by prefix doubling. ``left`` is the distance to the end of
-    the string, ``owner`` its number: ends count as different symbols in the order of their strings."""
+def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Order of all suffixes by prefix doubling. ``left`` is the distance to the end of the string, ``owner`` its
+    number: ends count as different symbols in the order of their strings."""
     n, depth = len(text), 4
     code = np.zeros(n, np.int64)
     padded = np.r_[text, np.zeros(depth, np.int64)]
     for k in range(depth):
         code = code << 9 | np.where(left >= k, padded[k : k + n], 0)
-    at64 = None
     while True:
         order = np.argsort(code)
         sorted_ = code[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]])
-        if depth == 64:
-            at64 = rank
-        if at64 is not None and rank[order[-1]] == n - 1:
-            return order, at64
+        if rank[order[-1]] == n - 1:
+            return order
         after = owner.copy()
         far = np.flatnonzero(left >= depth)
         after[far] = rank[far + depth]
@@ -200,111 +237,119 @@ def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple
         depth *= 2
 
 
+COMPARED = 32
+
+
+def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols the text has in common from places ``a`` and ``b`` on, ``most`` at most."""
+    length = np.zeros(len(a), np.int64)
+    live = np.flatnonzero(most > 0)
+    padded = np.r_[text, np.zeros(COMPARED, text.dtype)]
+    wide = np.lib.stride_tricks.sliding_window_view(padded, COMPARED)
+    while len(live):
+        x, y = a[live] + length[live], b[live] + length[live]
+        differ = wide[x] != wide[y]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), COMPARED)
+        length[live] = np.minimum(length[live] + same, most[live])
+        live = live[(same == COMPARED) & (length[live] < most[live])]
+    return length
+
+
 class RunIndex:
-    """Run-compressed transform of a set of strings, the text positions at its run ends, and the first position of each group of equal LENGTH-byte beginnings."""
+    """Run-compressed transform of a set of strings: symbol of each run and the text positions at its first and last
+    place, with the length that the first has in common with the place before it."""
 
     def __init__(self, strings: list[np.ndarray]):
         self.size = np.array([len(s) for s in strings])
         self.end = np.cumsum(self.size + 1) - 1
-        m = len(strings)
         text = np.zeros(self.end[-1] + 1, np.int64)
         body = np.ones(len(text), bool)
         body[self.end] = False
         text[body] = np.concatenate(strings).astype(np.int64) + 1
-        owner = np.repeat(np.arange(m), self.size + 1)
-        order, at64 = suffix_order(text, self.end[owner] - np.arange(len(text)), owner)
-        n = len(text)
+        self.owner = np.repeat(np.arange(len(strings)), self.size + 1)
+        left = self.end[self.owner] - np.arange(len(text))
+        order = suffix_order(text, left, self.owner)
         symbols = text[order - 1]
-        change = np.r_[True, symbols[1:] != symbols[:-1]]
-        self.run_start = np.flatnonzero(change)
-        self.run_symbol = symbols[self.run_start]
-        self.run_end_sample = order[np.r_[self.run_start[1:], n] - 1]
-        length = np.diff(np.r_[self.run_start, n])
-        below = np.cumsum(np.bincount(text, minlength=258)) - np.bincount(text, minlength=258)
-        # first-column rank of the first symbol of each run
-        by = np.argsort(self.run_symbol, kind="stable")
-        before = np.cumsum(length[by]) - length[by]
-        group_first = np.r_[True, self.run_symbol[by][1:] != self.run_symbol[by][:-1]]
-        base = before[np.maximum.accumulate(np.where(group_first, np.arange(len(by)), 0))]
-        self.run_to = np.empty(len(by), np.int64)
-        self.run_to[by] = below[self.run_symbol[by]] + before - base
-        # suffixes with LENGTH equal bytes: equal 64-symbol ranks at 0 and at LENGTH - 64
-        shifted = np.full(n, -1, np.int64)
-        shifted[: n - (LENGTH - 64)] = at64[LENGTH - 64 :]
-        a, b = at64[order], shifted[order]
-        self.group_start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.group_first = np.minimum.reduceat(order, self.group_start)
-        self.rank_of_end = np.empty(m, np.int64)
-        ends = np.flatnonzero(text[order] == 0)
-        self.rank_of_end[np.searchsorted(self.end, order[ends])] = ends
-
-    def step(self, rank: np.ndarray) -> np.ndarray:
-        """Last-to-first mapping of ranks."""
-        run = np.searchsorted(self.run_start, rank, "right") - 1
-        return self.run_to[run] + rank - self.run_start[run]
+        # the ends of strings differ, so each is a run of its own
+        first = np.flatnonzero(np.r_[True, (symbols[1:] != symbols[:-1]) | (symbols[1:] == 0)])
+        self.run_symbol = symbols[first]
+        self.run_start_sample = order[first]
+        self.run_end_sample = order[np.r_[first[1:], len(order)] - 1]
+        here, before = self.run_start_sample[1:], self.run_end_sample[:-1]
+        self.run_common = np.r_[0, common(text.astype(np.uint16), here, before, np.minimum(left[here], left[before]))]
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every text position: the one before it in suffix order, and the length that both have in common."""
+        n = len(self.owner)
+        by = np.argsort(self.run_start_sample)
+        sample, before, length = self.run_start_sample[by], np.r_[-1, self.run_end_sample[:-1]][by], self.run_common[by]
+        run = np.repeat(np.arange(len(sample)), np.diff(np.r_[sample, n]))
+        gone = np.arange(n) - sample[run]
+        return before[run] + gone, np.maximum(length[run] - gone, 0)
 
     def marks(self) -> tuple[np.ndarray, np.ndarray]:
-        """(string, start) of every window that also starts earlier in the text, by streaming all strings backwards."""
-        rank, live = self.rank_of_end, np.arange(len(self.size))
-        found = []
-        for back in range(1, int(self.size.max()) + 1):
-            on = self.size[live] >= back
-            live, rank = live[on], self.step(rank[on])
-            if back >= LENGTH:
-                place = self.end[live] - back
-                group = np.searchsorted(self.group_start, rank, "right") - 1
-                hit = self.group_first[group] < place
-                found.append((live[hit], (self.size[live] - back)[hit]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        """(string, start) of every window that also starts earlier in the text."""
+        before, length = self.statistics()
+        long = np.flatnonzero(length >= LENGTH)
+        head = np.arange(len(length))
+        head[long] = before[long]
+        while True:
+            further = head[head]
+            if (further == head).all():
+                break
+            head = further
+        least = np.arange(len(length))
+        np.minimum.at(least, head[long], long)
+        chained = np.unique(np.r_[long, head[long]])
+        hit = chained[least[head[chained]] < chained]
+        string = self.owner[hit]
+        return string, hit - (self.end[string] - self.size[string])
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, doc, start, body): the bytes of the ``wanted`` stretches."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("list"))
-    texts = docs.select(F.coalesce(F.col(key), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    """(key, doc, row, start, body): the bytes of the ``wanted`` stretches."""
+    lists = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "windows")).alias("list"))
+    texts = _named(docs, text, key)
 
     def run(batches):
         for batch in batches:
             for part, data, at in slices(batch, "text"):
-                keys, docs_, starts, bodies = [], [], [], []
-                for k, (doc, own) in enumerate(zip(part.column("doc").to_pylist(), part.column("list"), strict=True)):
+                keys, places, starts, bodies = [], [], [], []
+                for k, own in enumerate(part.column("list")):
                     items = own.values
                     raw = data[at[k] : at[k + 1]].tobytes()
                     s, w = items.field("start").to_pylist(), items.field("windows").to_pylist()
                     fits = [i + j + LENGTH - 1 <= len(raw) for i, j in zip(s, w, strict=True)]
                     keys.append(np.asarray(items.field("key"))[fits])
-                    docs_ += [doc] * sum(fits)
+                    places += [k] * sum(fits)
                     starts += [i for i, ok in zip(s, fits, strict=True) if ok]
                     bodies += [raw[i : i + j + LENGTH - 1] for i, j, ok in zip(s, w, fits, strict=True) if ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(docs_, pa.int64()), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], ["key", "doc", "start", "body"])
+                places = pa.array(places, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("doc").take(places), part.column("row").take(places), pa.array(starts, pa.int32()), pa.array(bodies, pa.binary())], ["key", "doc", "row", "start", "body"])
 
-    return texts.join(lists, "doc").mapInArrow(run, "key long, doc long, start int, body binary")
+    return texts.join(lists, ["doc", "row"]).mapInArrow(run, "key long, doc long, row long, start int, body binary")
 
 
-SPANS = "doc long, start int, windows int"
+SPANS = "doc long, row long, start int, windows int"
 
 
 def index_marks(bodies: DataFrame) -> DataFrame:
     """Marked windows of stretches, bucket by bucket of whole keys."""
 
-    def marked(key, doc, start, body):
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        strings = [np.frombuffer(body[k], np.uint8) for k in order]
-        which, offset = RunIndex(strings).marks()
-        # equal ids at equal starts do not precede each other; such rows have equal bytes, so the first stands for all
-        at = np.lexsort((offset, which))
-        which, offset = which[at], offset[at]
-        if len(order) > 1:
-            twin = np.r_[False, (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])]
-            keep = ~twin[which]
-            which, offset = which[keep], offset[keep]
+    def marked(key, doc, row, start, body):
+        order = np.lexsort((start, row, doc))
+        doc, row, start = doc[order], row[order], start[order]
+        # rows that repeat an id and a text have equal stretches at equal places; the first stands for all
+        own = np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1])]
+        doc, row, start, order = doc[own], row[own], start[own], order[own]
+        which, offset = RunIndex([np.frombuffer(body[k], np.uint8) for k in order]).marks()
         if not len(which):
             return None
         new = np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]
         first = np.flatnonzero(new)
         count = np.diff(np.r_[first, len(which)])
-        return pa.RecordBatch.from_arrays([pa.array(doc[which[first]]), pa.array((start[which[first]] + offset[first]).astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "start", "windows"])
+        at = which[first]
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(row[at]), pa.array((start[at] + offset[first]).astype(np.int32)), pa.array(count.astype(np.int32))], ["doc", "row", "start", "windows"])
 
     def run(batches):
         held, size = [], 0
@@ -334,10 +379,10 @@ def index_marks(bodies: DataFrame) -> DataFrame:
 
     def cut(batch, i, j):
         part = batch.slice(i, j - i)
-        return np.asarray(part.column("key")), np.asarray(part.column("doc")), np.asarray(part.column("start")), [x.as_buffer() for x in part.column("body")]
+        return np.asarray(part.column("key")), np.asarray(part.column("doc")), np.asarray(part.column("row")), np.asarray(part.column("start")), [x.as_buffer() for x in part.column("body")]
 
     def join(held):
-        return (*(np.concatenate([x[k] for x in held]) for k in range(3)), [b for x in held for b in x[3]])
+        return (*(np.concatenate([x[k] for x in held]) for k in range(4)), [b for x in held for b in x[4]])
 
     return bodies.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPANS)
 
@@ -356,26 +401,26 @@ def window_rows(bodies: DataFrame) -> DataFrame:
             hashed = RangeHash(data)
             start = np.asarray(batch.column("start"))[row] + offset
             one, two = hashed(place, place + LENGTH), mix(hashed(place, place + K) + hashed(place + 50, place + LENGTH) * np.uint64(3))
-            yield _batch(one, two, np.asarray(batch.column("doc"))[row], start, np.ones(len(row)), np.zeros(len(row), bool))
+            yield _batch(one, two, np.asarray(batch.column("doc"))[row], np.asarray(batch.column("row"))[row], start, np.ones(len(row)), np.zeros(len(row), bool))
 
     return bodies.mapInArrow(run, STRETCH)
 
 
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, start, windows): runs of windows that also start earlier; ``doc`` is the id, LAST for a null one."""
+    """(doc, row, start, windows): runs of windows that also start earlier, with the names that ``_named`` gives to texts."""
     settled = materialise(settle(stretch_table(docs, text, key)), "stretches")
     open_ = settled.filter(~F.col("gone"))
     sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-keys")
     bodies = materialise(fetch(docs, open_, text, key), "ends")
     few = index_marks(bodies.join(sizes, "key", "left_anti"))
     many = settle(window_rows(bodies.join(sizes, "key", "left_semi"))).filter("gone")
-    return settled.filter("gone").select("doc", "start", "windows").unionByName(few).unionByName(many.select("doc", "start", "windows"))
+    return settled.filter("gone").select("doc", "row", "start", "windows").unionByName(few).unionByName(many.select("doc", "row", "start", "windows"))
 
 
 def strip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, spans removed (start, end; maximal) and the kept bytes."""
-    lists = repeated(docs, text, key).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("list"))
-    texts = docs.select(key, F.coalesce(F.col(key), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    lists = repeated(docs, text, key).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("list"))
+    texts = docs.select(F.col(key), F.coalesce(F.col(key), F.lit(LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -400,7 +445,7 @@ def strip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(np.diff(at)), pa.array(spans, item), pa.array(kept, pa.binary())], [key, "n_bytes", "spans", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return texts.join(lists, "doc", "left").select(key, "text", "list").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+    return texts.join(lists, ["doc", "row"], "left").select(key, "text", "list").mapInArrow(run, f"{key} {kind}, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -408,20 +453,23 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple]:
+def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
     """The same report by a table of all windows, for tests."""
-    first: dict[bytes, tuple[int, int]] = {}
+    import xxhash
+
+    first: dict[bytes, tuple] = {}
     raw = [(i, (t or "").encode()) for i, t in rows]
-    for i, b in raw:
+    named = [((LAST if i is None else i, (xxhash.xxh64_intdigest(b, seed=42) + 2**63) % 2**64), b) for i, b in raw]
+    for name, b in named:
         for k in range(len(b) - LENGTH + 1):
             w = b[k : k + LENGTH]
-            if w not in first or (i, k) < first[w]:
-                first[w] = (i, k)
+            if w not in first or (name, k) < first[w]:
+                first[w] = (name, k)
     out = []
-    for i, b in raw:
+    for (i, _), (name, b) in zip(raw, named, strict=True):
         gone = bytearray(len(b))
         for k in range(len(b) - LENGTH + 1):
-            if first[b[k : k + LENGTH]] < (i, k):
+            if first[b[k : k + LENGTH]] < (name, k):
                 gone[k : k + LENGTH] = b"\1" * LENGTH
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)

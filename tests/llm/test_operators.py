@@ -187,37 +187,56 @@ def test_components(spark):
 
 
 def test_repeats_equal_brute_force(spark, docs, edge, monkeypatch):
-    some = docs.filter("doc_id < 60").select("doc_id", "text").union(edge.filter("doc_id is not null and doc_id <> 9").select(F.col("doc_id") + 1000, "text"))
+    """Null, clashing and repeated ids among them."""
+    clash = [(1005, PROSE[100:] + "x" * 150), (1005, "x" * 120 + PROSE[50:300]), (None, PROSE[5:400]), (None, "y" * 300), (None, "y" * 300), (0, PROSE[200:])]
+    some = docs.filter("doc_id < 60").select("doc_id", "text").union(edge.filter("doc_id is null or doc_id <> 9").select(F.col("doc_id") + 1000, "text")).union(spark.createDataFrame(clash, "doc_id long, text string"))
     want = repeats.brute_force(pairs(some))
     assert shown(repeats.report(some).collect()) == shown(want)
-    for hot, bucket, piece in ((1, 1 << 20, 4 << 20), (5000, 300, 700)):
+    for hot, bucket, piece, memo in ((1, 1 << 20, 4 << 20, 0), (5000, 300, 700, 1 << 17), (5000, 1 << 20, 700, 3)):
         monkeypatch.setattr(repeats, "HOT", hot)
         monkeypatch.setattr(repeats, "BUCKET", bucket)
         monkeypatch.setattr(repeats, "PIECE", piece)
+        monkeypatch.setattr(repeats, "MEMO", memo)
         assert shown(repeats.report(some).collect()) == shown(want)
 
 
 def test_repeats_edges(spark, edge, none):
-    clash = spark.createDataFrame([(1, PROSE), (2, PROSE), (2, "short"), (3, PROSE[:300])], "doc_id long, text string")
-    assert [r["n_removed"] for r in repeats.report(clash).orderBy("doc_id", "n_bytes").collect()][0] == 0
     assert repeats.report(none).collect() == []
+    # what stands once is kept, though rows without id share it with none
+    b = "".join(RNG.choices("abcdefgh", k=300))
+    lost = spark.createDataFrame([(1, PROSE), (None, PROSE), (None, b)], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in repeats.report(lost).collect()) == [0, 0, len(PROSE.encode())]
     got = {r["doc_id"]: r["n_removed"] for r in repeats.report(edge).collect() if r["doc_id"] in (6, None, 8)}
     assert got == {6: len(PROSE.encode()), None: len(PROSE.encode()), 8: 30_000 - 1}
 
 
-def test_run_index_last_to_first():
-    strings = [np.frombuffer(b"banana" * 20, np.uint8), np.frombuffer(b"bandana" * 18, np.uint8)]
+STRINGS = [b"banana" * 20, b"bandana" * 18, b"xyz" + b"banana" * 18, b"q" * 99, b"q" * 130, b"one of a kind" + bytes(range(200))]
+
+
+def test_matching_statistics_come_from_run_ends():
+    index = repeats.RunIndex([np.frombuffer(s, np.uint8) for s in STRINGS])
+    place = [(k, p) for k, s in enumerate(STRINGS) for p in range(len(s) + 1)]
+    suffix = [(*(c + 1 for c in STRINGS[k][p:]), -len(STRINGS) + k) for k, p in place]
+    order = sorted(range(len(place)), key=suffix.__getitem__)
+    before, length = index.statistics()
+    assert len(index.run_end_sample) == len(index.run_symbol) < len(place) / 2
+    for x, y in zip(order, order[1:]):
+        same = next((n for n, (a, b) in enumerate(zip(suffix[x], suffix[y], strict=False)) if a != b), None)
+        assert before[y] == x and length[y] == same
+
+
+def test_marks_fail_with_wrong_samples():
+    strings = [np.frombuffer(s, np.uint8) for s in STRINGS]
     index = repeats.RunIndex(strings)
-    which, start = index.marks()
-    text = [bytes(s) for s in strings]
     seen, want = set(), set()
-    for k, t in enumerate(text):
+    for k, t in enumerate(STRINGS):
         for p in range(len(t) - 99):
             if t[p : p + 100] in seen:
                 want.add((k, p))
             seen.add(t[p : p + 100])
-    assert set(zip(which.tolist(), start.tolist(), strict=True)) == want
-    assert len(index.run_start) < index.end[-1] / 4 and len(index.run_end_sample) == len(index.run_start)
+    assert set(zip(*(x.tolist() for x in index.marks()), strict=True)) == want and want
+    index.run_end_sample = np.roll(index.run_end_sample, 1)
+    assert set(zip(*(x.tolist() for x in index.marks()), strict=True)) != want
 
 
 PATTERNS = [
