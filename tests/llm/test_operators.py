@@ -65,7 +65,7 @@ def test_bpe_equals_library(docs, edge, none):
 def test_decontaminate_equals_brute_force(spark, smoke_dir, docs, edge, none):
     items = [tuple(r) for r in spark.read.parquet(f"{smoke_dir}/benchmark.parquet").collect()]
     own = [(1, None), (2, "one"), (3, "..."), (4, " ".join(PROSE.split()[50:75])), (4, "Stone river"), (5, "日本語")]
-    for table, rows in ((docs, items), (edge.filter("doc_id is not null"), own)):
+    for table, rows in ((docs, items), (edge, [*own, (None, "walks"), (4, "ab ab")])):
         bench = spark.createDataFrame(rows, "item_id long, text string")
         got = decontaminate.report(decontaminate.decontaminate(table, bench)).collect()
         assert shown(got) == shown(decontaminate.brute_force(pairs(table), rows))
@@ -81,12 +81,22 @@ def test_proximity(spark):
     assert found == {1: [7], 2: []}
 
 
-def test_decontaminate_in_blocks(spark, edge, monkeypatch):
-    rows = [(4, " ".join(PROSE.split()[50:75])), (5, "one"), (6, "日本語")]
-    bench = spark.createDataFrame(rows, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 64)
-    table = edge.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    assert shown(decontaminate.report(decontaminate.decontaminate(table, bench)).collect()) == shown(decontaminate.brute_force(pairs(table), rows))
+def test_decontaminate_ids_of_any_type(spark):
+    table = spark.createDataFrame([("a1", "one two"), (None, "two three"), ("a1", "four")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-7", "Two three"), ("q-8", "one")], "item_id string, text string")
+    found = [(r["doc_id"], r["items"]) for r in decontaminate.decontaminate(table, bench).collect()]
+    assert shown(found) == shown([("a1", ["q-8"]), (None, ["q-7"]), ("a1", [])])
+
+
+def test_index_serves_any_test_set(spark, docs):
+    """One stored index, searched for two test sets without the documents."""
+    index = decontaminate.build_index(docs).cache()
+    text = docs.filter("length(text) > 500").orderBy("doc_id").first()
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text["text"].lower())
+    for phrase in (" ".join(words[3:13]), " ".join(words[20:40])):
+        (block,) = decontaminate.window_blocks([(1, phrase)])
+        hits = decontaminate.search(index, block, docs.schema["doc_id"].dataType).join(decontaminate.indexed(index), ["segment", "place"])
+        assert text["doc_id"] in {r["doc_id"] for r in hits.collect()}
 
 
 @pytest.mark.parametrize("most", [500_000, 5])
@@ -97,7 +107,7 @@ def test_decontaminate_keeps_every_row(spark, edge, monkeypatch, most):
     table = edge.select("doc_id", "text").union(spark.createDataFrame([(5, "one"), (None, "clean"), (None, None)], "doc_id long, text string"))
     got = decontaminate.report(decontaminate.decontaminate(table, spark.createDataFrame(rows, "item_id long, text string"))).collect()
     assert shown(got) == shown(decontaminate.brute_force(pairs(table), rows))
-    assert all(len(n) <= most for _, n, _ in decontaminate.window_blocks(rows))
+    assert all(len(n) <= most for _, _, n, _ in decontaminate.window_blocks(rows))
 
 
 def jaccard_truth(rows):
