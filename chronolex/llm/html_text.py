@@ -1,19 +1,25 @@
-"""Main text of web pages: structure first, then differencing against the nearest URL.
-
-A page is cut into lines, one per block, each marked as page furniture (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments), as
-article (inside an article or main element) or as open (neither). Furniture
-goes. Pages of one host are put in order of their URL path, each page is paired
-with the neighbour whose path shares the longer beginning, the open lines of
-the two are aligned by longest common subsequence, and the shared ones are
-deleted. Article lines are only aligned, never deleted: copies of an article
-under one host would delete each other. If a page has an article element, open
-lines outside it are not part of the text.
+"""Main text of web pages by differencing against the nearest URL, with structure.
+
+A page is parsed once, into lines, one per block, and each line gets a mark from
+the elements around it: furniture (menus, headers, footers, sidebars, adverts,
+forms, reader comments), inside an article or main element, open (neither), or
+doubtful, where only a class name such as ``share`` or ``side-story`` hints at
+furniture. Pages of one host are put in order of their URL path, each page is
+paired with the neighbour whose path shares the longer beginning, and all lines
+of the two, furniture and article lines too, are aligned by longest common
+subsequence. Shared lines are deleted, but for lines inside an article that no
+name puts in doubt: nearest pages are often copies of one article, which would
+delete each other, and sentences that two articles share belong to both. Of the
+lines that are not shared, furniture goes by its mark, and open lines go where
+the page has an article element. So differencing alone decides on pages without
+such an element and on doubtful lines; ``n_shared`` counts what it deletes.
 
 Neighbours are found by rank in one global order of (host, path), so a host
 with a third of all pages is spread like any other; only hashes of lines travel.
-Pages with one path are one page for pairing. Null html is an empty page; null
-URLs share the empty host. Repeated rows get equal texts.
+Pages with one path are one page for pairing; pages without a host have no
+neighbour. Alignment takes memory in proportion to the lines of a page, however
+many there are. Null html is an empty page. Repeated rows get equal texts. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,14 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices
 
-BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-FURNITURE = set("nav header footer aside form script style noscript template title head button select textarea iframe svg menu dialog object".split())
+BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+FURNITURE = set("nav header footer aside form menu dialog".split())
+NO_TEXT = set("script style noscript template title head button select option textarea iframe svg object".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 ARTICLE = {"article", "main"}
 CLOSES = {"p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": {"li"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "head": {"body"}}
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|comments?|replies|disqus|share|social|related|widget|pagination|pager|skip)(?=$|[\s_-])", re.I)
+SURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|breadcrumbs?|cookies?|consent|popup|modal|newsletter|comments?|replies|disqus|pagination)(?=$|[\s_-])", re.I)
+"""Names of blocks that are never text, though no other page may share them."""
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|side|menu|nav\w*|footer|header|masthead|notices?|alert|subscribe|signup|share|social|related|widget|pager|skip)(?=$|[\s_-])", re.I)
+"""Names of blocks that are furniture only if the nearest page has the same lines."""
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
-OPEN, INSIDE, GONE = 0, 1, 2
+OPEN, INSIDE, DOUBT, DOUBT_INSIDE, GONE, NONE = range(6)
 
 
 class _Lines(HTMLParser):
@@ -59,8 +70,25 @@ class _Lines(HTMLParser):
         del self.stack[depth:]
         self.mark = self.stack[-1][1] if self.stack else OPEN
 
+    def _marked(self, tag, attrs):
+        """The mark inside an element; inline elements keep that of the block, so no sentence loses a word."""
+        mark, a = self.mark, dict(attrs)
+        if mark == NONE or tag in NO_TEXT or "hidden" in a:
+            return NONE
+        if mark == GONE or tag not in BLOCK or tag in ("html", "body"):
+            return mark
+        inside = mark in (INSIDE, DOUBT_INSIDE)
+        named = f"{a.get('class') or ''} {a.get('id') or ''}"
+        if tag in FURNITURE and not (inside and tag == "header") or a.get("role") in ROLES or SURE.search(named) and (tag not in ARTICLE or "comment" in named.lower()):
+            return GONE
+        if tag in ARTICLE:
+            return INSIDE
+        if DOUBTFUL.search(named):
+            return DOUBT_INSIDE if inside else DOUBT
+        return mark
+
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCK or tag in FURNITURE:
+        if tag in BLOCK or tag in NO_TEXT:
             self.flush()
         elif tag == "br":
             self.run.append(" ")
@@ -68,16 +96,8 @@ class _Lines(HTMLParser):
             self._pop(len(self.stack) - 1)
         if tag in VOID:
             return
-        mark = self.mark
-        if mark != GONE:
-            a = dict(attrs)
-            named = f"{a.get('class') or ''} {a.get('id') or ''}"
-            if tag in FURNITURE or a.get("role") in ROLES or "hidden" in a or tag not in ("html", "body") and tag not in ARTICLE and MARKED.search(named):
-                mark = GONE
-            elif tag in ARTICLE:
-                mark = GONE if MARKED.search(named) and "comment" in named.lower() else INSIDE
-        self.stack.append((tag, mark))
-        self.mark = mark
+        self.mark = self._marked(tag, attrs)
+        self.stack.append((tag, self.mark))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -86,29 +106,34 @@ class _Lines(HTMLParser):
             self.run.append(" ")
 
     def handle_endtag(self, tag):
-        if tag in BLOCK or tag in FURNITURE:
+        if tag in BLOCK or tag in NO_TEXT:
             self.flush()
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
                 self._pop(depth)
                 return
             # an inline end tag never closes a section around it
-            if self.stack[depth][0] in ARTICLE | FURNITURE and tag not in ARTICLE | FURNITURE | {"div", "body", "html"}:
+            if self.stack[depth][0] in ARTICLE | FURNITURE | NO_TEXT and tag not in ARTICLE | FURNITURE | NO_TEXT | {"div", "body", "html"}:
                 return
 
     def handle_data(self, data):
-        if self.mark != GONE:
+        if self.mark != NONE:
             self.run.append(data)
 
 
-def lines(html: str | None) -> list[str]:
-    """Text lines of a page that are not furniture, as (mark, text)."""
+def lines(html: str | None) -> list[tuple[int, str]]:
+    """All text lines of a page, as (mark, text)."""
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    kept = [(m, t) for m, t in parser.lines if m != GONE]
-    return [x for x in kept if x[0] == INSIDE] if any(m == INSIDE for m, _ in kept) else kept
+    return parser.lines
+
+
+def own_lines(marks: list[int]) -> list[bool]:
+    """Which lines are text as far as structure can tell."""
+    keep = (INSIDE, DOUBT_INSIDE) if INSIDE in marks or DOUBT_INSIDE in marks else (OPEN, DOUBT)
+    return [m in keep for m in marks]
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -120,8 +145,8 @@ def place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def shared(a: list[int], b: list[int]) -> list[int]:
-    """Indices in ``a`` of a longest common subsequence with ``b``; rows of the table are bit sets."""
+def _table(a: list[int], b: list[int]) -> list[int]:
+    """As ``shared``, by a table whose rows are bit sets."""
     masks: dict[int, int] = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
@@ -144,6 +169,43 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+SMALL = 1 << 20
+"""Cells up to which an alignment keeps its whole table."""
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with every beginning of ``b``."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """As ``shared``; halves ``a`` until the table is small, so memory follows the lines and not their product."""
+    if not len(a) or not len(b):
+        return []
+    if len(a) * len(b) <= SMALL:
+        return _table(a.tolist(), b.tolist())
+    if len(a) == 1:
+        return [0] if (b == a[0]).any() else []
+    half = len(a) // 2
+    cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+    return _aligned(a[:half], b[:cut]) + [half + k for k in _aligned(a[half:], b[cut:])]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in ``a`` of a longest common subsequence with ``b``."""
+    a, b = np.asarray(a), np.asarray(b)
+    here = np.flatnonzero(np.isin(a, b))
+    both = a[here], b[np.isin(b, a)]
+    n = min(len(both[0]), len(both[1]))
+    differ = np.flatnonzero(both[0][:n] != both[1][:n])
+    head = int(differ[0]) if len(differ) else n
+    return here[np.r_[np.arange(head), np.array([head + k for k in _aligned(both[0][head:], both[1][head:])], np.int64)].astype(np.int64)]
+
+
 def _common(a: str, b: str) -> int:
     n = 0
     for x, y in zip(a, b, strict=False):
@@ -153,24 +215,39 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def outline(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path, open): hashes of the open lines of every page."""
+PARSED = "host string, path string, marks binary, hashes binary, texts array<string>"
+
+
+def parsed(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """``key`` and ``url`` with host and path, and marks, hashes and texts of all lines; a text is null if structure alone drops it."""
 
     def run(batches):
         for batch in batches:
             for part, _, _ in slices(batch, html):
                 where = [place(u) for u in part.column(url).to_pylist()]
-                found = [[xxhash.xxh64_intdigest(t) - 2**63 for m, t in lines(h) if m == OPEN] for h in part.column(html).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(found, pa.list_(pa.int64()))], ["host", "path", "open"])
+                marks, hashes, texts = [], [], []
+                for h in part.column(html).to_pylist():
+                    found = lines(h)
+                    own = [m for m, _ in found]
+                    marks.append(bytes(own))
+                    hashes.append(np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64).tobytes())
+                    texts.append([t if keep else None for keep, (_, t) in zip(own_lines(own), found, strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), part.column(url), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(marks, pa.binary()), pa.array(hashes, pa.binary()), pa.array(texts, pa.list_(pa.string()))],
+                    [key, url, *(x.split()[0] for x in PARSED.split(", "))],
+                )
 
-    return pages.select(url, html).mapInArrow(run, "host string, path string, open array<long>")
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
+    return pages.select(key, url, html).mapInArrow(run, f"{key} {kinds[key]}, {url} {kinds[url]}, {PARSED}")
 
 
-def template(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, path, drop): hashes of lines that a page shares, aligned, with its nearest page; only where there are any."""
-    spark = pages.sparkSession
-    each = outline(pages, html, url).filter(F.size("open") > 0).groupBy("host", "path").agg(F.min("open").alias("open"))
-    ordered = materialise(each.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("n", F.monotonically_increasing_id()), "pages")
+def template(each_page: DataFrame) -> DataFrame:
+    """(host, path, drop, n_shared): of each page of ``parsed``, hashes of the shared lines that structure did not drop
+    and may go, and the number of all shared lines that go; only where there are any."""
+    spark = each_page.sparkSession
+    line = F.min(F.struct("hashes", "marks")).alias("lines")
+    each = each_page.filter("host <> '' and octet_length(marks) > 0").groupBy("host", "path").agg(line)
+    ordered = materialise(each.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("n", F.monotonically_increasing_id()), "outlines")
     part = F.shiftright("n", 33)
     sizes = sorted((r["p"], r["c"]) for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect())  # one row per partition
     start, offsets = 0, []
@@ -178,9 +255,9 @@ def template(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
         offsets.append((p, start))
         start += c
     base = F.broadcast(spark.createDataFrame(offsets, "p long, base long"))
-    ranked = ordered.join(base, part == F.col("p")).select("host", "path", "open", (F.col("base") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
-    before = ranked.select((F.col("rank") + 1).alias("rank"), F.struct("host", "path", "open").alias("before"))
-    after = ranked.select((F.col("rank") - 1).alias("rank"), F.struct("host", "path", "open").alias("after"))
+    ranked = ordered.join(base, part == F.col("p")).select("host", "path", "lines", (F.col("base") + F.col("n").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.struct("host", "path", "lines.hashes").alias("before"))
+    after = ranked.select((F.col("rank") - 1).alias("rank"), F.struct("host", "path", "lines.hashes").alias("after"))
     trio = ranked.join(before, "rank", "left").join(after, "rank", "left")
 
     def run(batches):
@@ -190,52 +267,45 @@ def template(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
                 near = [x for x in (r["before"], r["after"]) if x and x["host"] == r["host"]]
                 if near:
                     best = max(near, key=lambda x: _common(x["path"], r["path"]))
-                    out.append((r["host"], r["path"], [r["open"][k] for k in shared(r["open"], best["open"])]))
-            out = [x for x in out if x[2]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["host", "path", "drop"])
+                    own, mark = np.frombuffer(r["lines"]["hashes"], np.uint64), np.frombuffer(r["lines"]["marks"], np.uint8)
+                    both = shared(own, np.frombuffer(best["hashes"], np.uint64))
+                    both = both[mark[both] != INSIDE]
+                    if len(both):
+                        out.append((r["host"], r["path"], own[both[mark[both] != GONE]].tobytes(), len(both)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.binary(), pa.int64()))], ["host", "path", "drop", "n_shared"])
 
-    return trio.mapInArrow(run, "host string, path string, drop array<long>")
+    return trio.mapInArrow(run, "host string, path string, drop binary, n_shared long")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """``key``, ``url``, and the main text of every page."""
-
-    def cut(batches):
-        for batch in batches:
-            for part, _, _ in slices(batch, html):
-                where = [place(u) for u in part.column(url).to_pylist()]
-                found = [lines(h) for h in part.column(html).to_pylist()]
-                rows = [[{"open": m == OPEN, "text": t} for m, t in x] for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column(url), pa.array([h for h, _ in where], pa.string()), pa.array([p for _, p in where], pa.string()), pa.array(rows, pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())])))], [key, url, "host", "path", "rows"])
-
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
-    cutting = pages.select(key, url, html).mapInArrow(cut, f"{key} {kinds[key]}, {url} {kinds[url]}, host string, path string, rows array<struct<open: boolean, text: string>>")
-    drops = materialise(template(pages, html, url), "template")
+    """``key``, ``url``, the main text of every page and the number of lines that it lost to its nearest page."""
+    found = materialise(parsed(pages, html, url, key), "lines")
+    drops = materialise(template(found), "template")
 
     def join(batches):
         for batch in batches:
             texts = []
-            for rows, drop in zip(batch.column("rows").to_pylist(), batch.column("drop").to_pylist(), strict=True):
-                gone: dict[int, int] = {}
-                for x in drop or ():
-                    gone[x] = gone.get(x, 0) + 1
-                kept = []
-                for r in rows:
-                    if r["open"] and drop:
-                        h = xxhash.xxh64_intdigest(r["text"]) - 2**63
-                        if gone.get(h):
-                            gone[h] -= 1
-                            continue
-                    kept.append(r["text"])
-                texts.append("\n".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string())], [key, url, "text"])
-
-    # pages with open lines alone need the join; the others keep their lines where they are
-    some = F.exists("rows", lambda r: r["open"])
-    joined = cutting.filter(some).join(drops, ["host", "path"], "left").select(key, url, "rows", "drop")
-    whole = cutting.filter(~some).select(key, url, "rows", F.lit(None).cast("array<long>").alias("drop"))
-    return whole.unionByName(joined).mapInArrow(join, f"{key} {kinds[key]}, {url} {kinds[url]}, text string")
+            for marks, hashes, rows, drop in zip(*(batch.column(k).to_pylist() for k in ("marks", "hashes", "texts", "drop")), strict=True):
+                kept = [k for k, t in enumerate(rows) if t is not None]
+                if drop:
+                    gone: dict[int, int] = {}
+                    for x in np.frombuffer(drop, np.uint64).tolist():
+                        gone[x] = gone.get(x, 0) + 1
+                    named = np.frombuffer(hashes, np.uint64).tolist()
+                    stay = []
+                    for k in kept:
+                        if marks[k] != INSIDE and gone.get(named[k]):
+                            gone[named[k]] -= 1
+                        else:
+                            stay.append(k)
+                    kept = stay
+                texts.append("\n".join(rows[k] for k in kept))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), batch.column("n_shared")], [key, url, "text", "n_shared"])
+
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
+    joined = found.join(drops, ["host", "path"], "left").select(key, url, "marks", "hashes", "texts", "drop", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    return joined.mapInArrow(join, f"{key} {kinds[key]}, {url} {kinds[url]}, text string, n_shared long")
 
 
 def report(pages: DataFrame) -> DataFrame:
-    return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared")

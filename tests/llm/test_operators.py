@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on a fixture and on edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -349,28 +350,114 @@ def test_png_round_trip():
         media.from_png(media.to_png(payload)[:60] + b"\0" + media.to_png(payload)[61:])
 
 
-def test_html_text(spark):
-    rows = [
-        (1, "http://a.b/x/1", "<p>menu</p><p>one &amp; two</p><p>foot</p>"), (2, "http://a.b/x/2", "<p>menu</p><p>two</p><p>foot</p>"), (2, "http://a.b/x/2", "<p>menu</p><p>two</p><p>foot</p>"), (3, None, None),
-        (4, "http://a.b/z", "<nav>n</nav><article><h1>T</h1><p>a\n b<br>c<div class=\"comments\"><p>hm</div><script>x()</script></article><p>foot</p>"), (5, "::bad", ""),
+PAGES = [
+    (1, "http://a.b/x/1", "<p>menu</p><p>one &amp; two</p><p>foot</p>"), (2, "http://a.b/x/2", "<p>menu</p><p>two</p><p>foot</p>"), (2, "http://a.b/x/2", "<p>menu</p><p>two</p><p>foot</p>"), (3, None, None),
+    (4, "http://a.b/z", "<nav>n</nav><article><h1>T</h1><p>a\n b<br>c<div class=\"comments\"><p>hm</div><script>x()</script></article><p>foot</p>"), (5, "::bad", ""), (None, "http://a.b/z", "<p>foot"), (6, "::bad", "<p>menu</p>"),
+    (7, "http://c.d/1", "<article><header><h1>Title</h1></header><p>See <a class=share>this</a> page.</p><div class=share-box>Share it</div><p>both</p></article>"),
+    (8, "http://c.d/2", "<article><h1>Other</h1><div class=share-box>Share it</div><div class=side-story><p>A real story.</p></div><p>both</p><footer>f</footer></article>"),
+]
+
+
+def lcs(a, b):
+    """One of the longest common subsequences, as places in ``a``, by the plain table."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.append(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i - 1][j] >= t[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+def main_text_truth(rows):
+    """Texts by plain loops; of lines that several alignments could share, any has the same text."""
+    by = defaultdict(list)
+    for _, u, h in rows:
+        found = html_text.lines(h)
+        if html_text.place(u)[0] and found:
+            by[html_text.place(u)].append(found)
+    # of pages with one path that with the least bytes of hashes, then marks, stands for them
+    order = lambda found: (b"".join(int(html_text.xxhash.xxh64_intdigest(t)).to_bytes(8, "little") for _, t in found), bytes(m for m, _ in found))
+    pages = [(w, min(x, key=order)) for w, x in sorted(by.items())]
+    drop = {}
+    for k, (w, found) in enumerate(pages):
+        near = [pages[j] for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][0][0] == w[0]]
+        if near:
+            best = max(near, key=lambda x: len(os.path.commonprefix([x[0][1], w[1]])))
+            drop[w] = Counter(found[i][1] for i in lcs([t for _, t in found], [t for _, t in best[1]]) if found[i][0] != html_text.INSIDE)
+    out = []
+    for i, u, h in rows:
+        found, gone, kept = html_text.lines(h), Counter(drop.get(html_text.place(u))), []
+        for (m, t), own in zip(found, html_text.own_lines([m for m, _ in found]), strict=True):
+            if own and (m == html_text.INSIDE or not gone[t]):
+                kept.append(t)
+            elif own:
+                gone[t] -= 1
+        out.append((i, u, "\n".join(kept)))
+    return out
+
+
+def test_html_text(spark, smoke_dir):
+    shape = "page_id long, url string, html string"
+    got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"], r["n_shared"]) for r in html_text.report(spark.createDataFrame(PAGES, shape)).collect()), key=repr)
+    assert got == [
+        (0, "", 0, 1), (1, "one & two", 9, 2), (2, "two", 3, 2), (2, "two", 3, 2), (3, "", 0, 0), (4, "T\na b c", 7, 1), (5, "", 0, 0), (6, "menu", 4, 0), (7, "Title\nSee this page.\nboth", 25, 1), (8, "Other\nA real story.\nboth", 24, 1),
     ]
-    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
-    assert got == [(1, "one & two", 9), (2, "two", 3), (2, "two", 3), (3, "", 0), (4, "T\na b c", 7), (5, "", 0)]
-    assert html_text.report(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
-
-
-def test_longest_common_subsequence():
-    def plain(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
-
-    for _ in range(400):
-        a, b = ([RNG.randrange(5) for _ in range(RNG.randrange(12))] for _ in range(2))
-        s = html_text.shared(a, b)
-        assert len(s) == plain(a, b) == plain([a[k] for k in s], b)
+    assert html_text.report(spark.createDataFrame([], shape)).collect() == []
+    extra = spark.createDataFrame([(*r, "x", 1) for r in PAGES], shape + ", host string, text long")
+    assert shown(html_text.report(extra).collect()) == shown(html_text.report(spark.createDataFrame(PAGES, shape)).collect())
+
+
+def templated(sites, pages, rng):
+    """Pages of nothing but div elements: a template of the site around lines of their own."""
+    for s in range(sites):
+        top, foot = [f"site {s} link {k}" for k in range(6)], [f"site {s} foot {k}" for k in range(4)]
+        for k in range(pages):
+            own = [f"{s} {k} " + " ".join(rng.choices(WORDS, k=8)) for _ in range(rng.randrange(1, 9))]
+            html = "".join(f"<div>{x}</div>" for x in [*top, *own[:3], f"site {s} aside", *own[3:], *foot])
+            yield (s * 100 + k, f"https://s{s}.org/a/{k:03d}", f"<html><body>{html}</body></html>"), "\n".join(own)
+
+
+def test_html_differencing_decides(spark, smoke_dir, monkeypatch):
+    """Div-only pages lose their template and nothing else; without the alignment they keep it. Whole tables equal plain loops."""
+    rows, texts = zip(*templated(3, 7, random.Random(2)), strict=True)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["text"] for r in html_text.report(table).orderBy("page_id").collect()] == list(texts)
+    pages = spark.read.parquet(f"{smoke_dir}/pages.parquet").select("page_id", "url", "html")
+    for some in (PAGES, [tuple(r) for r in pages.collect()], list(rows)):
+        got = [(r["page_id"], r["url"], r["text"]) for r in html_text.report(spark.createDataFrame(some, "page_id long, url string, html string")).collect()]
+        assert shown(got) == shown(main_text_truth(some))
+    counted = html_text.report(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).agg(F.sum("n_shared")).first()[0]
+    assert counted > 0
+    monkeypatch.setattr(html_text, "shared", lambda a, b: np.zeros(0, np.int64))
+    assert [r["text"] for r in html_text.report(table).orderBy("page_id").collect()] != list(texts)
+
+
+def test_longest_common_subsequence(monkeypatch):
+    for small in (1 << 20, 6):
+        monkeypatch.setattr(html_text, "SMALL", small)
+        for _ in range(400):
+            a, b = ([RNG.randrange(5) for _ in range(RNG.randrange(12))] for _ in range(2))
+            s = html_text.shared(a, b).tolist()
+            assert len(s) == len(set(s)) == len(lcs(a, b)) == len(lcs([a[k] for k in s], b)) and s == sorted(s)
+
+
+def test_long_pages_align_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 3, 6000), rng.integers(0, 3, 6000)
+    tracemalloc.start()
+    assert len(html_text.shared(a, b)) > 3000
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
 
 
 def test_quality_held_out(spark, edge, none):
