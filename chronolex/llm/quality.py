@@ -9,6 +9,9 @@ pooled adjacent violators; remainder 2 is never learned from.
 Null text scores as empty text. Rows without a label, with a null label or a
 null id take no part in learning. Repeated rows score alike and repeated
 labels of a document are averaged. With labels of no kind every score is 0.5.
+Very long texts are measured whole, slice by slice of a batch. An empty table
+gives an empty result; other columns are kept, one named like the score is
+replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from .common import LOWER, RangeHash, held_out, slices, words
 FOURIER = 192
 """Random features; the sums held by a partition have (FOURIER + 1)**2 numbers."""
 PARTS = 16
-"""Partitions that sum normal equations, so that the driver adds up PARTS matrices at any size."""
+"""Sums of normal equations that the driver adds up at any size."""
 RIDGE = 1e-3
 BINS = 4096
 ACCEPT = 0.7
@@ -158,7 +161,18 @@ def _fit(rows: DataFrame) -> Model:
             a, b, n = a + z.T @ z, b + z.T @ y, n + len(y)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["a", "b", "n"])
 
-    parts = learn.repartition(PARTS).mapInArrow(normal, "a binary, b binary, n long").collect()
+    def merged(batches):
+        total = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = np.frombuffer(r["a"]), np.frombuffer(r["b"]), r["n"]
+                total = own if total is None else tuple(x + y for x, y in zip(total, own, strict=True))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total[0].tobytes()], pa.binary()), pa.array([total[1].tobytes()], pa.binary()), pa.array([total[2]], pa.int64())], ["a", "b", "n"])
+
+    # every partition sums its own rows where they lie; only sums travel
+    sums_ = learn.mapInArrow(normal, "a binary, b binary, n long").filter("n > 0")
+    parts = sums_.repartition(PARTS).mapInArrow(merged, "a binary, b binary, n long").collect()
     a = sum(np.frombuffer(p["a"]) for p in parts).reshape(FOURIER + 1, FOURIER + 1)
     b, n = sum(np.frombuffer(p["b"]) for p in parts), sum(p["n"] for p in parts)
     model.weights = np.linalg.solve(a + RIDGE * n * np.eye(FOURIER + 1) / FOURIER, b)
@@ -178,6 +192,7 @@ def _fit(rows: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """All columns of ``docs`` and the calibrated score of each whole text."""
+    docs = docs.drop(column)
 
     def run(batches):
         for batch in batches:
