@@ -6,7 +6,9 @@ sorted pair keys, takes the lowest rank in each word, merges all its
 occurrences and closes the gaps; words without a pair left leave the array.
 
 Null text encodes as empty text: no ids, empty decoded string. Repeated rows
-are encoded alike. Other columns of the table are ignored.
+are encoded alike. Very long texts are encoded whole, a very long word in as many
+rounds as it has merges of different rank, each over what is left of it. An empty
+table gives an empty result. Other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 MEMO_WORDS = 400_000
-"""Words whose ids are remembered in a worker; beyond it the memo starts anew (speed only)."""
+MEMO_CHARACTERS = 8_000_000
+"""Words, and characters of them, whose ids are remembered in a worker; beyond either the memo starts anew (speed only)."""
 
 
 def byte_letters() -> list[str]:
@@ -39,9 +42,9 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file with word ends and dropped white space."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str):
+        """``file`` is the text of a vocabulary file."""
+        spec = json.loads(file)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -66,6 +69,7 @@ class WordBpe:
         self.find_ascii = re.compile(plain).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text without special tokens. White space parts words and is dropped, so runs of it need no folding."""
@@ -113,10 +117,12 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        if len(self.memo) + len(new) > MEMO_WORDS or self.held + sum(map(len, new)) > MEMO_CHARACTERS:
             self.memo.clear()
+            self.held = 0
             new = list(words)
         if new:
+            self.held += sum(map(len, new))
             self.memo.update(zip(new, (tuple(x.tolist()) for x in self.merge(new)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -145,10 +151,12 @@ class WordBpe:
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``ids`` array<int> and ``decoded`` string of every row; ``vocabulary`` is a path that executors can open."""
+    """``key``, ``ids`` array<int> and ``decoded`` string of every row; ``vocabulary`` is a path on the driver, which sends the file's text along."""
+    with open(vocabulary, encoding="utf-8") as f:
+        file = f.read()
 
     def run(batches):
-        coder = WordBpe(vocabulary)
+        coder = WordBpe(file)
         for batch in batches:
             for part, _, _ in slices(batch, text):
                 ids = coder.encode_batch([t or "" for t in part.column(text).to_pylist()])

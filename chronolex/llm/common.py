@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +23,11 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share. Where none is set, one beside the warehouse, or a new one of our own if all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="chronolex-")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        path = "file://" + tempfile.mkdtemp(prefix="chronolex-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chronolex"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
@@ -35,13 +40,41 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+_written: list[list[str]] = [[]]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written[-1].append(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        _drop(t.sparkSession, t._folder)
+
+
+@contextmanager
+def scratch():
+    """Tables written inside are deleted at the end, but for those given to the function that this yields."""
+    kept: list[str] = []
+    _written.append([])
+    spark = SparkSession.getActiveSession()
+    try:
+        yield lambda *tables: kept.extend(t._folder for t in tables)
+    finally:
+        for path in _written.pop():
+            if path in kept:
+                _written[-1].append(path)
+            else:
+                _drop(spark, path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,21 +98,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         i = j
 
 
-def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
-
-    return df.mapInArrow(run, schema)
-
-
 _rng = np.random.default_rng(0x5EED)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -142,11 +160,6 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def text_of(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that clashing names elsewhere in the table do no harm."""
-    return df.select(*[F.col(c) for c in columns])
-
-
 BATCH_BYTES = 4 << 20
 """Bytes of an Arrow batch: rows may hold whole texts or sets, so a count of rows bounds nothing."""
 
@@ -154,19 +167,29 @@ BATCH_BYTES = 4 << 20
 WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it, and get batches of bounded size."""
-    import os
+_sent: set[str] = set()
 
+
+def importable(spark: SparkSession) -> None:
+    """Send this package to the Python workers, and let them get batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     # workers give large arrays back to the system as soon as they are freed, as idle ones are kept by the executor
     for name, value in WORKER_MEMORY.items():
         spark.sparkContext.environment.setdefault(name, value)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    context = spark.sparkContext.applicationId
+    if context not in _sent:
+        _sent.add(context)
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        # the driver serves the archive to every executor, so they need no folder of the driver's
+        archive = os.path.join(tempfile.mkdtemp(prefix="chronolex-"), f"{os.path.basename(package)}-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(package):
+                for x in files:
+                    if x.endswith(".py"):
+                        path = os.path.join(folder, x)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(archive)
 
 
 BLOOM_BITS = 26

@@ -10,7 +10,8 @@ media by digest and returns them at their positions with their captions.
 A digest that many documents share is split over SALTS parts before the join;
 there are at most HOT_SHARE such digests, so their list can be broadcast.
 
-Null text is empty text; an empty text is one row of padding. Null HTML parses
+Null text is empty text; an empty text is one row of padding; a very long text is
+one image. Extra columns are ignored, and an empty table has no sequences. Null HTML parses
 to an empty sequence. A reference without a stored payload keeps its row with
 null media columns. Repeated rows and equal texts share one payload.
 """

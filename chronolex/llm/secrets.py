@@ -13,8 +13,12 @@ than transitions can make up is outside on every best path; so the text falls
 into short open runs between such tokens and only those are decoded, with the
 same result.
 
-Null text has no spans. Repeated rows have equal spans. Spans are in code
-points, end exclusive. Without texts to learn from the generated windows remain.
+Null and empty texts have no spans; a very long text is decoded whole, as any
+other. Repeated rows have equal spans; of spans with one start the order of the
+kinds decides. Rows with a null id are scanned, but not learned from. Spans are
+in code points, end exclusive. Without texts to learn from the generated windows
+remain. An empty table gives an empty result; other columns are kept, one named
+like the result is replaced.
 """
 
 from __future__ import annotations
@@ -368,10 +372,12 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Crf:
     return train(examples)
 
 
-def scan(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``secrets``, an array of (kind, start, end) in order of start, then kind."""
+def scan(docs: DataFrame, model: Crf, text: str = "text", column: str = "secrets") -> DataFrame:
+    """All columns of ``docs`` and ``column``, an array of (kind, start, end) in order of start, then kind."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(column)
+
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -389,10 +395,10 @@ def scan(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
                         more = [(len(raw[:s].decode()), len(raw[:e].decode())) for s, e in more]
                     own += [(s, 3, e) for s, e in more if not any(s < y and x < e for x, _, y, _, _ in spans)]
                     out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(own)])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, "secrets"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*part.schema.names, column])
 
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secrets", T.ArrayType(item))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(item))]))
 
 
 def redact(docs: DataFrame, model: Crf, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -401,7 +407,7 @@ def redact(docs: DataFrame, model: Crf, text: str = "text", mark: str = "[SECRET
     def run(batches):
         for batch in batches:
             texts = []
-            for t, spans in zip(batch.column(text).to_pylist(), batch.column("secrets").to_pylist(), strict=True):
+            for t, spans in zip(batch.column(text).to_pylist(), batch.column("_secrets_found").to_pylist(), strict=True):
                 if spans:
                     parts, at = [], 0
                     for s in spans:
@@ -410,10 +416,10 @@ def redact(docs: DataFrame, model: Crf, text: str = "text", mark: str = "[SECRET
                         at = max(at, s["end"])
                     t = "".join([*parts, t[at:]])
                 texts.append(t)
-            names = [x for x in batch.schema.names if x != "secrets"]
+            names = [x for x in batch.schema.names if x != "_secrets_found"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == text else batch.column(x) for x in names], names)
 
-    return scan(docs, model, text).mapInArrow(run, docs.schema)
+    return scan(docs, model, text, "_secrets_found").mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
