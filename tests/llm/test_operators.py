@@ -139,10 +139,10 @@ def jaccard_truth(rows):
     return [(name, len(sets[i]), least.get(find(i))) for i, (name, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("hot", "rounds", "sets"), [(48, 6, 1000), (3, 1, 10), (1, 6, 1000), (2, 0, 7), (1, 2, 10)])
-def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, rounds, sets):
+@pytest.mark.parametrize(("hot", "leaders", "sets"), [(48, 3, 1000), (3, 1, 10), (1, 3, 7)])
+def test_jaccard_equals_brute_force(spark, docs, edge, none, monkeypatch, hot, leaders, sets):
     monkeypatch.setattr(jaccard, "HOT_LIST", hot)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "LEADERS", leaders)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
     rng = random.Random(7)
     near = [(100 + k, " ".join(w if rng.random() > 0.01 * (k % 6) else f"new{rng.randrange(5)}" for w in PROSE.split()[k % 4 : 300 - k % 9 * 4])) for k in range(60)]
@@ -176,18 +176,27 @@ def test_jaccard_one_of_each(spark, edge):
 
 
 def test_jaccard_rows_follow_the_size_of_a_group(spark, monkeypatch):
-    """Near copies of one text are compared with a leader, in as many rows as there are copies, and never in blocks."""
-    monkeypatch.setattr(jaccard, "block_links", None)
-    compared = []
-    plain = jaccard.overlaps
+    """Near copies of one text are compared with leaders, in as many rows as there are copies; only what no leader links meets in blocks."""
+    compared, blocked = [], []
+    plain, forest = jaccard.overlaps, jaccard.block_links
     monkeypatch.setattr(jaccard, "overlaps", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    monkeypatch.setattr(jaccard, "block_links", lambda *a: blocked.append(forest(*a)) or blocked[-1])
     base = [f"w{k}" for k in range(120)]
     for n in (300, 1200):
         compared.clear()
         rows = [(k, " ".join(base[:j] + [f"x{k}"] + base[j:])) for k in range(n) for j in [k * 7 % 120]]
         got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"))
         assert {r["component_id"] for r in got.collect()} == {0}
-        assert sum(compared) < 12 * n
+        assert sum(compared) < 40 * n
+    assert blocked == [None, None]
+
+
+def test_forest_links_components_once():
+    a, b = np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64)
+    sets = [a, b, a[:90], np.arange(500, 600, dtype=np.uint64)]
+    minor = np.array([False, False, True, True])
+    assert [x.tolist() if hasattr(x, "tolist") else x for x in jaccard._forest(np.arange(4), np.array([0, 0, 2, 3]), minor, sets)] == [[2], [0]]
+    assert jaccard._forest(np.arange(4), np.array([0, 0, 0, 3]), minor, sets) == ([], [])
 
 
 @pytest.mark.parametrize("bridge", [[(None, 8)], [(1, 8)]])
