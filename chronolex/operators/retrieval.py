@@ -20,7 +20,7 @@ def lengths(chunks: DataFrame, *carry: str, key: str = "chunk_id") -> DataFrame:
     return chunks.select(key, *carry, F.size(T.index_tokens(F.col("text"))).cast("long").alias("dl"))
 
 
-def query_terms(queries: DataFrame, mode: str = "legacy") -> DataFrame:
+def query_terms(queries: DataFrame, mode: str = "salient") -> DataFrame:
     """(query_id, term, weight): the query's terms, with how often each counts."""
     if mode == "legacy":
         first = F.slice(T.query_tokens(F.col("query_text")), 1, CONFIG.query_terms)
@@ -63,27 +63,55 @@ def salient_terms(queries: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= CONFIG.query_terms).select("query_id", "term", "score", F.col("first").cast("long"), F.col("rank").cast("long"))
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, query_year, chunk_id, doc_id, decision_year, score) of every chunk with a query term.
+SALTS = 8
+"""Parts that the postings of one term are dealt to when queries meet them, as a common term is in most chunks."""
 
-    Numbers of chunks, their lengths and the frequencies of terms are taken over
-    the whole corpus, whatever later filters the candidates. Postings are cut to
-    the terms in use before anything is shuffled by term.
+
+def index_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, decision_year, dl, tf) of every chunk. A chunk's tokens are in its row, so nothing is shuffled."""
+    tokens = chunks.select("chunk_id", "doc_id", "decision_year", T.index_tokens(F.col("text")).alias("t"))
+    # a token counts where it starts a run of equal ones in order
+    runs = tokens.select("chunk_id", "doc_id", "decision_year", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.get(F.col("t"), i - 2)))
+    starts = F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>"))
+    held = runs.withColumn("s", starts)
+    item = F.transform("s", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get(F.col("s"), k + 1), F.size("t") + 1) - i).cast("long").alias("tf")))
+    return held.select("chunk_id", "doc_id", "decision_year", "dl", F.explode(item).alias("i")).select("i.term", "chunk_id", "doc_id", "decision_year", "dl", "i.tf")
+
+
+def index_terms(postings: DataFrame) -> DataFrame:
+    """(term, df, cf) over the whole index."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def index_size(chunks: DataFrame) -> DataFrame:
+    """One row: number of chunks and their mean length."""
+    return lengths(chunks).agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
+
+
+def bm25(postings: DataFrame, statistics: DataFrame, size: DataFrame, terms: DataFrame, queries: DataFrame, eligible: bool = False) -> DataFrame:
+    """(query_id, query_year, chunk_id, doc_id, decision_year, score) of every chunk with a query term, from a stored index.
+
+    Frequencies of terms, numbers of chunks and their lengths are those of the
+    whole index; ``eligible`` leaves chunks that are not earlier than the query
+    out before they are scored, which changes no score. Postings of one term are
+    dealt to SALTS parts, so a common term is no one task's.
     """
-    stats = lengths(chunks, "doc_id", "decision_year")
-    whole = stats.agg(F.struct(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl")).alias("w")).scalar()
-    used = terms.select("term").distinct()
-    # postings per chunk need no shuffle: a chunk's tokens are in its row
-    tokens = chunks.select("chunk_id", "doc_id", "decision_year", T.index_tokens(F.col("text")).alias("tokens"))
-    hits = tokens.select("chunk_id", "doc_id", "decision_year", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(used, "term", "left_semi")
-    tf = hits.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_id").alias("doc_id"), F.first("decision_year").alias("decision_year"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "term").withColumn("whole", whole).select("*", "whole.*")
+    whole = size.select(F.struct("n_all", "avgdl")).scalar()
+    weights = terms.join(statistics, "term").join(queries.select("query_id", "query_year"), "query_id").withColumn("whole", whole).select("*", "whole.*")
     idf = F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.withColumn("idf", F.when(idf <= 0, CONFIG.least_idf).otherwise(idf))
+    weights = weights.withColumn("idf", F.when(idf <= 0, CONFIG.least_idf).otherwise(idf)).select("query_id", "query_year", "term", "weight", "idf", "avgdl", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    met = salted.join(weights, ["term", "salt"])
+    if eligible:
+        met = met.filter(F.col("decision_year") < F.col("query_year"))
     part = F.col("weight") * F.col("idf") * F.col("tf") * (CONFIG.k1 + 1) / (F.col("tf") + CONFIG.k1 * (1 - CONFIG.b + CONFIG.b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.first("doc_id").alias("doc_id"), F.first("decision_year").alias("decision_year"))
-    return scored.join(queries.select("query_id", "query_year"), "query_id")
+    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.first("doc_id").alias("doc_id"), F.first("decision_year").alias("decision_year"), F.first("query_year").alias("query_year"))
+
+
+def without(candidates: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Candidates from sources that are not the query's own judgment; ``duplicates`` has (query_id, doc_id). Ranks stay."""
+    return candidates.join(duplicates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
 def top_k(scored: DataFrame, k: int = CONFIG.top_k, before: bool = True) -> DataFrame:

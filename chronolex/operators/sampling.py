@@ -27,7 +27,18 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def digest(rows: DataFrame, line: Column, order: list[Column]) -> DataFrame:
-    """One SHA-256 of all lines in order. Lines are hashed first, so a row is 64 bytes whatever it held."""
-    each = rows.select(F.sha2(line, 256).alias("h"), F.struct(*order).alias("k"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+def digest(rows: DataFrame, line: Column, order: Column, per: int = 1000, *keys: str) -> DataFrame:
+    """(keys, digest, n): SHA-256 over the digests of runs of lines, in order of a whole-number key.
+
+    A run holds the lines whose key is the same multiple of ``per``; the digests
+    of runs are put together in runs again until one is left, so no task holds
+    more than ``per`` of them, however many rows there are. Keys may not repeat.
+    """
+    level = rows.select(*keys, order.cast("long").alias("_k"), F.sha2(line, 256).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"])
+    widest = rows.agg(F.max(F.abs(order.cast("long")))).first()[0] or 0
+    while True:
+        level = level.groupBy(*keys, F.floor(F.col("_k") / per).cast("long").alias("_r")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("_h"), F.sum("_n").alias("_n")).withColumnRenamed("_r", "_k")
+        widest //= per
+        if not widest:
+            return level.select(*keys, F.col("_h").alias("digest"), F.col("_n").alias("n"))

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import alignment as A
 from ..registry import register
 from ..sources.adapters import cases, fold, having, queries, sources, table
+from ..sources.store import stored
 
 STOPS = ", ".join(f"'{w}'" for w in IDENTITY_STOP_WORDS)
 PHRASE = "regexp_extract_all({0}, '[a-z]{{3,}}')"
@@ -35,6 +36,13 @@ SHARED = f"""qp AS (SELECT DISTINCT query_id, unnest({shingle('t')}) AS phrase F
  total AS (SELECT doc_id, count(*) AS total FROM sp GROUP BY doc_id),
  shared AS (SELECT query_id, sp.doc_id, sum(n)::BIGINT AS shared, count(*) AS distinct_shared, any_value(total) AS total, arg_min(sp.phrase, first) AS example FROM qp JOIN sp ON qp.phrase = sp.phrase JOIN total ON total.doc_id = sp.doc_id GROUP BY query_id, sp.doc_id)"""
 BASE = having("sources", "queries") + f", {SHARED}"
+
+
+def shared_phrases(spark, sf_dir):
+    """The stored phrases that queries share with sources."""
+    return stored(spark, sf_dir, "shared-phrases", lambda: A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir)))
+
+
 GUARD = f"shared >= {CONFIG.shared_phrases} AND distinct_shared / total >= {CONFIG.phrase_coverage}"
 
 
@@ -84,23 +92,23 @@ def d02_shingles(spark, sf_dir):
 
 @register("d03_shared_phrases", BASE + " SELECT query_id, doc_id, shared, least(shared, 100)::BIGINT AS capped, example FROM shared")
 def d03_shared_phrases(spark, sf_dir):
-    p = A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir))
+    p = shared_phrases(spark, sf_dir)
     return p.select("query_id", "doc_id", "shared", F.least("shared", F.lit(CONFIG.shared_phrases)).cast("long").alias("capped"), "example")
 
 
 @register("j11_phrase_coverage", BASE + " SELECT query_id, doc_id, round(distinct_shared / total, 6) AS coverage FROM shared")
 def j11_phrase_coverage(spark, sf_dir):
-    return A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir)).select("query_id", "doc_id", F.round(F.col("distinct_shared") / F.col("total"), 6).alias("coverage"))
+    return shared_phrases(spark, sf_dir).select("query_id", "doc_id", F.round(F.col("distinct_shared") / F.col("total"), 6).alias("coverage"))
 
 
 @register("r09_self_matches", BASE + f" SELECT query_id, doc_id FROM shared WHERE {GUARD}")
 def r09_self_matches(spark, sf_dir):
-    return A.self_matches(A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir))).select("query_id", "doc_id")
+    return A.self_matches(shared_phrases(spark, sf_dir)).select("query_id", "doc_id")
 
 
 @register("r10_excluded_counts", BASE + f" SELECT query_id, sum(({GUARD})::INT)::BIGINT AS excluded, count(*) AS n FROM shared GROUP BY query_id")
 def r10_excluded_counts(spark, sf_dir):
-    p = A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir))
+    p = shared_phrases(spark, sf_dir)
     bad = (F.col("shared") >= CONFIG.shared_phrases) & (F.col("distinct_shared") / F.col("total") >= CONFIG.phrase_coverage)
     return p.groupBy("query_id").agg(F.sum(bad.cast("long")).alias("excluded"), F.count("*").alias("n"))
 
@@ -108,7 +116,7 @@ def r10_excluded_counts(spark, sf_dir):
 @register("d05_alignment_gate", BASE + f", gate AS (SELECT query_id, s.doc_id, shared, len(list_intersect({identity('title')}, {identity('query_text')})) AS terms, len({identity('title')}) AS own FROM shared JOIN sources s ON s.doc_id = shared.doc_id JOIN queries USING (query_id)) SELECT query_id, doc_id, shared >= {CONFIG.shared_phrases} AS content, terms >= {CONFIG.shared_terms} AND terms / own >= {CONFIG.identity_coverage} AS title, shared >= {CONFIG.shared_phrases} AND terms >= {CONFIG.shared_terms} AND terms / own >= {CONFIG.identity_coverage} AS passed FROM gate")
 def d05_alignment_gate(spark, sf_dir):
     s, qs = sources(spark, sf_dir), queries(spark, sf_dir)
-    p = A.shared_phrases(qs, s).select("query_id", "doc_id", "shared")
+    p = shared_phrases(spark, sf_dir).select("query_id", "doc_id", "shared")
     met = p.join(s.select("doc_id", "title"), "doc_id").join(qs.select("query_id", F.col("query_text").alias("text")), "query_id")
     g = A.title_gate(met)
     content = F.col("shared") >= CONFIG.shared_phrases
@@ -223,14 +231,6 @@ def p31_split_predicates(spark, sf_dir):
     return dev.groupBy("split").agg(F.count("*").alias("n"), F.sum((F.col("label") == 1).cast("long")).alias("positive"))
 
 
-@register("j12_disjunctive_match", "SELECT a.c_custkey, b.s_suppkey FROM customer a JOIN supplier b ON a.c_custkey = b.s_suppkey OR (a.c_nationkey = b.s_nationkey AND round(a.c_acctbal, 0) = round(b.s_acctbal, 0))")
-def j12_disjunctive_match(spark, sf_dir):
-    a, b = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    out = a.join(b, a.c_custkey == b.s_suppkey).select("c_custkey", "s_suppkey")
-    more = a.join(b, (a.c_nationkey == b.s_nationkey) & (F.round("c_acctbal", 0) == F.round("s_acctbal", 0))).select("c_custkey", "s_suppkey")
-    return out.unionByName(more).distinct()
-
-
 @register("j14_unique_title", having("sources") + f", n AS (SELECT doc_id, array_to_string(list_sort({identity('title')}), ' ') AS t, decision_date AS d FROM sources) SELECT t, d, min(doc_id) AS doc_id FROM n WHERE d IS NOT NULL GROUP BY t, d HAVING count(*) = 1")
 def j14_unique_title(spark, sf_dir):
     n = sources(spark, sf_dir).filter("decision_date is not null").select("doc_id", F.array_join(F.array_sort(T.identity_tokens(F.col("title"))), " ").alias("t"), F.col("decision_date").alias("d"))

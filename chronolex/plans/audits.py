@@ -10,13 +10,12 @@ from ..functions import temporal
 from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import answers as V
-from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..registry import register
 from ..sources.adapters import cases, fold, having, logits, pages, passages, queries, sources, table
-from .alignment import SHARED, STATUS, identity
-from .evaluation import ALL, EVIDENCE, KEY, _judged, _run, _tampered
-from .retrieval import BASE, POST, PRE, _scored
+from .alignment import SHARED, STATUS, identity, shared_phrases
+from .evaluation import ALL, EVIDENCE, KEY, _judged, _run, tampered
+from .retrieval import BASE, POST, PRE, retrieved
 
 LEGAL = r"\b(section|sections|article|articles)\s+(\d+[a-z]*)"
 
@@ -42,7 +41,7 @@ def p28_status_filter(spark, sf_dir):
 
 @register("p29_eligible_top5", BASE + f", {POST} SELECT query_id, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM late WHERE status = 'eligible') WHERE k <= 5")
 def p29_eligible_top5(spark, sf_dir):
-    late = R.top_k(_scored(spark, sf_dir), before=False).filter("status = 'eligible'")
+    late = retrieved(spark, sf_dir, before=False).filter("status = 'eligible'")
     k = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return late.withColumn("k", k).filter("k <= 5").select("query_id", "rank", "chunk_id")
 
@@ -61,17 +60,17 @@ def p32_stable_rows(spark, sf_dir):
 
 @register("a03_runs_by_status", BASE + f", {POST} SELECT status, count(*) AS n FROM late GROUP BY status")
 def a03_runs_by_status(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir), before=False).groupBy("status").agg(F.count("*").alias("n"))
+    return retrieved(spark, sf_dir, before=False).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @register("a26_rank_range", BASE + f", {PRE} SELECT query_id, min(rank) AS best, max(rank) AS worst, count(DISTINCT doc_id) AS sources FROM pre GROUP BY query_id")
 def a26_rank_range(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir)).groupBy("query_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.countDistinct("doc_id").alias("sources"))
+    return retrieved(spark, sf_dir).groupBy("query_id").agg(F.min("rank").alias("best"), F.max("rank").alias("worst"), F.countDistinct("doc_id").alias("sources"))
 
 
 @register("j04_hydrated_candidates", BASE + f", {PRE}, sources AS (SELECT doc_id, source AS court FROM documents) SELECT query_id, rank, chunk_id, court, page FROM pre JOIN passages USING (chunk_id) JOIN sources ON sources.doc_id = pre.doc_id")
 def j04_hydrated_candidates(spark, sf_dir):
-    pre = R.top_k(_scored(spark, sf_dir)).select("query_id", "rank", "chunk_id", "doc_id")
+    pre = retrieved(spark, sf_dir).select("query_id", "rank", "chunk_id", "doc_id")
     p = passages(spark, sf_dir).select("chunk_id", F.col("page").cast("long").alias("page"))
     return pre.join(p, "chunk_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("court")), "doc_id").select("query_id", "rank", "chunk_id", "court", "page")
 
@@ -85,7 +84,7 @@ def j07_first_dates(spark, sf_dir):
 @register("j10_audited_exclusion", BASE + f", {PRE} SELECT query_id, rank, chunk_id FROM pre WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def j10_audited_exclusion(spark, sf_dir):
     bad = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    return R.top_k(_scored(spark, sf_dir)).join(bad, "doc_id", "left_anti").select("query_id", "rank", "chunk_id")
+    return retrieved(spark, sf_dir).join(bad, "doc_id", "left_anti").select("query_id", "rank", "chunk_id")
 
 
 @register("u01_bag_union", "SELECT key, count(*) AS n FROM (SELECT o_custkey AS key FROM orders UNION ALL SELECT c_custkey FROM customer) GROUP BY key")
@@ -118,7 +117,7 @@ def o02_multi_key_sort(spark, sf_dir):
 @register("d09_answer_key_audit", having("sources", "queries") + f", {SHARED} SELECT query_id, s.doc_id, shared >= {CONFIG.shared_phrases} AS accepted, len(list_intersect({identity('title')}, {identity('query_text')})) AS terms FROM shared JOIN sources s ON s.doc_id = shared.doc_id JOIN queries USING (query_id) WHERE s.doc_id <> query_id")
 def d09_answer_key_audit(spark, sf_dir):
     s, q = sources(spark, sf_dir), queries(spark, sf_dir)
-    p = A.shared_phrases(q, s).filter("doc_id <> query_id").select("query_id", "doc_id", "shared")
+    p = shared_phrases(spark, sf_dir).filter("doc_id <> query_id").select("query_id", "doc_id", "shared")
     met = p.join(s.select("doc_id", "title"), "doc_id").join(q.select("query_id", F.col("query_text").alias("text")), "query_id")
     return A.title_gate(met).select("query_id", "doc_id", (F.col("shared") >= CONFIG.shared_phrases).alias("accepted"), F.col("shared_terms").alias("terms"))
 
@@ -129,63 +128,19 @@ def d10_freeze_sanity(spark, sf_dir):
     return c.agg(F.count("*").alias("n"), (F.countDistinct("id") == F.count("*")).alias("distinct_ids"), F.sum((F.col("split") == "test").cast("long")).alias("in_test"), F.sum(F.col("query_year").between(1958, 1993).cast("long")).alias("in_span"))
 
 
-@register("v07_pipeline_gate", ALL + f", {EVIDENCE} SELECT query_id, count(*) AS shown, 0::BIGINT AS failed, true AS released FROM ev GROUP BY query_id")
-def v07_pipeline_gate(spark, sf_dir):
-    """Answers are released only without a failed citation; what was rendered from the run has none."""
-    pre, ev = _run(spark, sf_dir)
-    c = ev.withColumn("evidence_id", F.concat(F.lit("E"), "position"))
-    for name in V.AUTHORITY:
-        c = c.withColumn(f"law_{name}", F.col(name))
-    none = pre.select("query_id", "doc_id").limit(0)
-    corpus = ev.select("chunk_id", "text", *V.METADATA).dropDuplicates(["chunk_id"])
-    done = V.verify(c, corpus, pre, none)
-    return done.groupBy("query_id").agg(F.count("*").alias("shown"), F.sum((~F.col("passed")).cast("long")).alias("failed"), F.bool_and("passed").alias("released"))
-
-
 @register("v06_failed_counts", ALL + f", {EVIDENCE} SELECT query_id, count(*) AS shown, sum((position IN (2, 3, 4))::INT)::BIGINT AS altered FROM ev GROUP BY query_id")
 def v06_failed_counts(spark, sf_dir):
     """A stored batch with altered answers: every altered item is found by the audit, and no other."""
     _, ev = _run(spark, sf_dir)
-    found = V.audit(_tampered(ev), ev).groupBy("query_id").agg(F.countDistinct("chunk_id").alias("altered"))
+    found = V.audit(tampered(ev), ev).groupBy("query_id").agg(F.countDistinct("chunk_id").alias("altered"))
     return ev.groupBy("query_id").agg(F.count("*").alias("shown")).join(found, "query_id", "left").select("query_id", "shown", F.coalesce("altered", F.lit(0)).cast("long").alias("altered"))
 
 
-@register("v08_spot_check", ALL + f", {EVIDENCE} SELECT query_id, true AS equal, count(*) AS n FROM ev GROUP BY query_id")
-def v08_spot_check(spark, sf_dir):
-    """Answers rebuilt from stored rows name the same chunks in the same order."""
-    _, ev = _run(spark, sf_dir)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"])
-    shown = V.render(queries(spark, sf_dir), ev.drop("status", "query_year")).select("query_id", F.transform("evidence", lambda e: e["chunk_id"]).alias("a"))
-    return shown.join(ev.groupBy("query_id").agg(ids.alias("b"), F.count("*").alias("n")), "query_id").select("query_id", (F.col("a") == F.col("b")).alias("equal"), "n")
-
-
-@register("v12_probe_violations", "SELECT 'blank_item' AS rule, sum((text IS NULL OR text = '')::INT)::BIGINT AS n FROM benchmark UNION ALL SELECT 'repeated_item', count(*) - count(DISTINCT item_id) FROM benchmark UNION ALL SELECT 'too_few', (count(*) < 8)::BIGINT FROM benchmark")
-def v12_probe_violations(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    wide = b.agg(F.sum((F.col("text").isNull() | (F.col("text") == "")).cast("long")).alias("blank_item"), (F.count("*") - F.countDistinct("item_id")).alias("repeated_item"), (F.count("*") < 8).cast("long").alias("too_few"))
-    return wide.unpivot([], ["blank_item", "repeated_item", "too_few"], "rule", "n")
-
-
-@register("v15_candidate_gate", having("cases") + " SELECT id, CASE WHEN split = 'test' AND label IS NOT NULL THEN 'evaluation' WHEN split <> 'test' THEN 'dev_example' ELSE 'rejected' END AS admitted FROM cases")
-def v15_candidate_gate(spark, sf_dir):
-    gate = F.when((F.col("split") == "test") & F.col("label").isNotNull(), "evaluation").when(F.col("split") != "test", "dev_example").otherwise("rejected")
-    return cases(spark, sf_dir).select("id", gate.alias("admitted"))
-
-
 @register("m05_windows_per_case", f"SELECT document, count(*) AS windows, round(min(l0), 6) AS low, round(max(l0), 6) AS high FROM ({having('logits')} SELECT * FROM logits) GROUP BY document")
 def m05_windows_per_case(spark, sf_dir):
     return logits(spark, sf_dir).groupBy("document").agg(F.count("*").alias("windows"), F.round(F.min("l0"), 6).alias("low"), F.round(F.max("l0"), 6).alias("high"))
 
 
-@register("m04_exact_metrics", having("logits") + ", m AS (SELECT document, label, (avg(l1) > avg(l0))::INT AS g FROM logits GROUP BY ALL) SELECT count(*) AS n, true AS equal FROM m")
-def m04_exact_metrics(spark, sf_dir):
-    """Predictions rebuilt from stored logits give exactly the same scores."""
-    a, b = (M.confusion(M.mean_pool(logits(spark, sf_dir)), "label", "guess") for _ in range(2))
-    named = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.col("n").alias("k"))
-    met = a.join(named, a["n"] == named["k"])
-    return met.select("n", F.forall(F.array(*[F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in a.columns]), lambda x: x).alias("equal"))
-
-
-@register("a19_bucket_sources", ALL + f", {SHARED}, {KEY} SELECT bucket, min(rank) AS best, count(*) AS n, count(DISTINCT doc_id) AS sources FROM judged GROUP BY bucket")
+@register("a19_bucket_sources", ALL + f", {KEY} SELECT bucket, min(rank) AS best, count(*) AS n, count(DISTINCT doc_id) AS sources FROM judged GROUP BY bucket")
 def a19_bucket_sources(spark, sf_dir):
     return _judged(spark, sf_dir)[0].groupBy("bucket").agg(F.min("rank").alias("best"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("sources"))

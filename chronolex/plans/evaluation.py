@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
-from ..operators import alignment as A
 from ..operators import answers as V
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..registry import register
-from ..sources.adapters import fold, having, logits, passages, queries, sources, table  # noqa: F401
-from .alignment import GUARD, SHARED
-from .retrieval import BM25, LEGACY, PICK, POSTINGS, PRE
+from ..sources.adapters import having, logits, passages, queries, sources, table
+from ..sources.store import stored
+from .retrieval import EXPECTED, SELECTED, candidates, expected, own_sources
 
-ALL = having("sources", "pages", "passages", "queries") + f", {POSTINGS}, {LEGACY}, {BM25}, {PRE}, {PICK}"
+ALL = SELECTED
 EVIDENCE = """ev AS (SELECT pick.query_id, pick.query_year, position, 'E' || position AS evidence_id, pick.chunk_id, p.text, pick.doc_id, s.case_id, s.court, s.decision_year, p.page FROM pick JOIN passages p ON p.chunk_id = pick.chunk_id JOIN sources s ON s.doc_id = pick.doc_id)"""
 
 
@@ -25,11 +24,10 @@ def _corpus(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    """(candidates, evidence with passages and metadata)."""
-    q = queries(spark, sf_dir)
-    pre = R.top_k(R.bm25(passages(spark, sf_dir), R.query_terms(q), q))
+    """(candidates, evidence with passages and metadata): the stored run of salient terms without the query's own judgment, and what is selected of it."""
+    pre = candidates(spark, sf_dir)
     pick = R.diverse(pre).select("query_id", "query_year", "position", "chunk_id", "status")
-    return pre, pick.join(_corpus(spark, sf_dir), "chunk_id")
+    return pre, stored(spark, sf_dir, "evidence", lambda: pick.join(_corpus(spark, sf_dir), "chunk_id"))
 
 
 LEVEL = "CASE WHEN count(ev.query_id) = 0 THEN 'insufficient' WHEN count(ev.query_id) = 1 THEN 'limited' ELSE 'multiple_selected_passages' END"
@@ -56,54 +54,53 @@ def v02_render_guards(spark, sf_dir):
 
 
 # Answers are tampered with by position, so that every failure path runs.
-TAMPER = """shown AS (SELECT query_id, query_year, position, evidence_id, CASE WHEN position = 4 THEN chunk_id || '-gone' ELSE chunk_id END AS chunk_id, CASE WHEN position = 2 THEN text || ' altered' ELSE text END AS text, doc_id, case_id, CASE WHEN position = 3 THEN 'other' ELSE court END AS court, decision_year, page FROM ev)"""
+def _tamper(some: str) -> str:
+    return f"shown AS (SELECT query_id, query_year, position, evidence_id, CASE WHEN position = 4 AND {some} THEN chunk_id || '-gone' ELSE chunk_id END AS chunk_id, CASE WHEN position = 2 AND {some} THEN text || ' altered' ELSE text END AS text, doc_id, case_id, CASE WHEN position = 3 AND {some} THEN 'other' ELSE court END AS court, decision_year, page FROM ev)"
 
 
-def _tampered(ev):
-    at = F.col("position")
+TAMPER = _tamper("true")
+
+
+def tampered(ev, some=None):
+    at = F.when(F.lit(True) if some is None else some, F.col("position"))
     return ev.withColumn("chunk_id", F.when(at == 4, F.concat("chunk_id", F.lit("-gone"))).otherwise(F.col("chunk_id"))).withColumn("text", F.when(at == 2, F.concat("text", F.lit(" altered"))).otherwise(F.col("text"))).withColumn("court", F.when(at == 3, "other").otherwise(F.col("court")))
 
 
+def checked(some_of_s: str, some: str) -> str:
+    """Shown citations, tampered with where ``some``, and the failures of each."""
+    return f"""{_tamper(some)},
+ corpus AS (SELECT p.chunk_id, p.text, p.doc_id, s.case_id, s.court, s.decision_year, p.page FROM passages p JOIN sources s ON s.doc_id = p.doc_id),
+ chk AS (SELECT s.query_id, s.evidence_id, s.chunk_id, list_filter(list_concat(CASE WHEN c.chunk_id IS NULL THEN ['corpus_chunk_missing'] ELSE [CASE WHEN s.court IS DISTINCT FROM c.court THEN 'corpus_metadata_mismatch:court' END, CASE WHEN s.text IS DISTINCT FROM c.text THEN 'passage_mismatch' END, CASE WHEN (s.case_id || CASE WHEN position = 5 AND {some_of_s} THEN 'x' ELSE '' END) IS DISTINCT FROM c.case_id THEN 'authority_metadata_mismatch:case_id' END, CASE WHEN s.court IS DISTINCT FROM c.court THEN 'authority_metadata_mismatch:court' END, CASE WHEN dup.doc_id IS NOT NULL THEN 'query_duplicate_source' END, CASE WHEN c.decision_year = s.query_year THEN 'temporal_same_year_unresolved' WHEN c.decision_year > s.query_year THEN 'temporal_ineligible' END] END, [CASE WHEN kept.chunk_id IS NULL THEN 'not_retrieved_for_query' END]), lambda x: x IS NOT NULL) AS f
+  FROM shown s LEFT JOIN corpus c ON c.chunk_id = s.chunk_id LEFT JOIN dup ON dup.query_id = s.query_id AND dup.doc_id = c.doc_id LEFT JOIN kept ON kept.query_id = s.query_id AND kept.chunk_id = s.chunk_id)"""
+
+
 @register("v03_grounding_audit", ALL + f", {EVIDENCE}, {TAMPER}, j AS (SELECT s.query_id, s.chunk_id, e.chunk_id IS NULL AS unknown, s.text IS DISTINCT FROM e.text AS t, s.court IS DISTINCT FROM e.court AS c FROM shown s LEFT JOIN ev e ON e.query_id = s.query_id AND e.chunk_id = s.chunk_id) SELECT query_id, chunk_id, 'unknown_chunk' AS reason FROM j WHERE unknown UNION ALL SELECT query_id, chunk_id, 'altered_passage' FROM j WHERE NOT unknown AND t UNION ALL SELECT query_id, chunk_id, 'altered_court' FROM j WHERE NOT unknown AND c")
 def v03_grounding_audit(spark, sf_dir):
     ev = _run(spark, sf_dir)[1]
-    return V.audit(_tampered(ev), ev)
+    return V.audit(tampered(ev), ev)
 
 
-@register("v04_citation_checks", ALL + f""", {EVIDENCE}, {TAMPER}, {SHARED}, dup AS (SELECT query_id, doc_id FROM shared WHERE {GUARD}),
- corpus AS (SELECT p.chunk_id, p.text, p.doc_id, s.case_id, s.court, s.decision_year, p.page FROM passages p JOIN sources s ON s.doc_id = p.doc_id),
- chk AS (SELECT s.query_id, s.evidence_id, s.chunk_id, list_filter(list_concat(CASE WHEN c.chunk_id IS NULL THEN ['corpus_chunk_missing'] ELSE [CASE WHEN s.court IS DISTINCT FROM c.court THEN 'corpus_metadata_mismatch:court' END, CASE WHEN s.text IS DISTINCT FROM c.text THEN 'passage_mismatch' END, CASE WHEN (s.case_id || CASE WHEN position = 5 THEN 'x' ELSE '' END) IS DISTINCT FROM c.case_id THEN 'authority_metadata_mismatch:case_id' END, CASE WHEN s.court IS DISTINCT FROM c.court THEN 'authority_metadata_mismatch:court' END, CASE WHEN dup.doc_id IS NOT NULL THEN 'query_duplicate_source' END, CASE WHEN c.decision_year = s.query_year THEN 'temporal_same_year_unresolved' WHEN c.decision_year > s.query_year THEN 'temporal_ineligible' END] END, [CASE WHEN pre.chunk_id IS NULL THEN 'not_retrieved_for_query' END]), lambda x: x IS NOT NULL) AS f
-  FROM shown s LEFT JOIN corpus c ON c.chunk_id = s.chunk_id LEFT JOIN dup ON dup.query_id = s.query_id AND dup.doc_id = c.doc_id LEFT JOIN pre ON pre.query_id = s.query_id AND pre.chunk_id = s.chunk_id)
- SELECT query_id, evidence_id, chunk_id, array_to_string(f, ',') AS failures, len(f) = 0 AS passed FROM chk""")
+@register("v04_citation_checks", ALL + f", {EVIDENCE}, {checked('true', 'true')} SELECT query_id, evidence_id, chunk_id, array_to_string(f, ',') AS failures, len(f) = 0 AS passed FROM chk")
 def v04_citation_checks(spark, sf_dir):
     pre, ev = _run(spark, sf_dir)
-    c = _tampered(ev).withColumn("evidence_id", F.concat(F.lit("E"), "position"))
+    c = tampered(ev).withColumn("evidence_id", F.concat(F.lit("E"), "position"))
     for name in V.AUTHORITY:
         c = c.withColumn(f"law_{name}", F.col(name))
     c = c.withColumn("law_case_id", F.when(F.col("position") == 5, F.concat("case_id", F.lit("x"))).otherwise(F.col("case_id")))
-    same = A.self_matches(A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir)))
-    done = V.verify(c, _corpus(spark, sf_dir), pre, same)
+    done = V.verify(c, _corpus(spark, sf_dir), pre, own_sources(spark, sf_dir))
     return done.select("query_id", "evidence_id", "chunk_id", F.array_join("failures", ",").alias("failures"), "passed")
 
 
-KEY = f"""expected AS (SELECT query_id, doc_id FROM (SELECT query_id, s.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, s.doc_id) AS k FROM shared JOIN sources s ON s.doc_id = shared.doc_id JOIN queries USING (query_id) WHERE s.doc_id <> query_id AND s.decision_year < query_year) WHERE k = 1),
- judged AS (SELECT e.query_id, e.doc_id, rank, CASE WHEN pk.doc_id IS NOT NULL THEN 'retrieved_and_selected' WHEN rank IS NOT NULL THEN 'retrieved_not_selected' ELSE 'absent' END AS bucket FROM expected e LEFT JOIN (SELECT query_id, doc_id, min(rank) AS rank FROM pre GROUP BY ALL) r ON r.query_id = e.query_id AND r.doc_id = e.doc_id LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM pick) pk ON pk.query_id = e.query_id AND pk.doc_id = e.doc_id)"""
+KEY = f"""{EXPECTED},
+ judged AS (SELECT e.query_id, e.doc_id, rank, CASE WHEN pk.doc_id IS NOT NULL THEN 'retrieved_and_selected' WHEN rank IS NOT NULL THEN 'retrieved_not_selected' ELSE 'absent' END AS bucket FROM expected e LEFT JOIN (SELECT query_id, doc_id, min(rank) AS rank FROM kept GROUP BY ALL) r ON r.query_id = e.query_id AND r.doc_id = e.doc_id LEFT JOIN (SELECT DISTINCT query_id, doc_id FROM pick) pk ON pk.query_id = e.query_id AND pk.doc_id = e.doc_id)"""
 
 
 def _judged(spark, sf_dir):
-    q, s = queries(spark, sf_dir), sources(spark, sf_dir)
-    p = A.shared_phrases(q, s).join(s.select("doc_id", "decision_year"), "doc_id").join(q.select("query_id", "query_year"), "query_id")
-    expected = A.first_of(p.filter("doc_id <> query_id and decision_year < query_year"), ["query_id"], [F.desc("shared"), F.col("doc_id")]).select("query_id", "doc_id")
     pre, ev = _run(spark, sf_dir)
-    return V.judge(expected, pre, ev), ev
+    return V.judge(expected(spark, sf_dir), pre, ev), ev
 
 
-@register("v05_answer_key", ALL + f", {SHARED}, {KEY} SELECT query_id, doc_id, rank, bucket FROM judged")
-def v05_answer_key(spark, sf_dir):
-    return _judged(spark, sf_dir)[0]
-
-
-@register("a15_retrieval_metrics", ALL + f""", {SHARED}, {KEY}, n AS (SELECT count(*) AS cases, sum((rank <= 5)::INT) AS at5, sum((rank IS NOT NULL)::INT) AS atk, sum((bucket = 'retrieved_and_selected')::INT) AS hit FROM judged), m AS (SELECT count(*) AS shown FROM pick WHERE query_id IN (SELECT query_id FROM judged))
+@register("a15_retrieval_metrics", ALL + f""", {KEY}, n AS (SELECT count(*) AS cases, sum((rank <= 5)::INT) AS at5, sum((rank IS NOT NULL)::INT) AS atk, sum((bucket = 'retrieved_and_selected')::INT) AS hit FROM judged), m AS (SELECT count(*) AS shown FROM pick WHERE query_id IN (SELECT query_id FROM judged))
  SELECT cases, CASE WHEN cases > 0 THEN round(coalesce(at5, 0) / cases, 6) END AS recall_5, CASE WHEN cases > 0 THEN round(coalesce(atk, 0) / cases, 6) END AS recall_k, CASE WHEN shown > 0 THEN round(coalesce(hit, 0) / shown, 6) END AS precision, CASE WHEN cases > 0 THEN round(coalesce(hit, 0) / cases, 6) END AS recall FROM n, m""")
 def a15_retrieval_metrics(spark, sf_dir):
     judged, ev = _judged(spark, sf_dir)
@@ -115,33 +112,15 @@ def a15_retrieval_metrics(spark, sf_dir):
     return both.select("cases", M.ratio(c("at5"), c("cases")).alias("recall_5"), M.ratio(c("atk"), c("cases")).alias("recall_k"), M.ratio(c("hit"), c("shown")).alias("precision"), M.ratio(c("hit"), c("cases")).alias("recall"))
 
 
-@register("a19_error_buckets", ALL + f", {SHARED}, {KEY} SELECT bucket, count(*) AS n, min(rank) AS best FROM judged GROUP BY bucket")
+@register("a19_error_buckets", ALL + f", {KEY} SELECT bucket, count(*) AS n, min(rank) AS best FROM judged GROUP BY bucket")
 def a19_error_buckets(spark, sf_dir):
     return _judged(spark, sf_dir)[0].groupBy("bucket").agg(F.count("*").alias("n"), F.min("rank").alias("best"))
 
 
-@register("r12_without_self_matches", ALL + f", {SHARED}, dup AS (SELECT query_id, doc_id FROM shared WHERE {GUARD}) SELECT query_id, rank, chunk_id FROM pre WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.query_id = pre.query_id AND dup.doc_id = pre.doc_id)")
+@register("r12_without_self_matches", ALL + f" SELECT query_id, doc_id, rank, chunk_id, position FROM pick")
 def r12_without_self_matches(spark, sf_dir):
-    pre, _ = _run(spark, sf_dir)
-    same = A.self_matches(A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir)))
-    return pre.join(same.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "rank", "chunk_id")
-
-
-@register("v09_presentation_parity", ALL + f", {EVIDENCE} SELECT query_id, string_agg('[' || evidence_id || '] ' || case_id || ', ' || court, chr(10) ORDER BY position) AS structured, string_agg(case_id, '; ' ORDER BY position) AS plain, true AS same_ids FROM ev GROUP BY query_id")
-def v09_presentation_parity(spark, sf_dir):
-    _, ev = _run(spark, sf_dir)
-    held = ev.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "case_id", "court"))).alias("e"))
-    line = lambda e: F.concat(F.lit("[E"), e["position"], F.lit("] "), e["case_id"], F.lit(", "), e["court"])
-    s, p = F.array_join(F.transform("e", line), "\n"), F.array_join(F.transform("e", lambda e: e["case_id"]), "; ")
-    parity = F.regexp_extract_all(s, F.lit(r"\d{4} INSC \d+"), F.lit(0)) == F.regexp_extract_all(p, F.lit(r"\d{4} INSC \d+"), F.lit(0))
-    return held.select("query_id", s.alias("structured"), p.alias("plain"), parity.alias("same_ids"))
-
-
-@register("v13_replay_determinism", ALL + f", {EVIDENCE} SELECT count(*) AS n, true AS equal FROM ev")
-def v13_replay_determinism(spark, sf_dir):
-    row = lambda ev: ev.select("query_id", "position", F.sha2(F.to_json(F.struct("chunk_id", "doc_id", "text")), 256).alias("h"))
-    a, b = row(_run(spark, sf_dir)[1]), row(_run(spark, sf_dir)[1]).withColumnRenamed("h", "g")
-    return a.join(b, ["query_id", "position"], "full").agg(F.count("*").alias("n"), F.bool_and(F.col("h").eqNullSafe(F.col("g"))).alias("equal"))
+    """Diverse selection of CONFIG.selected sources from the run without the query's own judgment."""
+    return R.diverse(candidates(spark, sf_dir)).select("query_id", "doc_id", "rank", "chunk_id", "position")
 
 
 # --- predictions -------------------------------------------------------------

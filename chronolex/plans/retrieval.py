@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, PROCEDURAL_STOP_WORDS
 from ..functions import text as T
+from ..operators import alignment as A
 from ..operators import retrieval as R
 from ..registry import register
-from ..sources.adapters import fold, having, passages, queries
+from ..sources.adapters import fold, having, passages, queries, sources
+from ..sources.store import sorted_by, stored
+from .alignment import GUARD, SHARED, shared_phrases
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 STOPS = ", ".join(f"'{w}'" for w in PROCEDURAL_STOP_WORDS)
@@ -20,36 +23,80 @@ BM25 = f"""whole AS (SELECT count(*) AS n_all, avg(len(t)) AS avgdl FROM tok), d
  marked AS (SELECT s.*, q.query_year, CASE WHEN decision_year IS NULL THEN 'missing_temporal_metadata' WHEN decision_year < query_year THEN 'eligible' WHEN decision_year = query_year THEN 'same_year_unresolved' ELSE 'ineligible' END AS status FROM scored s JOIN queries q ON s.query_id = q.query_id)"""
 PRE = f"pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM marked WHERE status = 'eligible') WHERE rank <= {CONFIG.top_k})"
 POST = f"late AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM marked) WHERE rank <= {CONFIG.top_k})"
-PICK = f"pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, rank) AS own FROM pre) WHERE own = 1) WHERE position <= {CONFIG.selected})"
-BASE = having("pages", "passages", "queries") + f", {POSTINGS}, {LEGACY}, {BM25}"
+KEPT = f"dup AS (SELECT query_id, doc_id FROM shared WHERE {GUARD}), kept AS (SELECT * FROM pre WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.query_id = pre.query_id AND dup.doc_id = pre.doc_id))"
+PICK = f"pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, rank) AS own FROM kept) WHERE own = 1) WHERE position <= {CONFIG.selected})"
 SALIENT = f"""qt AS (SELECT query_id, query_text, regexp_extract_all({fold('query_text')}, '[A-Za-z0-9]{{2,}}') AS t FROM queries),
  counts AS (SELECT query_id, term, count(*) AS n, min(pos) - 1 AS first FROM (SELECT query_id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM qt) GROUP BY query_id, term),
  cut AS (SELECT query_id, query_text, list_filter(list_transform(string_split_regex(regexp_replace(query_text, '(?:\\r?\\n){{2,}}|([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: len(regexp_extract_all(s, '[A-Za-z0-9]{{2,}}')) >= 4) AS parts FROM queries),
  seg AS (SELECT query_id, unnest(range(1, len(p) + 1)) AS segment, unnest(p) AS body FROM (SELECT query_id, CASE WHEN len(parts) > 0 THEN parts ELSE [query_text] END AS p FROM cut)),
- total AS (SELECT query_id, count(*) AS segments FROM seg GROUP BY query_id),
+ seg_total AS (SELECT query_id, count(*) AS segments FROM seg GROUP BY query_id),
  tf AS (SELECT query_id, segment, term, count(*) AS tf FROM (SELECT query_id, segment, unnest(list_filter(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{{2,}}'))) AS term FROM seg) WHERE term NOT IN ({STOPS}) GROUP BY ALL),
- df AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
- w AS (SELECT tf.query_id, segment, tf.term, tf * (ln((1 + segments) / (1 + df)) + 1) AS w FROM tf JOIN df ON tf.query_id = df.query_id AND tf.term = df.term JOIN total ON total.query_id = tf.query_id),
- norm AS (SELECT query_id, segment, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
- best AS (SELECT w.query_id, term, max(w / norm) AS tfidf FROM w JOIN norm ON w.query_id = norm.query_id AND w.segment = norm.segment GROUP BY ALL),
+ sdf AS (SELECT query_id, term, count(*) AS df FROM tf GROUP BY ALL),
+ sw AS (SELECT tf.query_id, segment, tf.term, tf * (ln((1 + segments) / (1 + df)) + 1) AS w FROM tf JOIN sdf ON tf.query_id = sdf.query_id AND tf.term = sdf.term JOIN seg_total ON seg_total.query_id = tf.query_id),
+ norm AS (SELECT query_id, segment, sqrt(sum(w * w)) AS norm FROM sw GROUP BY ALL),
+ best AS (SELECT sw.query_id, term, max(w / norm) AS tfidf FROM sw JOIN norm ON sw.query_id = norm.query_id AND sw.segment = norm.segment GROUP BY ALL),
  marks AS (SELECT DISTINCT query_id, unnest(list_concat(list_transform(regexp_extract_all({fold('query_text')}, '\\b(section|sections|article|articles)\\s+(\\d+[a-z]*)', 1), lambda x: CASE WHEN x LIKE 'section%' THEN 'section' ELSE 'article' END), regexp_extract_all({fold('query_text')}, '\\b(section|sections|article|articles)\\s+(\\d+[a-z]*)', 2))) AS term FROM queries),
  base AS (SELECT c.query_id, c.term, c.first, CASE WHEN c.query_id IN (SELECT query_id FROM best) THEN tfidf * (1 + ln(1 + n)) WHEN c.term NOT IN ({STOPS}) THEN 1 + ln(1 + n) END AS base, CASE WHEN marks.term IS NOT NULL THEN {CONFIG.legal_boost} END AS boost FROM counts c LEFT JOIN best ON best.query_id = c.query_id AND best.term = c.term LEFT JOIN marks ON marks.query_id = c.query_id AND marks.term = c.term),
  salient AS (SELECT * FROM (SELECT query_id, term, round(coalesce(base, 0) + coalesce(boost, 0), 6) AS score, first, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(base, 0) + coalesce(boost, 0), 6) DESC, first, term) AS rank FROM base WHERE base IS NOT NULL OR boost IS NOT NULL) WHERE rank <= {CONFIG.query_terms})"""
 
 
-def _scored(spark, sf_dir, mode="legacy"):
+BASE = having("pages", "passages", "queries") + f", {POSTINGS}, {LEGACY}, {BM25}"
+SALIENT_BASE = having("sources", "pages", "passages", "queries") + f", {POSTINGS}, {SALIENT}, terms AS (SELECT query_id, term, 1 AS weight FROM salient), {BM25}"
+SELECTED = f"{SALIENT_BASE}, {SHARED}, {PRE}, {KEPT}, {PICK}"
+"""Salient terms, the time rule, no source that is the query itself, then one passage per source."""
+
+
+def postings(spark, sf_dir):
+    """The stored inverted index, in files by term."""
+    return stored(spark, sf_dir, "index-postings", lambda: sorted_by(R.index_postings(passages(spark, sf_dir)), "term", "chunk_id"))
+
+
+def statistics(spark, sf_dir):
+    return stored(spark, sf_dir, "index-terms", lambda: R.index_terms(postings(spark, sf_dir)))
+
+
+def corpus_size(spark, sf_dir):
+    return stored(spark, sf_dir, "index-size", lambda: R.index_size(passages(spark, sf_dir)))
+
+
+def _scored(spark, sf_dir, mode="legacy", eligible=False):
     q = queries(spark, sf_dir)
-    return R.bm25(passages(spark, sf_dir), R.query_terms(q, mode), q)
+    return R.bm25(postings(spark, sf_dir), statistics(spark, sf_dir), corpus_size(spark, sf_dir), R.query_terms(q, mode), q, eligible)
+
+
+def retrieved(spark, sf_dir, mode="legacy", before=True, k=CONFIG.top_k):
+    """The stored run of a query mode: ranked candidates, by the time rule before or after ranking."""
+    return stored(spark, sf_dir, f"run-{mode}-{'pre' if before else 'post'}-{k}", lambda: R.top_k(_scored(spark, sf_dir, mode, before), k, before))
+
+
+def own_sources(spark, sf_dir):
+    """(query_id, doc_id): sources that are the query's own judgment."""
+    return A.self_matches(shared_phrases(spark, sf_dir)).select("query_id", "doc_id")
+
+
+EXPECTED = "expected AS (SELECT query_id, doc_id FROM (SELECT query_id, s.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, s.doc_id) AS k FROM shared JOIN sources s ON s.doc_id = shared.doc_id JOIN queries USING (query_id) WHERE s.doc_id <> query_id AND s.decision_year < query_year) WHERE k = 1)"
+
+
+def expected(spark, sf_dir):
+    """(query_id, doc_id): the earlier source with most phrases of a query, which retrieval should find."""
+    s, q = sources(spark, sf_dir).select("doc_id", "decision_year"), queries(spark, sf_dir).select("query_id", "query_year")
+    p = shared_phrases(spark, sf_dir).join(s, "doc_id").join(q, "query_id").filter("doc_id <> query_id and decision_year < query_year")
+    return A.first_of(p, ["query_id"], [F.desc("shared"), F.col("doc_id")]).select("query_id", "doc_id")
+
+
+def candidates(spark, sf_dir, mode="salient"):
+    """What a query may cite: its run without its own judgment."""
+    return R.without(retrieved(spark, sf_dir, mode), own_sources(spark, sf_dir))
 
 
 @register("r01_postings", having("pages", "passages") + f", {POSTINGS} SELECT term, chunk_id, tf FROM post")
 def r01_postings(spark, sf_dir):
-    return R.postings(passages(spark, sf_dir))
+    return postings(spark, sf_dir).select("term", "chunk_id", "tf")
 
 
 @register("r01_term_statistics", having("pages", "passages") + f", {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
 def r01_term_statistics(spark, sf_dir):
-    return R.postings(passages(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return statistics(spark, sf_dir)
 
 
 @register("r01_chunk_lengths", having("pages", "passages") + f", {POSTINGS} SELECT chunk_id, len(t)::BIGINT AS dl FROM tok")
@@ -74,56 +121,68 @@ def r06_bm25_scores(spark, sf_dir):
 
 @register("r07_bm25_temporal_topk", BASE + f", {PRE} SELECT query_id, rank, chunk_id, score, status FROM pre")
 def r07_bm25_temporal_topk(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir)).select("query_id", "rank", "chunk_id", "score", "status")
+    return retrieved(spark, sf_dir).select("query_id", "rank", "chunk_id", "score", "status")
 
 
-@register("r07_salient_temporal_topk", having("pages", "passages", "queries") + f", {POSTINGS}, {SALIENT.replace(' df AS', ' sdf AS').replace('JOIN df ON tf.query_id = df.query_id AND tf.term = df.term', 'JOIN sdf ON tf.query_id = sdf.query_id AND tf.term = sdf.term').replace(' w AS', ' sw AS').replace('FROM w ', 'FROM sw w ')}, terms AS (SELECT query_id, term, 1 AS weight FROM salient), {BM25}, {PRE} SELECT query_id, rank, chunk_id, score, status FROM pre")
+@register("r07_salient_temporal_topk", SALIENT_BASE + f", {PRE} SELECT query_id, rank, chunk_id, score, status FROM pre")
 def r07_salient_temporal_topk(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir, "salient")).select("query_id", "rank", "chunk_id", "score", "status")
+    return retrieved(spark, sf_dir, "salient").select("query_id", "rank", "chunk_id", "score", "status")
 
 
 @register("r08_post_ranking_topk", BASE + f", {POST} SELECT query_id, rank, chunk_id, score, status FROM late")
 def r08_post_ranking_topk(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir), before=False).select("query_id", "rank", "chunk_id", "score", "status")
+    return retrieved(spark, sf_dir, before=False).select("query_id", "rank", "chunk_id", "score", "status")
 
 
 @register("r11_temporal_buckets", BASE + f", {POST} SELECT query_id, status, count(*) AS n FROM late GROUP BY ALL")
 def r11_temporal_buckets(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir), before=False).groupBy("query_id", "status").agg(F.count("*").alias("n"))
+    return retrieved(spark, sf_dir, before=False).groupBy("query_id", "status").agg(F.count("*").alias("n"))
+
 
+SHOWN = "SELECT query_id, position, 'E' || position AS evidence_id, doc_id, chunk_id, score, rank FROM pick"
 
-@register("w02_diverse_select", BASE + f", {PRE}, {PICK} SELECT query_id, position, 'E' || position AS evidence_id, doc_id, chunk_id, score, rank FROM pick")
+
+def _shown(picked):
+    return picked.select("query_id", "position", F.concat(F.lit("E"), "position").alias("evidence_id"), "doc_id", "chunk_id", "score", "rank")
+
+
+@register("w02_diverse_select", f"{SELECTED} {SHOWN}")
 def w02_diverse_select(spark, sf_dir):
-    return R.diverse(R.top_k(_scored(spark, sf_dir))).select("query_id", "position", F.concat(F.lit("E"), "position").alias("evidence_id"), "doc_id", "chunk_id", "score", "rank")
+    return _shown(R.diverse(candidates(spark, sf_dir)))
+
+
+@register("w02_diverse_select_legacy", having("sources", "pages", "passages", "queries") + f", {POSTINGS}, {LEGACY}, {BM25}, {SHARED}, {PRE}, {KEPT}, {PICK} {SHOWN}")
+def w02_diverse_select_legacy(spark, sf_dir):
+    return _shown(R.diverse(candidates(spark, sf_dir, "legacy")))
 
 
 @register("w03_first_rank_of_source", BASE + f", {PRE} SELECT query_id, doc_id, min(rank) AS first_rank, count(*) AS passages FROM pre GROUP BY ALL")
 def w03_first_rank_of_source(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir)).groupBy("query_id", "doc_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("passages"))
+    return retrieved(spark, sf_dir).groupBy("query_id", "doc_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("passages"))
 
 
 @register("r13_raw_rank_at_500", BASE + ", raw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM marked) SELECT query_id, doc_id, min(rank) AS rank FROM raw WHERE rank <= 500 GROUP BY ALL")
 def r13_raw_rank_at_500(spark, sf_dir):
-    return R.top_k(_scored(spark, sf_dir), 500, before=False).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    return retrieved(spark, sf_dir, before=False, k=500).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
 
 
 @register("r14_hits_per_query", BASE + f", {PRE} SELECT q.query_id, count(pre.chunk_id) AS hits, count(pre.chunk_id) = 0 AS is_empty FROM queries q LEFT JOIN pre ON pre.query_id = q.query_id GROUP BY q.query_id")
 def r14_hits_per_query(spark, sf_dir):
-    hits = R.top_k(_scored(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("hits"))
+    hits = retrieved(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("hits"))
     return queries(spark, sf_dir).select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.col("hits").isNull().alias("is_empty"))
 
 
 LEAK = "SELECT round(avg((status = 'ineligible')::INT), 6) AS future_share, sum((status = 'ineligible')::INT)::BIGINT AS future, count(*) AS n FROM"
 
 
-@register("a16_future_exposure_post", BASE + f", {POST} {LEAK} late")
+@register("a16_future_exposure_post", SALIENT_BASE + f", {POST} {LEAK} late")
 def a16_future_exposure_post(spark, sf_dir):
-    return _exposure(R.top_k(_scored(spark, sf_dir), before=False))
+    return _exposure(retrieved(spark, sf_dir, "salient", before=False))
 
 
-@register("a16_future_exposure_pre", BASE + f", {PRE} {LEAK} pre")
+@register("a16_future_exposure_pre", SALIENT_BASE + f", {PRE} {LEAK} pre")
 def a16_future_exposure_pre(spark, sf_dir):
-    return _exposure(R.top_k(_scored(spark, sf_dir)))
+    return _exposure(retrieved(spark, sf_dir, "salient"))
 
 
 def _exposure(ranked):
@@ -131,14 +190,27 @@ def _exposure(ranked):
     return ranked.agg(F.round(F.avg(late), 6).alias("future_share"), F.sum(late).alias("future"), F.count("*").alias("n"))
 
 
+DEPTHS = (CONFIG.top_k, 500)
+
+
 @register(
     "r15_mode_regression",
-    BASE + f", {PRE}, {POST}, a AS (SELECT query_id, doc_id, min(rank) AS pre_rank FROM pre GROUP BY ALL), b AS (SELECT query_id, doc_id, min(rank) AS post_rank FROM late GROUP BY ALL) "
-    "SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, pre_rank, post_rank, coalesce(pre_rank, 1000) <= coalesce(post_rank, 1000) AS not_worse FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id",
+    having("sources", "pages", "passages", "queries") + f""", {POSTINGS}, {SALIENT}, whole AS (SELECT count(*) AS n_all, avg(len(t)) AS avgdl FROM tok), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+ {LEGACY.replace("terms AS", "lterms AS")}, both_terms AS (SELECT 'legacy' AS mode, query_id, term, weight FROM lterms UNION ALL SELECT 'salient', query_id, term, 1 FROM salient),
+ w AS (SELECT mode, query_id, b.term, weight, CASE WHEN ln((n_all - df + 0.5) / (df + 0.5)) <= 0 THEN {CONFIG.least_idf} ELSE ln((n_all - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM both_terms b JOIN df ON b.term = df.term, whole),
+ scored AS (SELECT mode, w.query_id, chunk_id, round(sum(weight * idf * tf * {CONFIG.k1 + 1} / (tf + {CONFIG.k1} * (1 - {CONFIG.b} + {CONFIG.b} * dl / avgdl))), 6) AS score, any_value(doc_id) AS doc_id, any_value(decision_year) AS decision_year FROM post JOIN w ON post.term = w.term GROUP BY ALL),
+ ranked AS (SELECT mode, s.query_id, doc_id, row_number() OVER (PARTITION BY mode, s.query_id ORDER BY score DESC, chunk_id) AS rank FROM scored s JOIN queries q ON q.query_id = s.query_id WHERE decision_year < query_year),
+ {SHARED}, {EXPECTED},
+ found AS (SELECT e.query_id, e.doc_id, k, min(CASE WHEN mode = 'legacy' AND rank <= k THEN rank END) AS legacy_rank, min(CASE WHEN mode = 'salient' AND rank <= k THEN rank END) AS salient_rank FROM expected e CROSS JOIN (VALUES {', '.join(f'({k})' for k in DEPTHS)}) d(k) LEFT JOIN ranked r ON r.query_id = e.query_id AND r.doc_id = e.doc_id GROUP BY ALL)
+ SELECT query_id, doc_id, k, legacy_rank, salient_rank, coalesce(salient_rank, k + 1) <= coalesce(legacy_rank, k + 1) AS not_worse FROM found""",
 )
 def r15_mode_regression(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    pre = R.top_k(scored).groupBy("query_id", "doc_id").agg(F.min("rank").alias("pre_rank"))
-    post = R.top_k(scored, before=False).groupBy("query_id", "doc_id").agg(F.min("rank").alias("post_rank"))
-    both = pre.join(post, ["query_id", "doc_id"], "full")
-    return both.select("query_id", "doc_id", "pre_rank", "post_rank", (F.coalesce("pre_rank", F.lit(1000)) <= F.coalesce("post_rank", F.lit(1000))).alias("not_worse"))
+    """Whether salient terms find the expected source no later than the first terms do, at each depth."""
+    found = expected(spark, sf_dir)
+    for mode in ("legacy", "salient"):
+        best = retrieved(spark, sf_dir, mode, k=max(DEPTHS)).groupBy("query_id", "doc_id").agg(F.min("rank").alias(f"{mode}_rank"))
+        found = found.join(best, ["query_id", "doc_id"], "left")
+    deep = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in DEPTHS])))
+    within = {f"{m}_rank": F.when(F.col(f"{m}_rank") <= F.col("k"), F.col(f"{m}_rank")) for m in ("legacy", "salient")}
+    late = F.col("k") + 1
+    return deep.withColumns(within).select("query_id", "doc_id", "k", "legacy_rank", "salient_rank", (F.coalesce("salient_rank", late) <= F.coalesce("legacy_rank", late)).alias("not_worse"))

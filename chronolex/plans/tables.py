@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..operators import sampling as S
 from ..registry import register
 from ..sources import formats
 from ..sources.adapters import cases, having, passages, sources, table
+from ..sources.store import shared_dir
 from ..streaming import ingest
 
 
@@ -137,28 +137,40 @@ def a09_percentiles(spark, sf_dir):
     return d.agg(*[F.round(F.percentile("n_chars", p / 100), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 95, 99)], F.sum((F.col("n_chars") > 4000).cast("long")).alias("above"))
 
 
-@register("a21_rating_means", "SELECT l_returnflag, c, round(avg(v), 6) AS mean, count(*) AS n FROM (SELECT l_returnflag, unnest(['quantity', 'discount', 'tax']) AS c, unnest([l_quantity, l_discount, l_tax]) AS v FROM lineitem) GROUP BY l_returnflag, c")
-def a21_rating_means(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    return l.unpivot(["l_returnflag"], ["quantity", "discount", "tax"], "c", "v").groupBy("l_returnflag", "c").agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"))
-
-
 @register("a22_population_summary", having("cases") + " SELECT split, label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 2) AS percent, round(quantile_cont(length(text), 0.5), 1) AS median FROM cases GROUP BY split, label")
 def a22_population_summary(spark, sf_dir):
     c = cases(spark, sf_dir).groupBy("split", "label").agg(F.count("*").alias("n"), F.round(F.percentile(F.char_length("text"), 0.5), 1).alias("median"))
     return c.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("split")), 2))
 
 
-@register("a24_manifest_digest", "SELECT sha256(string_agg(h, chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM (SELECT doc_id, sha256(doc_id || ':' || length(text) || ':' || sha256(text)) AS h FROM documents)")
+RUN = 1000
+
+
+def _levels(n: int) -> str:
+    """Digests of runs of RUN lines, twice: for keys below a million."""
+    one = "SELECT {keys}, k // {run} AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n)::BIGINT AS n FROM {of} GROUP BY {keys}, k // {run}"
+    return ", ".join(f"l{i} AS ({one.format(keys='g', run=RUN, of=f'l{i - 1}')})" for i in range(1, n + 1))
+
+
+DEEP = "(SELECT CASE WHEN max(k) < 1000 THEN 1 WHEN max(k) < 1000000 THEN 2 ELSE 3 END FROM l0)"
+
+
+def _digest_sql(lines: str) -> str:
+    return f"l0 AS ({lines}), {_levels(3)}, d AS (SELECT g, h, n FROM l1 WHERE {DEEP} = 1 UNION ALL SELECT g, h, n FROM l2 WHERE {DEEP} = 2 UNION ALL SELECT g, h, n FROM l3 WHERE {DEEP} = 3)"
+
+
+MANIFEST = "SELECT 0 AS g, doc_id AS k, sha256(doc_id || ':' || length(text) || ':' || sha256(text)) AS h, 1 AS n FROM documents"
+
+
+@register("a24_manifest_digest", f"WITH {_digest_sql(MANIFEST)} SELECT h AS digest, n FROM d")
 def a24_manifest_digest(spark, sf_dir):
     line = F.concat_ws(":", "doc_id", F.char_length("text"), F.sha2("text", 256))
-    return S.digest(table(spark, sf_dir, "documents"), line, [F.col("doc_id")])
+    return S.digest(table(spark, sf_dir, "documents"), line, F.col("doc_id"), RUN)
 
 
-@register("a25_id_digest", having("cases") + " SELECT split, sha256(string_agg(id, chr(10) ORDER BY doc_id)) AS digest FROM cases GROUP BY split")
+@register("a25_id_digest", having("cases") + f", {_digest_sql('SELECT split AS g, doc_id AS k, sha256(id) AS h, 1 AS n FROM cases')} SELECT g AS split, h AS digest, n FROM d")
 def a25_id_digest(spark, sf_dir):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "id"))), lambda x: x["id"])
-    return cases(spark, sf_dir).groupBy("split").agg(F.sha2(F.array_join(ids, "\n"), 256).alias("digest"))
+    return S.digest(cases(spark, sf_dir), F.col("id"), F.col("doc_id"), RUN, "split")
 
 
 @register("w09_latest_run", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -209,40 +221,6 @@ def u07_set_equality(spark, sf_dir):
     return odd.agg((F.count("*") == 0).alias("equal"))
 
 
-RULES = {
-    "blank_text": "text IS NULL OR text = ''",
-    "unknown_language": "lang NOT IN ('en', 'fr', 'de', 'es')",
-    "wrong_length": "n_chars <> {length}(text)",
-    "no_source": "source IS NULL OR source NOT LIKE 'src%'",
-}
-
-
-@register("v11_schema_violations", " UNION ALL ".join(f"SELECT '{k}' AS rule, sum(({v.format(length='length')})::INT)::BIGINT AS n FROM documents" for k, v in RULES.items()))
-def v11_schema_violations(spark, sf_dir):
-    wide = table(spark, sf_dir, "documents").agg(*[F.sum(F.expr(v.format(length="char_length")).cast("long")).alias(k) for k, v in RULES.items()])
-    return wide.unpivot([], list(RULES), "rule", "n")
-
-
-@register("v10_response_validation", "SELECT l_returnflag, sum((l_quantity < 1 OR l_quantity > 50)::INT)::BIGINT AS out_of_range, sum((l_quantity <> floor(l_quantity))::INT)::BIGINT AS not_whole, count(*) AS n FROM lineitem GROUP BY l_returnflag")
-def v10_response_validation(spark, sf_dir):
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum(((q < 1) | (q > 50)).cast("long")).alias("out_of_range"), F.sum((q != F.floor(q)).cast("long")).alias("not_whole"), F.count("*").alias("n"))
-
-
-@register("v14_comparable_experiments", having("cases") + " SELECT split, sha256(string_agg(id, chr(10) ORDER BY doc_id)) = sha256(string_agg(id, chr(10) ORDER BY doc_id)) AS same, count(*) AS n FROM cases GROUP BY split")
-def v14_comparable_experiments(spark, sf_dir):
-    a = a25_id_digest(spark, sf_dir)
-    b = a25_id_digest(spark, sf_dir).withColumnRenamed("digest", "other")
-    n = cases(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"))
-    return a.join(b, "split").join(n, "split").select("split", (F.col("digest") == F.col("other")).alias("same"), "n")
-
-
-@register("v16_inventory_checks", "SELECT role, count(*) AS n, count(*) = max(turn) - min(turn) + 1 AS dense FROM (SELECT conv_id, role, turn FROM conversations) GROUP BY role")
-def v16_inventory_checks(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), (F.max("turn") - F.min("turn") + 1).alias("span"))
-    return c.select("role", "n", (F.col("n") == F.col("span")).alias("dense"))
-
-
 @register("m01_tfidf_document_frequency", r"SELECT t AS term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])))) AS t FROM (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM documents)) GROUP BY t HAVING count(*) >= 2")
 def m01_tfidf_document_frequency(spark, sf_dir):
     t = outcome.terms(table(spark, sf_dir, "documents")).select(F.explode(F.array_distinct("terms")).alias("term"))
@@ -259,8 +237,7 @@ def m03_outcome_baseline(spark, sf_dir):
 @register("t01_streamed_chunks", having("pages", "passages") + " SELECT decision_year, count(*) AS n FROM passages GROUP BY decision_year")
 def t01_streamed_chunks(spark, sf_dir):
     """Chunks through the streaming ingest, each offered twice and kept once."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chronolex-")
-    folder = f"{folder}/ingest-{os.urandom(8).hex()}"
+    folder = f"{shared_dir(spark)}/ingest-{os.urandom(8).hex()}"
     p = passages(spark, sf_dir).select("chunk_id", F.concat(F.lit("S_"), "doc_id").alias("source_id"), "decision_year", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"), "text")
     p.unionByName(p).write.parquet(f"{folder}/in")
     ingest.append_to(ingest.distinct_chunks(ingest.read_chunks(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import sorted_by
+
 CHUNK_SCHEMA = "source_id string, case_id string, citation string, decision_date string, court string, title string, chunk_id string, pdf_file string, page_number int, passage_start_char int, passage_end_char int, text string, cleaning_version string, extraction_method string"
 METADATA_SCHEMA = "title string, petitioner string, respondent string, citation string, case_id string, decision_date string, disposal_nature string, court string, path string, year string"
 STORE_DDL = "chunk_id string, source_id string, case_id string, citation string, decision_date date, court string, title string, pdf_file string, page_number int, passage_start_char int, passage_end_char int, chunk_text string"
@@ -33,8 +35,9 @@ def read_listed(frame: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFram
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(chunks, malformed lines) of JSON lines; blank lines are skipped, bad ones kept aside."""
-    rows = spark.read.schema(CHUNK_SCHEMA + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    return rows.filter(F.col("_bad").isNull()).drop("_bad"), rows.filter(F.col("_bad").isNotNull()).select(F.col("_bad").alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", CHUNK_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.filter("r._bad is null").select("r.*").drop("_bad"), parsed.filter("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def read_document(spark: SparkSession, path: str, entries: str = "entries") -> DataFrame:
@@ -69,11 +72,48 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_index(postings: DataFrame, lengths: DataFrame, folder: str) -> None:
-    """The inverted index as tables: postings by term, lengths by chunk, term statistics."""
-    postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    lengths.write.mode("overwrite").parquet(f"{folder}/chunks")
-    postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").parquet(f"{folder}/terms")
+INDEX = ("postings", "terms", "size")
+
+
+def write_index(chunks: DataFrame, folder: str) -> None:
+    """The inverted index as tables: postings in files by term, statistics of terms, number and mean length of chunks."""
+    from ..operators.retrieval import index_postings, index_size, index_terms
+
+    spark = chunks.sparkSession
+    sorted_by(index_postings(chunks), "term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index_terms(spark.read.parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
+    index_size(chunks).write.mode("overwrite").parquet(f"{folder}/size")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms, size) as ``retrieval.bm25`` takes them."""
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in INDEX)
+
+
+WINDOWS = "document long, window int, start int, stop int"
+
+
+def write_windows(windows: DataFrame, folder: str) -> None:
+    """Token windows of documents, a document's windows together and in order."""
+    windows.select([c.split()[0] for c in WINDOWS.split(", ")]).repartitionByRange("document").sortWithinPartitions("document", "window").write.mode("overwrite").parquet(folder)
+
+
+def read_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(WINDOWS).parquet(folder)
+
+
+def store_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STORE_DDL).parquet(path)
+
+
+def lookup(frame: DataFrame, values: list, key: str = "chunk_id") -> DataFrame:
+    """Rows whose key is in a short list, which is pushed down to the scan."""
+    return frame.filter(F.col(key).isin(list(values)))
+
+
+def read_in_order(frame: DataFrame, *order: str):
+    """Rows one by one in order, a partition at a time on the driver."""
+    return frame.orderBy(*order).toLocalIterator(prefetchPartitions=True)
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:

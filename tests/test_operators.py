@@ -10,9 +10,9 @@ from chronolex.operators import answers as V
 from chronolex.operators import cleaning as C
 from chronolex.operators import facts as X
 from chronolex.operators import metrics as M
-from chronolex.operators import outcome, sampling
+from chronolex.operators import outcome, sampling, validation
 from chronolex.operators import retrieval as R
-from chronolex.sources import formats
+from chronolex.sources import formats, store
 from chronolex.streaming import ingest
 
 
@@ -116,11 +116,47 @@ def test_bm25_repeats_terms_and_keeps_statistics_global(spark):
     rows = [(f"c{k}", k, 2000 + k, t) for k, t in enumerate(["alpha beta", "alpha alpha gamma", "delta", "beta delta", "epsilon zeta eta"])]
     chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, decision_year int, text string")
     q = spark.createDataFrame([(1, 2001, "alpha alpha"), (2, 2001, "alpha")], "query_id long, query_year int, query_text string")
-    scored = R.bm25(chunks, R.query_terms(q), q)
+    postings = R.index_postings(chunks)
+    assert {(r["term"], r["chunk_id"]): (r["tf"], r["dl"]) for r in postings.collect()}["alpha", "c1"] == (2, 3)
+    index = postings, R.index_terms(postings), R.index_size(chunks)
+    scored = R.bm25(*index, R.query_terms(q, "legacy"), q)
     by = {(r["query_id"], r["chunk_id"]): r["score"] for r in scored.collect()}
     assert by[1, "c0"] == pytest.approx(2 * by[2, "c0"], abs=2e-6) and set(by) == {(k, c) for k in (1, 2) for c in ("c0", "c1")}
     assert {r["chunk_id"] for r in R.top_k(scored).collect()} == {"c0"}
     assert R.top_k(scored, before=False).count() == 4
+    early = R.bm25(*index, R.query_terms(q, "legacy"), q, eligible=True)
+    assert R.top_k(early).collect() == R.top_k(scored).collect()
+
+
+def test_own_judgment_is_excluded_before_selection(spark):
+    c = spark.createDataFrame([(1, 5, 1, 3.0), (1, 6, 2, 2.0), (1, 7, 3, 1.0)], "query_id long, doc_id long, rank long, score double")
+    left = R.without(c, spark.createDataFrame([(1, 5), (2, 6)], "query_id long, doc_id long"))
+    assert [(r["position"], r["doc_id"], r["rank"]) for r in R.diverse(left, 2).orderBy("position").collect()] == [(1, 6, 2), (2, 7, 3)]
+
+
+def test_matches_by_any_name(spark):
+    shape = "query_id long, source_id string, citation string, title string, decided string"
+    wanted = spark.createDataFrame([(1, "S_1", None, None, None, 10), (1, None, "c2", None, None, 11), (1, "", "", "t", "2001-01-01", 12), (1, None, None, "t", "1999-01-01", 13), (1, "S_1", "c1", "x", None, 14)], shape + ", entry_id long")
+    offered = spark.createDataFrame([(1, "S_1", "c1", "x", None, "a", 1, 1), (1, "S_2", "c2", "", "", "b", 2, 2), (1, "S_3", "", "t", "2001-01-01", "c", 3, 3), (2, "S_1", "c1", "x", None, "d", 1, 1)], shape + ", chunk_id string, doc_id long, rank long")
+    got = {(r["entry_id"], r["chunk_id"], r["by"]) for r in validation.matches(offered, wanted).collect()}
+    assert got == {(10, "a", "source"), (11, "b", "citation"), (12, "c", "title"), (14, "a", "citation+source")}
+
+
+def test_rules_report_every_fault(spark):
+    e = spark.createDataFrame([(1, "", None, False), (2, "x", 3, True), (3, None, 9, None)], "id long, name string, n int, ok boolean")
+    rules = {**validation.blank(["name", "n"]), "not_ok": "NOT ok", "large": "n > 5"}
+    assert sorted(tuple(r) for r in validation.broken(e, "id", rules).collect()) == [(1, "missing:n"), (1, "missing:name"), (1, "not_ok"), (3, "large"), (3, "missing:name")]
+    assert {r["rule"]: r["n"] for r in validation.counted(e, rules).collect()} == {"missing:name": 2, "missing:n": 1, "not_ok": 1, "large": 1}
+    assert {r["n"] for r in validation.counted(e.limit(0), rules).collect()} == {0}
+
+
+def test_stored_tables_follow_their_input(spark, tmp_path):
+    made = []
+    build = lambda: made.append(1) or spark.range(len(made))
+    (tmp_path / "in").mkdir()
+    assert [store.stored(spark, str(tmp_path / "in"), "t", build).count() for _ in range(2)] == [1, 1]
+    (tmp_path / "in" / "new").write_text("x")
+    assert store.stored(spark, str(tmp_path / "in"), "t", build).count() == 2
 
 
 def test_diverse(spark):
@@ -188,8 +224,14 @@ def test_formats(spark, tmp_path):
     formats.write_json(rows, str(tmp_path / "json"))
     assert formats.markdown(rows.select("chunk_id").limit(1)).startswith("| chunk_id |\n| --- |")
     chunks = rows.select("chunk_id", "text")
-    formats.write_index(R.postings(chunks), R.lengths(chunks), str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index/terms")).first()["cf"] == 2
+    dated = chunks.selectExpr("chunk_id", "1L AS doc_id", "2000 AS decision_year", "text")
+    formats.write_index(dated, str(tmp_path / "index"))
+    postings, terms, size = formats.read_index(spark, str(tmp_path / "index"))
+    assert terms.first()["cf"] == 2 and postings.count() == 2 and size.first()["n_all"] == 3
+    formats.write_windows(spark.createDataFrame([(1, 0, 0, 510), (1, 1, 460, 700)], formats.WINDOWS), str(tmp_path / "windows"))
+    assert [r["stop"] for r in formats.read_windows(spark, str(tmp_path / "windows")).orderBy("start").collect()] == [510, 700]
+    assert formats.lookup(formats.store_table(spark, str(tmp_path / "store")), ["c1", "zz"]).count() == 1
+    assert [r["chunk_id"] for r in formats.read_in_order(formats.store_table(spark, str(tmp_path / "store")), "chunk_id")] == ["c1", "c2"]
 
 
 def test_streaming_drops_repeats(spark, tmp_path):
