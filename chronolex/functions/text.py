@@ -18,9 +18,14 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
+def unmarked(text: Column) -> Column:
+    """Accents and other marks off, whether composed or standing by themselves."""
+    return F.translate(text, ACCENTED, UNACCENTED)
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens of the index: lower case, accents off, runs of letters and digits."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, UNACCENTED), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(unmarked(F.lower(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def query_tokens(text: Column) -> Column:

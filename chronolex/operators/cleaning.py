@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CONFIG
+from ..config import CONFIG, HEADER, MARGIN, NUMBER
 from ..functions import text as T
 
-MARGIN = r"^[A-H]$"
-NUMBER = r"^[0-9]{1,6}$"
-HEADER = r"(?i)^(?:[A-H]\s+)?SUPREME COURT REPORTS\b"
-
 
 def normal_line(line: Column) -> Column:
     return F.trim(T.casefold(F.regexp_replace(F.regexp_replace(F.trim(line), HEADER, ""), r"\s+", " ")))

@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import alignment, audits, evaluation, retrieval, reviews, tables, text  # noqa: F401
+from . import alignment, audits, evaluation, forms, retrieval, reviews, tables, text  # noqa: F401

@@ -20,12 +20,6 @@ from .retrieval import BASE, POST, PRE, retrieved
 LEGAL = r"\b(section|sections|article|articles)\s+(\d+[a-z]*)"
 
 
-@register("p07_chunk_ids", having("pages") + " SELECT doc_id, page, printf('S_%d::p%04d::c%03d', doc_id, page, 1) AS chunk_id FROM pgs")
-def p07_chunk_ids(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    return p.select("doc_id", F.col("page").cast("long").alias("page"), F.format_string("S_%d::p%04d::c%03d", "doc_id", "page", F.lit(1)).alias("chunk_id"))
-
-
 @register("p14_sentence_backup", f"SELECT doc_id, length(regexp_extract(substring(text, 1, cap), '(?s)^.*[.!?](?:[\"'')\\]”’]+)?\\s*', 0))::INT AS last_end FROM (SELECT doc_id, text, round(length(text) * {CONFIG.retained})::INT AS cap FROM documents)")
 def p14_sentence_backup(spark, sf_dir):
     from ..operators.facts import SENTENCE_END

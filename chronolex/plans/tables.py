@@ -229,7 +229,7 @@ def m01_tfidf_document_frequency(spark, sf_dir):
 
 @register("m03_outcome_baseline")
 def m03_outcome_baseline(spark, sf_dir):
-    c = cases(spark, sf_dir).filter("label is not null").select("id", "split", "text", "label").cache()
+    c = cases(spark, sf_dir).filter("label is not null").select("id", "split", "text", "label")
     best, rows = outcome.select(*[c.filter(F.col("split") == s) for s in ("train", "validation", "test")])
     return M.confusion(rows, "label", "guess").withColumn("strength", F.lit(best))
 

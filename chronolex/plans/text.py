@@ -66,6 +66,21 @@ def p05_chunks(spark, sf_dir):
     return C.chunks(C.cleaned(pages(spark, sf_dir))).select(C.chunk_id().alias("chunk_id"), "start", "end", "text")
 
 
+@register("p07_chunk_ids", PAGES + f", {FURNITURE}, {CLEAN}, {CHUNKS} SELECT doc_id, page::INT AS page, chunk::INT AS chunk, 'S_' || doc_id || '::p' || lpad(page::VARCHAR, 4, '0') || '::c' || lpad(chunk::VARCHAR, 3, '0') AS chunk_id FROM chunks")
+def p07_chunk_ids(spark, sf_dir):
+    return C.chunks(C.cleaned(pages(spark, sf_dir))).select("doc_id", "page", "chunk", C.chunk_id().alias("chunk_id"))
+
+
+@register("p12_passage_bounds", PAGES + f", {FURNITURE}, {CLEAN}, {CHUNKS}, b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN -1 ELSE start END AS start, CASE WHEN doc_id % 13 = 0 THEN start ELSE start + length(text) END AS stop, text FROM chunks) SELECT sum((start < 0)::INT)::BIGINT AS negative, sum((stop <= start)::INT)::BIGINT AS empty, sum((start < 0 OR stop <= start)::INT)::BIGINT AS wrong, count(*) AS n FROM b")
+def p12_passage_bounds(spark, sf_dir):
+    """Passage bounds of chunks, some of them spoilt: a start below zero or an end that is not behind it."""
+    c = C.chunks(C.cleaned(pages(spark, sf_dir)))
+    b = c.select(F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("start")).alias("start"), F.when(F.col("doc_id") % 13 == 0, F.col("start")).otherwise(F.col("end")).alias("stop"))
+    total = lambda c, n: F.sum(c.cast("long")).alias(n)
+    low, empty = F.col("start") < 0, F.col("stop") <= F.col("start")
+    return b.agg(total(low, "negative"), total(empty, "empty"), total(low | empty, "wrong"), F.count("*").alias("n"))
+
+
 @register("p06_evidence_chunks", PAGES + f", {FURNITURE}, {CLEAN}, {CHUNKS} SELECT doc_id, count(*) AS chunks, sum(({NOT_EVIDENCE})::INT)::BIGINT AS dropped FROM chunks GROUP BY doc_id")
 def p06_evidence_chunks(spark, sf_dir):
     made = C.chunks(C.cleaned(pages(spark, sf_dir)))
@@ -133,9 +148,14 @@ def p16_facts_eligibility(spark, sf_dir):
     return X.extract(cases(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("cases"), F.sum(X.eligible().cast("long")).alias("eligible"))
 
 
-@register("p15_outcome_cues", f"WITH c AS (SELECT doc_id, list_distinct(flatten([{', '.join(f'regexp_extract_all(text, {chr(39)}(?i){q(p)}{chr(39)})' for p in DISPOSITIVE)}])) AS x FROM documents) SELECT doc_id, len(x)::INT AS n FROM c")
+SPOKEN = "CASE WHEN doc_id % 3 = 0 THEN text || ' The appeal is dismissed. We allow the petition. THE APPEAL IS DISMISSED.' ELSE text END"
+
+
+@register("p15_outcome_cues", f"WITH c AS (SELECT doc_id, list_distinct(flatten([{', '.join(f'regexp_extract_all(text, {chr(39)}(?i){q(p)}{chr(39)})' for p in DISPOSITIVE)}])) AS x FROM (SELECT doc_id, {SPOKEN} AS text FROM documents)) SELECT doc_id, len(x)::INT AS n, array_to_string(list_transform(list_sort(list_transform(x, lambda v: {{'k': lower(v), 'v': v}})), lambda s: s.v), '|') AS phrases FROM c")
 def p15_outcome_cues(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.cues(F.col("text"))).alias("n"))
+    """Distinct phrases of all outcome patterns, in case-blind order; every third text is given some."""
+    x = X.cues(F.expr(SPOKEN))
+    return table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", F.size("x").alias("n"), F.array_join("x", "|").alias("phrases"))
 
 
 @register("p17_ends_a_sentence", FACTS + " SELECT doc_id, regexp_matches(facts, '[.!?”’]\\s*$') AS complete FROM facts")
