@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -17,29 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.adapters import table  # noqa: F401
+from ..sources.store import drop, shared_dir
 
 SLICE_BYTES = 1 << 19
 """Text handled at once inside a batch; a longer document is its own slice."""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, one beside the warehouse, or a new one of our own if all runs on this machine (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
-        path = "file://" + tempfile.mkdtemp(prefix="chronolex-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_chronolex"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the JVM may be gone already
-        return
-
-
 _written: list[list[str]] = [[]]
 
 
@@ -49,7 +31,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written[-1].append(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out
@@ -58,7 +40,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``materialise`` wrote for tables that nothing reads any more."""
     for t in tables:
-        _drop(t.sparkSession, t._folder)
+        drop(t.sparkSession, t._folder)
 
 
 @contextmanager
@@ -74,7 +56,7 @@ def scratch():
             if path in kept:
                 _written[-1].append(path)
             else:
-                _drop(spark, path)
+                drop(spark, path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
