@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, scratch, slices
 
 WIDTH = 576
 """Samples in an image row; payloads are whole rows."""
@@ -220,6 +220,10 @@ def report(docs: DataFrame) -> DataFrame:
     size = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     page = F.concat(F.lit("<article><p>A text of "), size, F.lit(f' bytes.</p><figure><img src="{PREFIX}'), payload_digest(F.col("text")), F.lit('"><figcaption>Its '), size, F.lit(" bytes as samples.</figcaption></figure></article>"))
     pages = docs.select("doc_id", page.alias("html"))
-    media = materialise(load(store(docs)), "media-features")
-    found = resolve(parse(pages, key="doc_id"), media, "doc_id")
+    with scratch() as keep:
+        media = materialise(load(store(docs)), "media-features")
+        keep(media)
+    # parsed once: the frequent digests are looked for in what the join then reads
+    sequences = materialise(parse(pages, key="doc_id"), "sequences")
+    found = resolve(sequences, media, "doc_id")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "pos")

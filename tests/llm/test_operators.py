@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -326,20 +327,77 @@ def test_crf_blocks_add_up(monkeypatch):
     assert secrets.MOST_WINDOWED == 4000 and secrets.SYNTHETIC == 1500
 
 
+def test_crf_precision_and_recall_of_planted_values(docs):
+    """Values under key words that no pattern knows, planted in plain texts, long ones too."""
+    rng = random.Random(11)
+    model = secrets.fit(docs)
+    texts, want = [], []
+    plain = [t for _, t in pairs(docs) if t and not secrets.base_spans(t)]
+    for k, t in enumerate(plain[:120]):
+        words_ = t.split(" ")
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randrange(18, 36)))
+        at = rng.randrange(len(words_) + 1)
+        planted = f"{rng.choice(['client_key', 'pwd', 'auth', 'bearer', 'credential', 'private_key'])}{rng.choice([': ', '=', ' = '])}\"{value}\""
+        t = " ".join([*words_[:at], planted, *words_[at:]]) if k % 2 else t
+        texts.append(t)
+        start = t.encode().find(value.encode()) if k % 2 else -1
+        want.append((start, start + len(value)) if k % 2 else None)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    found = model.tag(data, at, [secrets.maybe(t) for t in texts])
+    hit = sum(any(a <= w[0] and w[1] <= b for a, b in f) for f, w in zip(found, want, strict=True) if w)
+    false = sum(not (w and a < w[1] and w[0] < b) for f, w in zip(found, want, strict=True) for a, b in f)
+    print("crf", hit, sum(w is not None for w in want), false)
+    assert hit / sum(w is not None for w in want) > 0.6 and false <= 0.1 * max(hit, 1)
+
+
+def test_scores_equal_plain_formulas(edge, docs, spark):
+    """Quality scores against statistics and a kernel sum written out by text; language scores against a table of counts."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit(docs, labels)
+    some = docs.filter("doc_id < 12").select("doc_id", "text").union(edge.filter("doc_id is null or doc_id < 8").select("doc_id", "text"))
+    for r in quality.score(some, model).collect():
+        raw = (r["text"] or "").encode()
+        kind = [("letter", lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128), ("upper", lambda c: 65 <= c <= 90), ("digit", lambda c: 48 <= c <= 57), ("mark", lambda c: chr(c) in ".,;:?'\"-()"), ("line", lambda c: c == 10)]
+        share = [sum(f(c) for c in raw) / max(len(raw), 1) for _, f in kind]
+        odd = lambda c: not (kind[0][1](c) or kind[2][1](c) or kind[3][1](c) or c in (9, 10, 11, 12, 13, 32))
+        w = [x for x in re.split(rb"[\x09-\x0d\x20]+", raw) if x]
+        low = Counter(x.translate(bytes(quality.LOWER)) for x in w)
+        n = max(len(w), 1)
+        size = [len(x) for x in w]
+        mean = sum(size) / n
+        x = [np.log1p(len(raw)), *share, sum(map(odd, raw)) / max(len(raw), 1), mean, max(sum(s * s for s in size) / n - mean**2, 0) ** 0.5, len(low) / n, max(low.values(), default=0) / n, sum(odd(x[-1]) for x in w) / n, sum(s <= 1 for s in size) / n, np.log1p(len(w)), np.log1p(len(low))]
+        z = (np.clip((np.array(x) - model.mean) / model.scale, -8, 8) @ model.directions) + model.phase
+        value = float(np.r_[np.cos(z) * (2 / quality.FOURIER) ** 0.5, 1.0] @ model.weights)
+        assert np.isclose(r["score"], np.clip(np.interp(value, *model.steps), 0, 1), atol=1e-6)
+
+
 def test_redact(spark):
     table = spark.createDataFrame([(1, "é token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" b"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redact(table, secrets.Crf()).collect()} == {1: "é [SECRET]\" b", 2: None}
 
 
-def test_media(edge, none):
-    got = {}
-    for r in media.report(edge).collect():
-        got.setdefault(r["doc_id"], []).append(tuple(r)[1:5])
-    assert sum(map(len, got.values())) == len(EDGE)
-    for i, t in EDGE:
-        raw = (t or "").encode()
-        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        assert set(got[i]) == {(len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))}
+def test_media(spark, docs, edge, none):
+    """Payload columns, the stored form and the features of whole tables against plain code."""
+    for table, rows in ((edge, EDGE), (docs.select("doc_id", "text"), pairs(docs))):
+        want = []
+        for i, t in rows:
+            raw = (t or "").encode()
+            payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+            image = media.to_png(payload)
+            size, _ = struct.unpack(">II", image[16:24])
+            stored = zlib.decompress(image[image.index(b"IDAT") + 4 : image.index(b"IEND") - 8])
+            assert size == 576 and b"".join(stored[k + 1 : k + 577] for k in range(0, len(stored), 577)) == payload
+            mean = sum(payload) / len(payload)
+            spread = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+            shares = [sum(n for x, n in Counter(payload).items() if x // 32 == k) / len(payload) for k in range(8)]
+            want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), [mean, spread, *shares]))
+        got = []
+        for r in media.report(table).collect():
+            got.append((*tuple(r)[:7], [float(x) for x in r["feature"].split(";")]))
+            assert r["caption"] == f"Its {r['n_bytes']} bytes as samples." and r["pos"] == 1
+        for g, w in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+            assert g[:7] == w[:7] and np.allclose(g[7], w[7], atol=1e-5)
     assert media.report(none).collect() == []
 
 
