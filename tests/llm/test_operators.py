@@ -621,6 +621,37 @@ def test_kneser_ney_sums_to_one(spark):
         assert 1 - np.exp(model.floor[0]) - 1e-3 < p < 1.001
 
 
+def test_language_entropies_equal_plain_kneser_ney(spark):
+    """The joined tables against nested counters over strings."""
+    rows = [(k, t, lang) for lang, texts in {"xx": ["Abra cadabra!", "bra  abra", "Ü-boot"], "yy": ["banana 12 bandana", "ananas"]}.items() for k in range(40) if zlib.crc32(str(k).encode()) % 4 < 2 for t in texts]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def units(text):
+        return "   " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower()))
+
+    asked = ["cadabra", "ban Ü", "zzz qq", "a"]
+    got, size, _ = model.entropies(asked)
+    vocabulary = {u for _, t, _ in rows for u in units(t)[3:]}
+    for column, lang in enumerate(model.langs):
+        counts = {4: Counter(u[k - 3 : k + 1] for _, t, own in rows if own == lang for u in [units(t)] for k in range(3, len(u)))}
+        for order in (3, 2, 1):
+            counts[order] = Counter(g[1:] for g in counts[order + 1])
+
+        def p(gram):
+            if not gram:
+                return 1 / (len(vocabulary) + 1)
+            table = counts[len(gram)]
+            total = sum(n for g, n in table.items() if g[:-1] == gram[:-1])
+            kinds = sum(1 for g in table if g[:-1] == gram[:-1])
+            below = p(gram[1:])
+            return max((max(table[gram] - 0.75, 0) + 0.75 * kinds * below) / total if total else below, 1e-12)
+
+        for k, text in enumerate(asked):
+            u = units(text)
+            logs = [np.log(p(u[j - 3 : j + 1])) for j in range(3, len(u))]
+            assert size[k] == len(logs) and np.isclose(got[k, column], -np.mean(logs), atol=1e-3)
+
+
 def test_language_model_keeps_every_gram(spark, monkeypatch):
     """One gram in over two million stays, and chunks are scored as the whole model scores."""
     monkeypatch.setattr(langid, "CHUNK_BYTES", 1 << 20)
