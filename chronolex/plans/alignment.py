@@ -131,9 +131,14 @@ BLOCK = f"""own AS (SELECT DISTINCT doc_id, decision_year, unnest({identity('tit
 SYNTACTIC = r"syn AS (SELECT c.id, s.doc_id FROM cases c JOIN sources s ON c.id = regexp_extract(s.case_id, '^(\d{4}) INSC (\d+)$', 1) || '_' || regexp_extract(s.case_id, '^(\d{4}) INSC (\d+)$', 2))"
 
 
+def near_matches(spark, sf_dir):
+    """The stored pairs of case and source whose titles agree."""
+    return stored(spark, sf_dir, "near-matches", lambda: A.blocked_matches(cases(spark, sf_dir), sources(spark, sf_dir)))
+
+
 @register("j06_blocked_title_match", having("sources", "cases") + f", {BLOCK} SELECT id, doc_id, shared, score FROM near")
 def j06_blocked_title_match(spark, sf_dir):
-    return A.blocked_matches(cases(spark, sf_dir), sources(spark, sf_dir))
+    return near_matches(spark, sf_dir)
 
 
 @register("j05_syntactic_ids", having("sources", "cases") + f", {SYNTACTIC} SELECT id, doc_id FROM syn")
@@ -151,7 +156,7 @@ MERGED = "merged AS (SELECT id, doc_id, string_agg(origin, '+' ORDER BY ord) AS
 
 def _merged(spark, sf_dir):
     a = _syntactic(spark, sf_dir).select("id", "doc_id", F.lit(0).alias("ord"), F.lit("syntactic_id").alias("origin"))
-    b = A.blocked_matches(cases(spark, sf_dir), sources(spark, sf_dir)).select("id", "doc_id", F.lit(1).alias("ord"), F.lit("near_title_party").alias("origin"))
+    b = near_matches(spark, sf_dir).select("id", "doc_id", F.lit(1).alias("ord"), F.lit("near_title_party").alias("origin"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "origin"))), lambda x: x["origin"]), "+")
     return a.unionByName(b).groupBy("id", "doc_id").agg(joined.alias("origins"))
 
