@@ -9,7 +9,7 @@ from ..operators import answers as V
 from ..operators import metrics as M
 from ..operators import validation as C
 from ..registry import register
-from ..sources.adapters import YEAR, cases, fold, having, logits, queries, sources, table
+from ..sources.adapters import cases, fold, having, logits, queries, sources, table
 from ..sources.store import stored
 from .evaluation import ALL, EVIDENCE, KEY, MEAN, VOTE, _corpus, _judged, _run, checked, own_sources, tampered
 from .retrieval import candidates, expected
