@@ -42,7 +42,15 @@ def v01_grounded_answers(spark, sf_dir):
     return a.select("query_id", "evidence_sufficiency", ids.alias("ids"), F.sha2(F.array_join(each(lambda e: e["text"]), "\x01"), 256).alias("passages"), "conclusion")
 
 
-@register("v01_answer_json")
+TEXTS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.CONCLUSIONS.items())
+DOUBT = f"'{V.UNCERTAINTY}' || CASE {LEVEL} WHEN 'insufficient' THEN ' {V.NO_EVIDENCE}' WHEN 'limited' THEN ' {V.LIMITED_EVIDENCE}' ELSE '' END"
+LAW = "{'evidence_id': evidence_id, 'case_id': case_id, 'decision_year': decision_year, 'court': court}"
+ITEM = "{'position': position, 'evidence_id': evidence_id, 'chunk_id': chunk_id, 'doc_id': ev.doc_id, 'page': page, 'text': ev.text, 'case_id': case_id, 'court': court, 'decision_year': decision_year}"
+NESTED = f"""to_json({{'answer_version': '{V.ANSWER_VERSION}', 'explanation_order': {list(V.SECTIONS)}, 'legal_issue': {{'text': trim(any_value(query_text), ' '), 'source': 'user_query'}}, 'applicable_law_and_cases': coalesce(list({LAW} ORDER BY position) FILTER (WHERE position IS NOT NULL), []),
+ 'supporting_evidence': coalesce(list({ITEM} ORDER BY position) FILTER (WHERE position IS NOT NULL), []), 'conclusion': {{'text': CASE {LEVEL} {TEXTS} END, 'mode': '{V.MODE}', 'evidence_ids': coalesce(list(evidence_id ORDER BY position) FILTER (WHERE position IS NOT NULL), [])}}, 'evidence_sufficiency': {LEVEL}, 'uncertainty': {DOUBT}}})::VARCHAR"""
+
+
+@register("v01_answer_json", ALL + f", {EVIDENCE} SELECT q.query_id, {NESTED} AS answer FROM queries q LEFT JOIN ev ON ev.query_id = q.query_id GROUP BY q.query_id")
 def v01_answer_json(spark, sf_dir):
     _, ev = _run(spark, sf_dir)
     return V.as_json(V.render(queries(spark, sf_dir), ev.drop("status", "query_year")))
