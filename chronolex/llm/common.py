@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.adapters import table  # noqa: F401
@@ -43,6 +44,12 @@ def discard(*tables: DataFrame) -> None:
         drop(t.sparkSession, t._folder)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are gone: it does so when the driver's JVM collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch():
     """Tables written inside are deleted at the end, but for those given to the function that this yields."""
@@ -57,6 +64,7 @@ def scratch():
                 _written[-1].append(path)
             else:
                 drop(spark, path)
+        sweep(spark)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -219,3 +227,19 @@ def bloom(ids: DataFrame) -> np.ndarray:
 def maybe_in(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     place = _bloom_places(ids)
     return ((filter_[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
+def split_by(docs: DataFrame, name: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``name`` (a long) is surely not among ``ids``, and the others with it as ``_name``: a Bloom
+    filter tells, so that rows which a join would keep anyway need not be shuffled."""
+    seen = bloom(ids)
+    named = docs.withColumn("_name", name)
+
+    def sift(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(maybe_in(seen, np.asarray(batch.column("_name"))) == wanted))
+
+        return run
+
+    return named.mapInArrow(sift(False), named.schema).drop("_name"), named.mapInArrow(sift(True), named.schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, materialise, mix, slices
+from .common import RangeHash, materialise, mix, slices, sweep
 
 LENGTH = 100
 K = 32
@@ -409,9 +409,11 @@ def window_rows(bodies: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, row, start, windows): runs of windows that also start earlier, with the names that ``_named`` gives to texts."""
     settled = materialise(settle(stretch_table(docs, text, key)), "stretches")
+    sweep(docs.sparkSession)
     open_ = settled.filter(~F.col("gone"))
     sizes = materialise(open_.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot-keys")
     bodies = materialise(fetch(docs, open_, text, key), "ends")
+    sweep(docs.sparkSession)
     few = index_marks(bodies.join(sizes, "key", "left_anti"))
     many = settle(window_rows(bodies.join(sizes, "key", "left_semi"))).filter("gone")
     return settled.filter("gone").select("doc", "row", "start", "windows").unionByName(few).unionByName(many.select("doc", "row", "start", "windows"))
