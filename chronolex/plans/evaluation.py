@@ -202,6 +202,19 @@ def m09_token_lengths(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(F.percentile("k", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90, 99)], F.round(F.avg((F.col("k") > 512).cast("int")), 6).alias("over_512"))
 
 
+@register("m10_history_audit", """WITH h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, count(*) OVER (PARTITION BY user_id) AS n, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+ SELECT user_id, count(*) AS epochs, arg_min(epoch, (-value, epoch)) AS best_epoch, round(max(value), 6) AS best, round(max(CASE WHEN epoch = n THEN value END), 6) AS last, arg_min(epoch, (-value, epoch)) = max(n) AS best_is_last, sum((value < before)::INT)::BIGINT AS declines FROM h GROUP BY user_id""")
+def m10_history_audit(spark, sf_dir):
+    """Histories of a value by epoch: the first best epoch, the last value, and how often it declined."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    h = table(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(w).cast("long").alias("epoch"), F.lag("value").over(w).alias("before"))
+    best = F.min_by("epoch", F.struct(-F.col("value"), "epoch"))
+    out = h.groupBy("user_id").agg(F.count("*").alias("epochs"), best.alias("best_epoch"), F.round(F.max("value"), 6).alias("best"), F.round(F.max_by("value", "epoch"), 6).alias("last"), F.sum((F.col("value") < F.col("before")).cast("long")).alias("declines"))
+    return out.withColumn("best_is_last", F.col("best_epoch") == F.col("epochs"))
+
+
 @register("m10_best_epoch", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS best, round(max(value), 6) AS top FROM events GROUP BY user_id")
 def m10_best_epoch(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -169,6 +169,24 @@ def v07_pipeline_gate(spark, sf_dir):
     return gated(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("shown"), F.sum((~F.col("passed")).cast("long")).alias("failed")).withColumn("released", F.col("failed") == 0)
 
 
+FAULTS = {
+    "ungrounded": "passage_mismatch|corpus_chunk_missing",
+    "provenance_faults": "corpus_metadata_mismatch:.*|authority_metadata_mismatch:.*|authority_without_linked_evidence",
+    "temporal_faults": "temporal_.*",
+    "not_from_run": "not_retrieved_for_query|query_duplicate_source",
+}
+
+
+@register("a15_grounding_metrics", f"{GATED} SELECT count(*) AS shown, " + ", ".join(f"sum((len(list_filter(f, lambda x: regexp_full_match(x, '{v}'))) > 0)::INT)::BIGINT AS {k}" for k, v in FAULTS.items()) + ", sum((len(f) > 0)::INT)::BIGINT AS unsupported, " + ", ".join(f"CASE WHEN count(*) > 0 THEN round(1.0 - sum((len(list_filter(f, lambda x: regexp_full_match(x, '{FAULTS[k]}'))) > 0)::INT) / count(*), 6) END AS {n}" for k, n in (("ungrounded", "groundedness"), ("provenance_faults", "provenance_validity"))) + " FROM chk")
+def a15_grounding_metrics(spark, sf_dir):
+    """Shares of shown citations that are grounded and have valid provenance, and how many break the time rule or are unsupported."""
+    g = gated(spark, sf_dir)
+    has = lambda v: F.exists("failures", lambda x: x.rlike(f"^(?:{v})$"))
+    n = g.agg(F.count("*").alias("shown"), *[F.coalesce(F.sum(has(v).cast("long")), F.lit(0)).alias(k) for k, v in FAULTS.items()], F.coalesce(F.sum((~F.col("passed")).cast("long")), F.lit(0)).alias("unsupported"))
+    left = lambda k: M.ratio(F.col("shown") - F.col(k), F.col("shown"))
+    return n.withColumn("groundedness", left("ungrounded")).withColumn("provenance_validity", left("provenance_faults"))
+
+
 LOST = "query_id % 300 = 0 AND position = 2"
 
 
