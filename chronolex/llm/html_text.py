@@ -303,7 +303,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(url), pa.array(texts, pa.string()), batch.column("n_shared")], [key, url, "text", "n_shared"])
 
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (key, url)}
-    joined = found.join(drops, ["host", "path"], "left").select(key, url, "marks", "hashes", "texts", "drop", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    # pages without a host have no neighbour, and all those without a URL would be one key
+    placed, lost = found.filter("host <> ''").join(drops, ["host", "path"], "left"), found.filter("host = ''").withColumns({"drop": F.lit(None).cast("binary"), "n_shared": F.lit(None).cast("long")})
+    joined = placed.unionByName(lost).select(key, url, "marks", "hashes", "texts", "drop", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
     return joined.mapInArrow(join, f"{key} {kinds[key]}, {url} {kinds[url]}, text string, n_shared long")
 
 
