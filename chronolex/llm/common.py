@@ -55,7 +55,7 @@ def scratch():
     """Tables written inside are deleted at the end, but for those given to the function that this yields."""
     kept: list[str] = []
     _written.append([])
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     try:
         yield lambda *tables: kept.extend(t._folder for t in tables)
     finally:
