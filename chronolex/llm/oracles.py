@@ -35,3 +35,48 @@ WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM docum
 SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(len(s), 0)::BIGINT AS n_spans,
  sha256(unhex(CASE WHEN s IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(s) + 2), lambda k: substring(h, 2 * (CASE WHEN k = 1 THEN 0 ELSE e[k - 1] END) + 1, 2 * ((CASE WHEN k > len(s) THEN length(h) // 2 ELSE s[k] END) - (CASE WHEN k = 1 THEN 0 ELSE e[k - 1] END)))), '') END)) AS kept_sha256
 FROM d LEFT JOIN cuts ON cuts.doc_id = d.doc_id"""
+
+WORDS = "regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')"
+
+INTERACTIONS = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+ w AS (SELECT doc_id, part, x, {WORDS} AS w FROM d),
+ l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT doc_id, part, {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * len(regexp_extract_all(x, '[A-Z]')) > 2 * length(x),
+  'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), false)}} AS f FROM w),
+ letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ fails AS (SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS failed
+  FROM f LEFT JOIN l USING (doc_id)),
+ gone AS (SELECT part, good, toxic, failed, filter_order, coalesce(list_min(list_transform(failed, lambda k: instr(filter_order, k))), 6) AS gone FROM fails, orders),
+ counts AS (SELECT part, filter_order, step::INT AS step, sum((gone > step)::INT)::BIGINT AS kept, sum((gone = step)::INT)::BIGINT AS removed,
+  sum((gone < step AND list_contains(failed, filter_order[step]))::INT)::BIGINT AS redundant, sum((failed = [filter_order[step]])::INT)::BIGINT AS unique_fails,
+  sum((gone = step AND good)::INT)::BIGINT AS good_lost, sum((gone = step AND toxic)::INT)::BIGINT AS toxic_lost
+  FROM gone, (SELECT unnest(range(1, 6)) AS step) GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counts"""
+
+_RECENT = "updated_at DESC NULLS LAST, t DESC, client_id"
+_TRUSTED = "fresh DESC, t DESC, updated_at DESC NULLS LAST, client_id"
+
+
+def _first(column: str, order: str) -> str:
+    return f"first({{'v': {column}, 'k': client_id}} ORDER BY {order}, {column} DESC) FILTER (WHERE {column} IS NOT NULL)"
+
+
+def _filled(column: str) -> str:
+    return f"CASE WHEN NOT regexp_full_match({column}, '[\\x20\\x09-\\x0D]*') THEN {column} END AS {column}"
+
+
+GOLDEN = f"""
+WITH c AS (SELECT coalesce(master_id, client_id) AS cluster_id, client_id, updated_at, CASE source WHEN 'store' THEN 4 WHEN 'crm' THEN 3 WHEN 'partner' THEN 2 WHEN 'web' THEN 1 ELSE 0 END AS t,
+  {_filled("name")}, {_filled("email")}, {_filled("segment")}, {_filled("city")}, nation_id, CASE WHEN isfinite(balance) THEN balance END AS balance FROM clients),
+ r AS (SELECT *, NOT (updated_at IS NULL OR epoch_us(max(updated_at) OVER (PARTITION BY cluster_id)) - epoch_us(updated_at) > 10 * 24 * 3600000000) AS fresh FROM c),
+ one AS (SELECT cluster_id, count(*) AS n_records, sum((NOT fresh)::INT)::BIGINT AS n_stale, {_first("name", "length(name) DESC, " + _TRUSTED)} AS name, {_first("email", _TRUSTED)} AS email, {_first("segment", _RECENT)} AS segment,
+  first({{'city': city, 'nation_id': nation_id, 'k': client_id}} ORDER BY (city IS NOT NULL)::INT + (nation_id IS NOT NULL)::INT DESC, {_RECENT}) AS place FROM r GROUP BY cluster_id),
+ money AS (SELECT r.cluster_id, first({{'v': balance, 'k': client_id}} ORDER BY coalesce(r.segment = one.segment.v, false) DESC, {_RECENT}, balance DESC) FILTER (WHERE balance IS NOT NULL) AS balance
+  FROM r JOIN one ON r.cluster_id IS NOT DISTINCT FROM one.cluster_id GROUP BY r.cluster_id)
+SELECT one.cluster_id, n_records, n_stale, name.v AS name, email.v AS email, segment.v AS segment, place.city AS city, place.nation_id AS nation_id, floor(100 * balance.v + 0.5)::BIGINT AS balance_cents,
+ name.k AS name_from, email.k AS email_from, segment.k AS segment_from, balance.k AS balance_from, CASE WHEN place.city IS NOT NULL OR place.nation_id IS NOT NULL THEN place.k END AS address_from
+FROM one JOIN money ON one.cluster_id IS NOT DISTINCT FROM money.cluster_id"""

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, jaccard, langid, media, oracles, quality, repeats, secrets, toxicity
+from . import audit, bpe, decontaminate, golden, html_text, jaccard, langid, media, neighbours, oracles, quality, repeats, secrets, toxicity
 from .common import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,18 @@ def op7_jaccard_components(spark, sf_dir):
 @query("op6_repeat_removal", oracles.REPEATS)
 def op6_repeat_removal(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_filter_interactions", oracles.INTERACTIONS)
+def op11_filter_interactions(spark, sf_dir):
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_nearest_vectors")
+def op12_nearest_vectors(spark, sf_dir):
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_golden_records", oracles.GOLDEN)
+def op13_golden_records(spark, sf_dir):
+    return golden.golden(table(spark, sf_dir, "clients"))
