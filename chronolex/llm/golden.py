@@ -64,19 +64,6 @@ def _column(field: str, level: int) -> str:
     return f"{field}_{level}"
 
 
-def pivot(rows: DataFrame) -> DataFrame:
-    """(cluster_id, latest, n_records, undated, <field>_<level>..., chosen): the best candidates of each trust level.
-
-    ``chosen`` is the latest segment together with the latest balance among the
-    records that have this very segment.
-    """
-    best = {_column(f, k): F.max(F.when(F.col("trust") == k, c)) for f, c in _candidates().items() for k in LEVELS}
-    by_segment = rows.groupBy("cluster_id", "segment").agg(F.max("updated_at").alias("latest"), F.count("*").alias("n_records"), F.count_if(F.col("updated_at").isNull()).alias("undated"), *[c.alias(n) for n, c in best.items()])
-    of_field = lambda f: F.greatest(*[F.col(_column(f, k)) for k in LEVELS])
-    with_own = by_segment.withColumn("chosen", F.when(F.col("segment").isNotNull(), F.struct(of_field("segment").alias("latest"), of_field("balance").alias("own"))))
-    return with_own.groupBy("cluster_id").agg(F.max("latest").alias("latest"), F.sum("n_records").alias("n_records"), F.sum("undated").alias("undated"), *[F.max(n).alias(n) for n in best], F.max("chosen").alias("chosen"))
-
-
 def _too_old(at: Column, latest: Column) -> Column:
     return latest - at > F.make_dt_interval(F.lit(FRESH_DAYS))
 
@@ -91,6 +78,21 @@ def stale_counts(rows: DataFrame) -> DataFrame:
     return met.filter(_too_old(F.col("updated_at"), F.col("latest"))).groupBy("cluster_id", "salt").agg(F.sum("n").alias("n_stale")).drop("salt")
 
 
+def pivot(rows: DataFrame) -> DataFrame:
+    """(cluster_id, latest, n_records, n_stale, <field>_<level>..., chosen): the best candidates of each trust level.
+
+    ``chosen`` is the latest segment together with the latest balance among the
+    records that have this very segment. The counts of stale records join the
+    candidates by the sum that combines a cluster's segments.
+    """
+    best = {_column(f, k): F.max(F.when(F.col("trust") == k, c)) for f, c in _candidates().items() for k in LEVELS}
+    by_segment = rows.groupBy("cluster_id", "segment").agg(F.max("updated_at").alias("latest"), F.count("*").alias("n_records"), F.count_if(F.col("updated_at").isNull()).alias("n_stale"), *[c.alias(n) for n, c in best.items()])
+    of_field = lambda f: F.greatest(*[F.col(_column(f, k)) for k in LEVELS])
+    with_own = by_segment.withColumn("chosen", F.when(F.col("segment").isNotNull(), F.struct(of_field("segment").alias("latest"), of_field("balance").alias("own"))))
+    both = with_own.drop("segment").unionByName(stale_counts(rows), allowMissingColumns=True)
+    return both.groupBy("cluster_id").agg(F.max("latest").alias("latest"), F.sum("n_records").alias("n_records"), F.sum("n_stale").alias("n_stale"), *[F.max(n).alias(n) for n in best], F.max("chosen").alias("chosen"))
+
+
 def _down_the_ladder(field: str) -> Column:
     """The candidate of the most trusted fresh level, else of the most trusted stale one."""
     each = [F.col(_column(field, k)) for k in LEVELS]
@@ -116,12 +118,7 @@ def golden(clients: DataFrame) -> DataFrame:
     * Repeated rows count as often as they occur; empty strings count as null, very long ones are values like others;
       an empty table gives no rows; further columns are not read.
     """
-    rows = records(clients)
-    counts = stale_counts(rows)
-    whole = pivot(rows)
-    # counts join the pivoted rows by one more sum instead of a join, which keeps the cluster null
-    both = whole.withColumn("n_stale", F.col("undated")).unionByName(counts, allowMissingColumns=True)
-    one = both.groupBy("cluster_id").agg(F.sum("n_stale").alias("n_stale"), *[F.max(c).alias(c) for c in whole.columns if c != "cluster_id"])
+    one = pivot(records(clients))
     of_all = lambda f: F.greatest(*[F.col(_column(f, k)) for k in LEVELS])
     picked = one.select(
         "cluster_id", "n_records", "n_stale", _longest_name().alias("name"), _down_the_ladder("email").alias("email"), of_all("segment").alias("segment"),
