@@ -110,7 +110,7 @@ class Hashing:
                 far.append(np.take_along_axis(signed, near[-1], axis=1))
             combined = list(product(range(most), repeat=self.depth))
             closeness = sum(far[d][:, [c[d] for c in combined]] for d in range(self.depth))
-            best = np.argsort(-closeness, axis=1, kind="stable")[:, :most]
+            best = np.argsort(-closeness, axis=1, kind="stable")[:, : self.probes]
             for group in [g for (dim, _), (g, _) in self.groups.items() if dim == x.shape[1]]:
                 codes = [np.take_along_axis(near[d], np.asarray([c[d] for c in combined])[best], axis=1) for d in range(self.depth)]
                 out.append(self._cell(group, t, codes, n))
