@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG, PROCEDURAL_STOP_WORDS
 from ..functions import temporal
 from ..functions import text as T
+from ..sources.index import postings_of
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -67,8 +68,8 @@ SALTS = 8
 """Parts that the postings of one term are dealt to when queries meet them, as a common term is in most chunks."""
 
 
-def index_postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, doc_id, decision_year, dl, tf) of every chunk. A chunk's tokens are in its row, so nothing is shuffled."""
+def chunk_vectors(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, decision_year, dl, terms) of every chunk. A chunk's tokens are in its row, so nothing is shuffled."""
     tokens = chunks.select("chunk_id", "doc_id", "decision_year", T.index_tokens(F.col("text")).alias("t"))
     # a token counts where it starts a run of equal ones in order
     runs = tokens.select("chunk_id", "doc_id", "decision_year", F.size("t").cast("long").alias("dl"), F.array_sort("t").alias("t"))
@@ -76,7 +77,12 @@ def index_postings(chunks: DataFrame) -> DataFrame:
     starts = F.when(F.size("t") > 0, starts).otherwise(F.array().cast("array<int>"))
     held = runs.withColumn("s", starts)
     item = F.transform("s", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get(F.col("s"), k + 1), F.size("t") + 1) - i).cast("long").alias("tf")))
-    return held.select("chunk_id", "doc_id", "decision_year", "dl", F.explode(item).alias("i")).select("i.term", "chunk_id", "doc_id", "decision_year", "dl", "i.tf")
+    return held.select("chunk_id", "doc_id", "decision_year", "dl", item.alias("terms"))
+
+
+def index_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, decision_year, dl, tf) of every chunk."""
+    return postings_of(chunk_vectors(chunks))
 
 
 def index_terms(postings: DataFrame) -> DataFrame:

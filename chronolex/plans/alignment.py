@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import alignment as A
 from ..registry import register
 from ..sources.adapters import cases, fold, having, queries, sources, table
-from ..sources.store import stored
+from ..sources.store import Scratch, stored
 
 STOPS = ", ".join(f"'{w}'" for w in IDENTITY_STOP_WORDS)
 PHRASE = "regexp_extract_all({0}, '[a-z]{{3,}}')"
@@ -43,6 +43,12 @@ def shared_phrases(spark, sf_dir):
     return stored(spark, sf_dir, "shared-phrases", lambda: A.shared_phrases(queries(spark, sf_dir), sources(spark, sf_dir)))
 
 
+def own_sources(spark, sf_dir):
+    """The stored pairs (query_id, doc_id) of a query and a source that is the query's own judgment."""
+    with Scratch(spark) as scratch:
+        return stored(spark, sf_dir, "own-sources", lambda: A.contained(queries(spark, sf_dir), sources(spark, sf_dir), scratch).found.select("query_id", "doc_id"))
+
+
 GUARD = f"shared >= {CONFIG.shared_phrases} AND distinct_shared / total >= {CONFIG.phrase_coverage}"
 
 
@@ -103,7 +109,7 @@ def j11_phrase_coverage(spark, sf_dir):
 
 @register("r09_self_matches", BASE + f" SELECT query_id, doc_id FROM shared WHERE {GUARD}")
 def r09_self_matches(spark, sf_dir):
-    return A.self_matches(shared_phrases(spark, sf_dir)).select("query_id", "doc_id")
+    return own_sources(spark, sf_dir)
 
 
 @register("r10_excluded_counts", BASE + f" SELECT query_id, sum(({GUARD})::INT)::BIGINT AS excluded, count(*) AS n FROM shared GROUP BY query_id")

@@ -199,7 +199,9 @@ def m09_token_lengths(spark, sf_dir):
 
     k = F.size(T.words(F.col("text")))
     d = table(spark, sf_dir, "documents").select("lang", k.alias("k"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(F.percentile("k", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90, 99)], F.round(F.avg((F.col("k") > 512).cast("int")), 6).alias("over_512"))
+    p = M.percentiles(d, ["lang"], "k", {f"p{p}": p / 100 for p in (10, 50, 90, 99)}).drop("n").withColumnRenamed("lang", "_lang")
+    counts = d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("k") > 512).cast("int")), 6).alias("over_512"))
+    return counts.join(p, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "n", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (10, 50, 90, 99)], "over_512")
 
 
 @register("m10_history_audit", """WITH h AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, count(*) OVER (PARTITION BY user_id) AS n, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)

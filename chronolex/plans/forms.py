@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Window
@@ -16,14 +17,19 @@ from ..operators import retrieval as R
 from ..registry import register
 from ..sources import formats
 from ..sources.adapters import cases, fold, having, logits, passages, queries, sources, table
-from ..sources.store import shared_dir
+from ..sources.index import Index
+from ..sources.keyed import Keyed, Ordered
+from ..sources.store import drop, shared_dir
 from .alignment import identity
 from .evaluation import MEAN, TOKENS
 from .retrieval import BASE, POSTINGS, PRE, SALIENT, _scored, retrieved
 
 
 def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder, deleted at the end of the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
 
 
 # --- files ------------------------------------------------------------------------
@@ -85,15 +91,20 @@ def s11_csv_crosswalk(spark, sf_dir):
     return formats.read_crosswalk(spark, at)
 
 
-@register("s16_listed_chunks", having("pages", "passages") + " SELECT chunk_id, length(text)::BIGINT AS n FROM passages WHERE chunk_id IN ('S_1::p0001', 'S_2::p0001', 'S_0::p0009')")
+@register("s16_listed_chunks", having("pages", "passages") + " SELECT chunk_id, length(text)::BIGINT AS n FROM passages WHERE doc_id % 100 = 0 AND page <= 2")
 def s16_listed_chunks(spark, sf_dir):
-    found = formats.lookup(passages(spark, sf_dir), ["S_1::p0001", "S_2::p0001", "S_0::p0009"])
-    return found.select("chunk_id", F.char_length("text").cast("long").alias("n"))
+    """The first two chunks of every hundredth document, looked up by a table of their ids, of which some have no chunk."""
+    store = Keyed.write(passages(spark, sf_dir).select("chunk_id", "text"), _folder(spark, "keyed"), "chunk_id")
+    pages_ = F.explode(F.array(F.lit(1), F.lit(2))).alias("page")
+    wanted = queries(spark, sf_dir).select("query_id", pages_).select(F.format_string("S_%d::p%04d", "query_id", "page").alias("chunk_id"))
+    return store.lookup(wanted).select("chunk_id", F.char_length("text").cast("long").alias("n"))
 
 
-@register("s17_ordered_scan", "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 1000")
+@register("s17_ordered_scan", "SELECT o_orderkey, o_custkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS page FROM orders")
 def s17_ordered_scan(spark, sf_dir):
-    return table(spark, sf_dir, "part").orderBy("p_partkey").select("p_partkey", "p_name").limit(1000)
+    """The whole table in pages of 10,000 rows by key."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return Ordered.write(rows, _folder(spark, "ordered"), "o_orderkey").numbered().select("o_orderkey", "o_custkey", "page")
 
 
 @register("s18_chunk_store", having("pages", "passages") + " SELECT chunk_id, '2009-12-31'::DATE AS decision_date, page::INT AS page_number, length(text)::INT AS n FROM passages WHERE doc_id % 7 <> 0")
@@ -106,12 +117,16 @@ def s18_chunk_store(spark, sf_dir):
     return formats.store_table(spark, at).select("chunk_id", "decision_date", "page_number", F.char_length("chunk_text").alias("n"))
 
 
-@register("s19_run_log", BASE + f", {PRE} SELECT r.run, count(*) AS n FROM pre, (VALUES ('a'), ('b')) r(run) GROUP BY r.run")
+@register("s19_run_log", BASE + f", {PRE} SELECT r.run, n, (SELECT count(*) FROM queries) AS queries FROM (SELECT count(*) AS n FROM pre), (VALUES ('a'), ('b')) r(run)")
 def s19_run_log(spark, sf_dir):
-    at, run = _folder(spark, "log"), retrieved(spark, sf_dir)
-    for name in ("a", "b"):
-        formats.log_run(queries(spark, sf_dir).select(F.lit(name).alias("run"), "query_id"), run.select(F.lit(name).alias("run"), "query_id", "rank", "chunk_id", "score", "status"), at)
-    return spark.read.parquet(f"{at}/retrieval_results").groupBy("run").agg(F.count("*").alias("n"))
+    """Two runs, one of them logged again by a retry, and a third that breaks off before it is committed."""
+    log, q, run = formats.run_log(spark, _folder(spark, "log")), queries(spark, sf_dir), retrieved(spark, sf_dir)
+    for name in ("a", "b", "a"):
+        log.log(name, q.select(F.lit(name).alias("run"), "query_id"), run.withColumn("run", F.lit(name)))
+    log.kept.write(q.select(F.lit("c").alias("run"), "query_id"), "runs")
+    log.compact()
+    asked = log.read("runs").groupBy("run").agg(F.count("*").alias("queries"))
+    return log.read("results").groupBy("run").agg(F.count("*").alias("n")).join(asked, "run", "full").select("run", "n", "queries")
 
 
 @register("s21_json_artifact", having("sources") + " SELECT court, count(*) AS n FROM sources GROUP BY court")
@@ -137,13 +152,36 @@ def s23_windows_kept(spark, sf_dir):
     return formats.read_windows(spark, at).select("document", "start", "stop")
 
 
-@register("s24_index_kept", having("pages", "passages") + f", {POSTINGS}, df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term) SELECT df.term, df, cf, n_all FROM df, (SELECT count(*) AS n_all FROM tok)")
+KEPT_TERMS = "df AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term) SELECT df.term, df, cf, n_all, round(avgdl, 6) AS avgdl FROM df, (SELECT count(*) AS n_all, avg(len(t)) AS avgdl FROM tok)"
+
+
+def _index_facts(i):
+    n, avgdl = i.size()
+    return i.terms().select("term", "df", "cf", F.lit(n).alias("n_all"), F.lit(round(avgdl, 6)).alias("avgdl"))
+
+
+@register("s24_index_kept", having("pages", "passages") + f", {POSTINGS}, {KEPT_TERMS}")
 def s24_index_kept(spark, sf_dir):
-    """The inverted index written to a folder and read back."""
+    """The inverted index written to a folder and opened anew."""
     at = _folder(spark, "index")
-    formats.write_index(passages(spark, sf_dir), at)
-    _, terms, size = formats.read_index(spark, at)
-    return terms.withColumn("n_all", size.select("n_all").scalar()).select("term", "df", "cf", "n_all")
+    Index(spark, at).add(R.chunk_vectors(passages(spark, sf_dir)))
+    return _index_facts(Index(spark, at))
+
+
+DELETED = ", ".join(f"'S_{k}::p0001'" for k in range(10, 20))
+
+
+@register("s24_index_grown", having("pages", "passages") + f", {POSTINGS.replace('FROM passages', f'FROM passages WHERE chunk_id NOT IN ({DELETED})')}, {KEPT_TERMS}")
+def s24_index_grown(spark, sf_dir):
+    """The index built in parts: half of the chunks, the rest in three segments of which some replace what is there, a merge, ten deletions. Equals one build."""
+    at = _folder(spark, "grown")
+    vectors = R.chunk_vectors(passages(spark, sf_dir))
+    for part in ("doc_id % 2 = 0", "doc_id % 4 = 1", "doc_id % 8 = 3", "doc_id % 8 in (3, 7)"):
+        Index(spark, at).add(vectors.filter(part))
+    while Index(spark, at).merge():
+        pass
+    Index(spark, at).delete(passages(spark, sf_dir).filter(f"chunk_id in ({DELETED})"))
+    return _index_facts(Index(spark, at))
 
 
 @register("s25_model_kept")

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..config import CONFIG, PROCEDURAL_STOP_WORDS
 from ..functions import text as T
 from ..operators import alignment as A
+from ..operators import bounded
 from ..operators import retrieval as R
 from ..registry import register
 from ..sources.adapters import fold, having, passages, queries, sources
-from ..sources.store import sorted_by, stored
-from .alignment import GUARD, SHARED, shared_phrases
+from ..sources.index import Index
+from ..sources.store import Scratch, stored, stored_folder
+from .alignment import GUARD, SHARED, own_sources, shared_phrases
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')"
 STOPS = ", ".join(f"'{w}'" for w in PROCEDURAL_STOP_WORDS)
@@ -46,32 +48,21 @@ SELECTED = f"{SALIENT_BASE}, {SHARED}, {PRE}, {KEPT}, {PICK}"
 """Salient terms, the time rule, no source that is the query itself, then one passage per source."""
 
 
-def postings(spark, sf_dir):
-    """The stored inverted index, in files by term."""
-    return stored(spark, sf_dir, "index-postings", lambda: sorted_by(R.index_postings(passages(spark, sf_dir)), "term", "chunk_id"))
-
-
-def statistics(spark, sf_dir):
-    return stored(spark, sf_dir, "index-terms", lambda: R.index_terms(postings(spark, sf_dir)))
-
-
-def corpus_size(spark, sf_dir):
-    return stored(spark, sf_dir, "index-size", lambda: R.index_size(passages(spark, sf_dir)))
+def index(spark, sf_dir):
+    """The stored inverted index over all passages."""
+    return Index(spark, stored_folder(spark, sf_dir, "index", lambda at: Index(spark, at).add(R.chunk_vectors(passages(spark, sf_dir)))))
 
 
 def _scored(spark, sf_dir, mode="legacy", eligible=False):
-    q = queries(spark, sf_dir)
-    return R.bm25(postings(spark, sf_dir), statistics(spark, sf_dir), corpus_size(spark, sf_dir), R.query_terms(q, mode), q, eligible)
+    q, i = queries(spark, sf_dir), index(spark, sf_dir)
+    return R.bm25(i.postings(), i.terms(), i.size_table(), R.query_terms(q, mode), q, eligible)
 
 
 def retrieved(spark, sf_dir, mode="legacy", before=True, k=CONFIG.top_k):
     """The stored run of a query mode: ranked candidates, by the time rule before or after ranking."""
-    return stored(spark, sf_dir, f"run-{mode}-{'pre' if before else 'post'}-{k}", lambda: R.top_k(_scored(spark, sf_dir, mode, before), k, before))
-
-
-def own_sources(spark, sf_dir):
-    """(query_id, doc_id): sources that are the query's own judgment."""
-    return A.self_matches(shared_phrases(spark, sf_dir)).select("query_id", "doc_id")
+    q = queries(spark, sf_dir)
+    with Scratch(spark) as scratch:
+        return stored(spark, sf_dir, f"run-{mode}-{'pre' if before else 'post'}-{k}", lambda: bounded.top_k(index(spark, sf_dir), R.query_terms(q, mode), q, k, before, scratch))
 
 
 EXPECTED = "expected AS (SELECT query_id, doc_id FROM (SELECT query_id, s.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, s.doc_id) AS k FROM shared JOIN sources s ON s.doc_id = shared.doc_id JOIN queries USING (query_id) WHERE s.doc_id <> query_id AND s.decision_year < query_year) WHERE k = 1)"
@@ -91,12 +82,12 @@ def candidates(spark, sf_dir, mode="salient"):
 
 @register("r01_postings", having("pages", "passages") + f", {POSTINGS} SELECT term, chunk_id, tf FROM post")
 def r01_postings(spark, sf_dir):
-    return postings(spark, sf_dir).select("term", "chunk_id", "tf")
+    return index(spark, sf_dir).postings().select("term", "chunk_id", "tf")
 
 
 @register("r01_term_statistics", having("pages", "passages") + f", {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
 def r01_term_statistics(spark, sf_dir):
-    return statistics(spark, sf_dir)
+    return index(spark, sf_dir).terms()
 
 
 @register("r01_chunk_lengths", having("pages", "passages") + f", {POSTINGS} SELECT chunk_id, len(t)::BIGINT AS dl FROM tok")

@@ -131,15 +131,23 @@ def a08_spans(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"), F.count("*").alias("n"))
 
 
-@register("a09_percentiles", "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90, 95, 99)) + ", sum((n_chars > 4000)::INT)::BIGINT AS above FROM documents GROUP BY lang")
+PERCENTS = (10, 25, 50, 75, 90, 95, 99)
+
+
+@register("a09_percentiles", "SELECT lang, " + ", ".join(f"round(quantile_cont(n_chars, {p / 100}), 6) AS p{p}" for p in PERCENTS) + ", sum((n_chars > 4000)::INT)::BIGINT AS above FROM documents GROUP BY lang")
 def a09_percentiles(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("lang")
-    return d.agg(*[F.round(F.percentile("n_chars", p / 100), 6).alias(f"p{p}") for p in (10, 25, 50, 75, 90, 95, 99)], F.sum((F.col("n_chars") > 4000).cast("long")).alias("above"))
+    d = table(spark, sf_dir, "documents")
+    p = M.percentiles(d, ["lang"], "n_chars", {f"p{p}": p / 100 for p in PERCENTS})
+    above = d.groupBy(F.col("lang").alias("_lang")).agg(F.sum((F.col("n_chars") > 4000).cast("long")).alias("above"))
+    return p.join(above, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in PERCENTS], "above")
 
 
 @register("a22_population_summary", having("cases") + " SELECT split, label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY split), 2) AS percent, round(quantile_cont(length(text), 0.5), 1) AS median FROM cases GROUP BY split, label")
 def a22_population_summary(spark, sf_dir):
-    c = cases(spark, sf_dir).groupBy("split", "label").agg(F.count("*").alias("n"), F.round(F.percentile(F.char_length("text"), 0.5), 1).alias("median"))
+    all_ = cases(spark, sf_dir).withColumn("size", F.char_length("text"))
+    middle = M.percentiles(all_, ["split", "label"], "size", {"median": 0.5}).select(F.col("split").alias("_split"), F.col("label").alias("_label"), F.round("median", 1).alias("median"))
+    counts = all_.groupBy("split", "label").agg(F.count("*").alias("n"))
+    c = counts.join(middle, (F.col("split") == F.col("_split")) & F.col("label").eqNullSafe(F.col("_label"))).drop("_split", "_label")
     return c.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("split")), 2))
 
 

@@ -8,6 +8,7 @@ from ..config import CONFIG, DISPOSITIVE, SECTION_HEADER
 from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import facts as X
+from ..operators import metrics as M
 from ..registry import register
 from ..sources.adapters import cases, fold, having, pages, sources, table
 
@@ -166,8 +167,12 @@ def p17_ends_a_sentence(spark, sf_dir):
 @register("a10_facts_medians", FACTS + f" SELECT boundary_reason, count(*) AS n, median({WORDS.format('facts')}) AS kept_words, median({WORDS.format('text')}) AS source_words FROM facts GROUP BY boundary_reason")
 def a10_facts_medians(spark, sf_dir):
     f = X.extract(cases(spark, sf_dir))
-    size = lambda c: F.median(F.size(T.words(F.col(c))))
-    return f.groupBy("boundary_reason").agg(F.count("*").alias("n"), size("facts").alias("kept_words"), size("text").alias("source_words"))
+    sizes = f.select("boundary_reason", *[F.size(T.words(F.col(c))).alias(c) for c in ("facts", "text")])
+    kept = M.percentiles(sizes, ["boundary_reason"], "facts", {"kept_words": 0.5}).drop("n").withColumnRenamed("boundary_reason", "_reason")
+    source = M.percentiles(sizes, ["boundary_reason"], "text", {"source_words": 0.5}).drop("n").withColumnRenamed("boundary_reason", "_other")
+    counts = sizes.groupBy("boundary_reason").agg(F.count("*").alias("n"))
+    both = counts.join(kept, F.col("boundary_reason").eqNullSafe(F.col("_reason"))).join(source, F.col("boundary_reason").eqNullSafe(F.col("_other")))
+    return both.select("boundary_reason", "n", "kept_words", "source_words")
 
 
 CATEGORY = (

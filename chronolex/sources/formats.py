@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import sorted_by
+from .snapshots import RunLog, Store
 
 CHUNK_SCHEMA = "source_id string, case_id string, citation string, decision_date string, court string, title string, chunk_id string, pdf_file string, page_number int, passage_start_char int, passage_end_char int, text string, cleaning_version string, extraction_method string"
 METADATA_SCHEMA = "title string, petitioner string, respondent string, citation string, case_id string, decision_date string, disposal_nature string, court string, path string, year string"
@@ -49,19 +49,21 @@ def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", "true").csv(path)
 
 
-def load_store(chunks: DataFrame, path: str) -> None:
-    """Chunks as a typed table, once per id: the first by page and place."""
+def load_store(chunks: DataFrame, path: str) -> int:
+    """Chunks as a typed table, once per id: the first by page and place. Replaces the table as a whole; its version."""
     from ..operators.alignment import first_of
 
     once = first_of(chunks, ["chunk_id"], [F.col("page_number"), F.col("passage_start_char"), F.col("source_id")])
     typed = once.withColumn("decision_date", F.to_date("decision_date", "dd-MM-yyyy")).withColumnRenamed("text", "chunk_text")
-    typed.select([c.split()[0] for c in STORE_DDL.split(", ")]).write.mode("overwrite").parquet(path)
+    return Store(chunks.sparkSession, path, STORE_DDL).load(typed, "chunk_id")
 
 
-def log_run(runs: DataFrame, results: DataFrame, folder: str) -> None:
-    """Append a run and its results."""
-    runs.write.mode("append").parquet(f"{folder}/retrieval_runs")
-    results.write.mode("append").parquet(f"{folder}/retrieval_results")
+RESULTS = "run string, query_id long, rank long, chunk_id string, score double, status string"
+
+
+def run_log(spark: SparkSession, folder: str) -> RunLog:
+    """Retrieval runs and their results: both of a run are visible, or neither."""
+    return RunLog(spark, folder, RESULTS)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -72,24 +74,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-INDEX = ("postings", "terms", "size")
-
-
-def write_index(chunks: DataFrame, folder: str) -> None:
-    """The inverted index as tables: postings in files by term, statistics of terms, number and mean length of chunks."""
-    from ..operators.retrieval import index_postings, index_size, index_terms
-
-    spark = chunks.sparkSession
-    sorted_by(index_postings(chunks), "term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    index_terms(spark.read.parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
-    index_size(chunks).write.mode("overwrite").parquet(f"{folder}/size")
-
-
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, terms, size) as ``retrieval.bm25`` takes them."""
-    return tuple(spark.read.parquet(f"{folder}/{name}") for name in INDEX)
-
-
 WINDOWS = "document long, window int, start int, stop int"
 
 
@@ -103,17 +87,7 @@ def read_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def store_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE_DDL).parquet(path)
-
-
-def lookup(frame: DataFrame, values: list, key: str = "chunk_id") -> DataFrame:
-    """Rows whose key is in a short list, which is pushed down to the scan."""
-    return frame.filter(F.col(key).isin(list(values)))
-
-
-def read_in_order(frame: DataFrame, *order: str):
-    """Rows one by one in order, a partition at a time on the driver."""
-    return frame.orderBy(*order).toLocalIterator(prefetchPartitions=True)
+    return Store(spark, path, STORE_DDL).read()
 
 
 def markdown(rows: DataFrame, most: int = 1000) -> str:

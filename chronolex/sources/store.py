@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _known: dict[tuple, tuple] = {}
 
@@ -60,11 +59,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a computation needs only until its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            drop(self.spark, self.paths.pop())
+
+
+def stored_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """The folder that ``build`` fills at its first use, kept like a table of ``stored``."""
+    key = spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir), name
+    if key not in _known:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(drop, spark, path)
+        build(path)
+        _known[key] = path, None
+    return _known[key][0]
+
+
 def forget() -> None:
     """Build every table anew at its next use."""
     _known.clear()
-
-
-def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows in files by ranges of ``columns``, so that readers skip files and row groups."""
-    return df.repartitionByRange(*columns).sortWithinPartitions(*columns) if columns else df.select(F.col("*"))

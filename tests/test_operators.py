@@ -1,5 +1,7 @@
 """Operators on literal inputs: the cases that the fixture tables lack."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from chronolex.operators import facts as X
 from chronolex.operators import metrics as M
 from chronolex.operators import outcome, sampling, validation
 from chronolex.operators import retrieval as R
-from chronolex.sources import formats, store
+from chronolex.sources import adapters, formats, keyed, store
+from chronolex.sources.store import Scratch
 from chronolex.streaming import ingest
 
 
@@ -102,6 +105,75 @@ def test_self_match_needs_both_signals(spark):
     assert {r["doc_id"] for r in p.collect()} == {7, 8}
     assert {r["doc_id"] for r in A.self_matches(p, phrases=5).collect()} == {7}
     assert A.self_matches(p).count() == 0
+    with Scratch(spark) as scratch:
+        assert {r["doc_id"] for r in A.contained(q, s, scratch, phrases=5).found.collect()} == {7}
+
+
+def test_containment_join_equals_all_pairs(spark):
+    rng = random.Random(3)
+    words = [a + b + c for a in "xyz" for b in "abc" for c in "efg"]
+    base = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(20)]
+    texts = base + [b + " " + " ".join(rng.choices(words, k=rng.randint(0, 20))) for b in base for _ in range(2)] + base[:5] * 2 + [None, ""]
+    s = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(texts) if k % 3 == 0], "query_id long, query_text string")
+    every = A.shared_phrases(q, s)
+    for phrases, coverage in ((1, 0.8), (10, 0.8), (5, 0.35), (1, 1.0), (30, 0.75)):
+        want = {tuple(r) for r in A.self_matches(every, phrases, coverage).select("query_id", "doc_id", "shared", "distinct_shared", "total").collect()}
+        with Scratch(spark) as scratch:
+            assert {tuple(r) for r in A.contained(q, s, scratch, phrases, coverage).found.select("query_id", "doc_id", "shared", "distinct_shared", "total").collect()} == want
+        assert want
+
+
+def test_containment_join_verifies_few_pairs(spark):
+    folder = "/root/testdata/sf0.01"
+    q, s = adapters.queries(spark, folder), adapters.sources(spark, folder)
+    with Scratch(spark) as scratch:
+        assert 10 * A.contained(q, s, scratch).candidates.count() < A.shared_phrases(q, s).count()
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, rng.gauss(0, 1), float(rng.randint(0, 3))])) for g in (None, "a", "b") for _ in range(3000)] + [("one", 5.0), ("none", None)] + [("same", 1.0)] * 500
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r["g"]: r for r in df.groupBy("g").agg(F.count("v").alias("n"), *[F.percentile("v", p).alias(n) for n, p in shares.items()]).collect()}
+    got = {r["g"]: r for r in M.percentiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == set(want) and all(got[g][c] == pytest.approx(want[g][c], abs=1e-12) if want[g][c] is not None else got[g][c] is None for g in want for c in ("n", *shares))
+    whole = M.percentiles(spark.range(100_001), [], "id", {"m": 0.5, "q": 0.123456}).first()
+    assert (whole["m"], whole["q"], whole["n"]) == (50_000, pytest.approx(12345.6), 100_001)
+
+
+def test_keyed_lookups_leave_the_store_where_it_lies(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"), "id")
+    store = keyed.Keyed.write(rows, str(tmp_path / "store"), "k", 8)
+    wanted = spark.range(0, 6000, 100).select(F.concat(F.lit("k"), "id").alias("k"))
+    found = store.lookup(wanted.unionByName(wanted))
+    assert sorted(r["id"] for r in found.collect()) == list(range(0, 5000, 100))
+    assert sorted(r["k"] for r in store.missing(wanted).collect()) == sorted(f"k{k}" for k in range(5000, 6000, 100))
+    plan = store.lookup(wanted)._jdf.queryExecution().executedPlan().toString()
+    kept, asked = plan.split("FileScan parquet")
+    assert "Exchange" not in kept and asked.count("Exchange") == 1
+    assert [r["id"] for r in store.get("k17", "zz").collect()] == [17] and "PushedFilters: [In(k, [k17,zz])]" in store.get("k17", "zz")._jdf.queryExecution().executedPlan().toString()
+    store.drop()
+
+
+def test_pages_rejoin_to_the_ordered_scan(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("key"), F.col("id").alias("x")).repartition(7)
+    kept = keyed.Ordered.write(rows, str(tmp_path / "ordered"), "key")
+    want = [(r["key"], r["x"]) for r in rows.orderBy("key").collect()]
+    for size in (1, 64, 333, 1000, 5000):
+        got, token = [], None
+        for page, token in kept.pages(size):
+            assert len(page) <= size
+            got += page
+            if size == 1 and len(got) == 5 or size == 64 and len(got) == 640:
+                break
+        for page, token in keyed.Ordered(spark.newSession(), str(tmp_path / "ordered"), "key").pages(size if size > 1 else 500, token):
+            got += page
+        assert [(r["key"], r["x"]) for r in got] == want
+    placed = sorted((r["place"], r["key"], r["page"]) for r in kept.numbered(64).collect())
+    assert placed == [(k, k, k // 64) for k in range(1000)]
+    assert list(keyed.Ordered.write(rows.limit(0), str(tmp_path / "none"), "key").pages()) == []
 
 
 def test_salient_terms(spark):
@@ -212,26 +284,16 @@ def test_formats(spark, tmp_path):
     assert rows.count() == 3 and bad.count() == 1
     assert {r["rule"]: r["n"] for r in formats.violations(rows).collect()}["missing:text"] == 1
     formats.load_store(rows, str(tmp_path / "store"))
-    stored = spark.read.parquet(str(tmp_path / "store"))
+    stored = formats.store_table(spark, str(tmp_path / "store"))
     assert stored.count() == 2 and str(stored.first()["decision_date"]) == "2009-12-31"
     formats.write_csv(rows.select("chunk_id"), str(tmp_path / "csv"))
     assert formats.read_crosswalk(spark, str(tmp_path / "csv")).count() == 3
-    formats.log_run(rows.select("chunk_id"), rows.select("chunk_id"), str(tmp_path / "log"))
-    formats.log_run(rows.select("chunk_id"), rows.select("chunk_id"), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log/retrieval_runs")).count() == 6
     (tmp_path / "d.json").write_text('{"entries":[{"a":1},{"a":2}]}')
     assert formats.read_document(spark, str(tmp_path / "d.json")).count() == 2
     formats.write_json(rows, str(tmp_path / "json"))
     assert formats.markdown(rows.select("chunk_id").limit(1)).startswith("| chunk_id |\n| --- |")
-    chunks = rows.select("chunk_id", "text")
-    dated = chunks.selectExpr("chunk_id", "1L AS doc_id", "2000 AS decision_year", "text")
-    formats.write_index(dated, str(tmp_path / "index"))
-    postings, terms, size = formats.read_index(spark, str(tmp_path / "index"))
-    assert terms.first()["cf"] == 2 and postings.count() == 2 and size.first()["n_all"] == 3
     formats.write_windows(spark.createDataFrame([(1, 0, 0, 510), (1, 1, 460, 700)], formats.WINDOWS), str(tmp_path / "windows"))
     assert [r["stop"] for r in formats.read_windows(spark, str(tmp_path / "windows")).orderBy("start").collect()] == [510, 700]
-    assert formats.lookup(formats.store_table(spark, str(tmp_path / "store")), ["c1", "zz"]).count() == 1
-    assert [r["chunk_id"] for r in formats.read_in_order(formats.store_table(spark, str(tmp_path / "store")), "chunk_id")] == ["c1", "c2"]
 
 
 def test_streaming_drops_repeats(spark, tmp_path):
