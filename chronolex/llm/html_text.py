@@ -42,14 +42,22 @@ NO_TEXT = set("script style noscript template title head button select option te
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 ARTICLE = {"article", "main"}
 CLOSES = {"p": set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": {"li"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "head": {"body"}}
-SURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|breadcrumbs?|cookies?|consent|popup|modal|newsletter|comments?|replies|disqus|pagination)(?=$|[\s_-])", re.I)
+SURE = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar|breadcrumbs?|cookies?|consent|popup|modal|newsletter|comments?|replies|disqus|pagination)(?=$|[_-])", re.I)
 """Names of blocks that are never text, though no other page may share them."""
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:banner|side|menu|nav\w*|footer|header|masthead|notices?|alert|subscribe|signup|share|social|related|widget|pager|skip)(?=$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|[_-])comments?(?=$|[_-])", re.I)
+DOUBTFUL = re.compile(r"(?:^|[_-])(?:banner|side|menu|nav\w*|footer|header|masthead|notices?|alert|subscribe|signup|share|social|related|widget|pager|skip)(?=$|[_-])", re.I)
 """Names of blocks that are furniture only if the nearest page has the same lines."""
+NOT_SO = set("no not non without with has had hide hides hidden show shows is free open closed none off on enabled disabled".split())
+"""Parts of a name that tell that it describes a page with or without such a block, and is not one."""
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 OPEN, INSIDE, DOUBT, DOUBT_INSIDE, GONE, NONE = range(6)
 
 
+def _named(pattern: re.Pattern, names: list[str]) -> bool:
+    """Whether one of the names of an element is that of such a block: ``sidebar`` and ``ad-slot``, but not ``with-sidebar`` or ``ad-free``."""
+    return any(pattern.search(n) and NOT_SO.isdisjoint(re.split(r"[_-]", n.lower())) for n in names)
+
+
 class _Lines(HTMLParser):
     """Lines of a page with their marks; tolerant of unclosed elements."""
 
@@ -75,18 +83,25 @@ class _Lines(HTMLParser):
         mark, a = self.mark, dict(attrs)
         if mark == NONE or tag in NO_TEXT or "hidden" in a:
             return NONE
+        names = f"{a.get('class') or ''} {a.get('id') or ''}".split()
+        comment = _named(COMMENT, names)
+        if mark == GONE and (tag == "main" or tag == "article" and self._around() == "form") and not comment:
+            return INSIDE
         if mark == GONE or tag not in BLOCK or tag in ("html", "body"):
             return mark
         inside = mark in (INSIDE, DOUBT_INSIDE)
-        named = f"{a.get('class') or ''} {a.get('id') or ''}"
-        if tag in FURNITURE and not (inside and tag == "header") or a.get("role") in ROLES or SURE.search(named) and (tag not in ARTICLE or "comment" in named.lower()):
+        if tag in FURNITURE and not (inside and tag == "header") or a.get("role") in ROLES or comment or tag not in ARTICLE and _named(SURE, names):
             return GONE
         if tag in ARTICLE:
             return INSIDE
-        if DOUBTFUL.search(named):
+        if _named(DOUBTFUL, names):
             return DOUBT_INSIDE if inside else DOUBT
         return mark
 
+    def _around(self) -> str:
+        """The element that made this place furniture."""
+        return next((tag for tag, mark in self.stack if mark == GONE), "")
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK or tag in NO_TEXT:
             self.flush()
