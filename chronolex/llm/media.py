@@ -56,9 +56,23 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self):
+        """The caption that is open belongs to the media of its figure; outside a figure it is text."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        for k in self.figure or []:
+            self.items[k]["caption"] = text
+        if self.figure is None and text:
+            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.hidden += 1
+        if tag == "figure":
+            self.end_caption()
+        elif tag in BLOCK and self.caption is not None:
+            self.caption.append(" ")
         if tag in MEDIA:
             self.flush()
             a = dict(attrs)
@@ -67,6 +81,7 @@ class _Sequence(HTMLParser):
             if self.figure is not None:
                 self.figure.append(len(self.items) - 1)
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in BLOCK:
@@ -80,12 +95,11 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure or []:
-                self.items[k]["caption"] = text
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in BLOCK:
+            if tag == "figure":
+                self.end_caption()
             self.flush()
             if tag == "figure":
                 self.figure = None
@@ -100,6 +114,7 @@ def sequence(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
+    parser.end_caption()
     parser.flush()
     return [{"pos": k, **x} for k, x in enumerate(parser.items)]
 
