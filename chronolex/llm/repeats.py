@@ -36,7 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, materialise, mix, slices, sweep
@@ -151,9 +151,19 @@ class _Memo:
         self.table = [x[fresh] for x in both]
 
 
+def _number(key: str) -> Column:
+    """The id as a number; what is none, null too, comes after all numbers, and there rows are in the order of their hash."""
+    return F.coalesce(F.col(key).try_cast("long"), F.lit(LAST))
+
+
+def _row(text: str, key: str) -> Column:
+    """A hash of the text, and of an id that is no number."""
+    return F.xxhash64(F.col(text), F.when(F.col(key).try_cast("long").isNull(), F.col(key).cast("string")))
+
+
 def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """doc (the id, LAST for a null one), row (a hash of the text) and the text."""
-    return docs.select(F.coalesce(F.col(key), F.lit(LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    """doc (the id as a number), row (a hash of the text) and the text."""
+    return docs.select(_number(key).alias("doc"), _row(text, key).alias("row"), F.col(text).alias("text"))
 
 
 def stretch_table(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -422,7 +432,7 @@ def repeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def strip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, spans removed (start, end; maximal) and the kept bytes."""
     lists = repeated(docs, text, key).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("list"))
-    texts = docs.select(F.col(key), F.coalesce(F.col(key), F.lit(LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key), _number(key).alias("doc"), _row(text, key).alias("row"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in batches:
