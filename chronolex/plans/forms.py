@@ -19,7 +19,7 @@ from ..sources import formats
 from ..sources.adapters import cases, fold, having, logits, passages, queries, sources, table
 from ..sources.index import Index
 from ..sources.keyed import Keyed, Ordered
-from ..sources.store import drop, shared_dir
+from ..sources.store import Scratch, drop, shared_dir, written
 from .alignment import identity
 from .evaluation import MEAN, TOKENS
 from .retrieval import BASE, POSTINGS, PRE, SALIENT, _scored, retrieved
@@ -184,16 +184,17 @@ def s24_index_grown(spark, sf_dir):
     return _index_facts(Index(spark, at))
 
 
-@register("s25_model_kept")
+@register("s25_model_kept", having("cases") + " SELECT count(*) AS n, true AS equal, 1 AS strengths FROM cases WHERE label IS NOT NULL AND split = 'test'")
 def s25_model_kept(spark, sf_dir):
-    """The outcome baseline saved and loaded: predictions of the loaded model against those of the fitted one."""
+    """The outcome baseline saved and loaded: margins of the loaded model against those of the fitted one."""
     c = cases(spark, sf_dir).filter("label is not null").select("id", "split", "text", "label")
-    model = outcome.train(c.filter("split = 'train'"), 1.0)
-    at = _folder(spark, "model")
-    model.save(at)
-    test = c.filter("split = 'test'")
-    a, b = model.predict(test).select("id", "guess"), outcome.Model.load(at).predict(test).select("id", F.col("guess").alias("again"))
-    return a.join(b, "id", "full").agg(F.count("*").alias("n"), F.bool_and(F.col("guess").eqNullSafe(F.col("again"))).alias("equal"))
+    at, test = _folder(spark, "model"), c.filter("split = 'test'")
+    with Scratch(spark) as scratch:
+        outcome.train(c.filter("split = 'train'"), scratch, strengths=(1.0,)).save(at)
+        again = outcome.train(c.filter("split = 'train'"), scratch, strengths=(1.0,))
+        a, b = again.margins(test, "id"), outcome.Model.load(spark, at).margins(test, "id").withColumnRenamed("m0", "again")
+        near = F.bool_and(F.coalesce(F.abs(F.col("m0") - F.col("again")) < 1e-6, F.lit(False)))
+        return written(a.join(b, "id", "full").agg(F.count("*").alias("n"), near.alias("equal"), F.lit(1).alias("strengths")), "kept")
 
 
 # --- scalar functions -------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 
 from pyspark.sql import Window
@@ -11,10 +12,11 @@ from ..functions import text as T
 from ..operators import metrics as M
 from ..operators import outcome
 from ..operators import sampling as S
+from ..operators.outcome import STRENGTHS
 from ..registry import register
 from ..sources import formats
 from ..sources.adapters import cases, having, passages, sources, table
-from ..sources.store import shared_dir
+from ..sources.store import Scratch, drop, shared_dir, written
 from ..streaming import ingest
 
 
@@ -238,15 +240,83 @@ def m01_tfidf_document_frequency(spark, sf_dir):
 @register("m03_outcome_baseline")
 def m03_outcome_baseline(spark, sf_dir):
     c = cases(spark, sf_dir).filter("label is not null").select("id", "split", "text", "label")
-    best, rows = outcome.select(*[c.filter(F.col("split") == s) for s in ("train", "validation", "test")])
-    return M.confusion(rows, "label", "guess").withColumn("strength", F.lit(best))
+    with Scratch(spark) as scratch:
+        best, rows = outcome.select(*[c.filter(F.col("split") == s) for s in ("train", "validation", "test")], scratch)
+        return written(M.confusion(rows, "label", "guess").withColumn("strength", F.lit(best)), "baseline")
+
+
+FIXED = ("the", "and", "of")
+"""Terms of the small baseline, which SQL can solve."""
+
+STEPS = 1500
+LABELLED = r"lab AS (SELECT id, split, label, list_filter(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2) AS w FROM cases WHERE label IS NOT NULL)"
+
+
+def _fit_sql(name: str, where: str) -> str:
+    """Vectors of some rows in list columns, and accelerated descent on them for all strengths, until nothing moves."""
+    k = len(FIXED)
+    seen = [f"len(list_filter(w, lambda t: t = '{t}'))" for t in FIXED]
+    tfidf = ", ".join(f"CASE WHEN tf[{i + 1}] > 0 THEN (1 + ln(tf[{i + 1}])) * (ln((1 + n) / (1 + df[{i + 1}])) + 1) ELSE 0 END" for i in range(k))
+    dot = lambda a, b: " + ".join(f"{a}[{i + 1}] * {b}[{i + 1}]" for i in range(k + 1))
+    return f"""{name}_tf AS (SELECT id, label, [{', '.join(seen)}] AS tf FROM lab WHERE {where}),
+ {name}_n AS (SELECT count(*) AS n, [{', '.join(f'sum((tf[{i + 1}] > 0)::INT)' for i in range(k))}] AS df FROM {name}_tf),
+ {name}_raw AS (SELECT id, 2.0 * label - 1 AS y, n, [{tfidf}] AS x FROM {name}_tf, {name}_n),
+ {name}_x AS (SELECT y, n, list_append(list_transform(x, lambda v: v / greatest(sqrt({' + '.join(f'x[{i + 1}] * x[{i + 1}]' for i in range(k))}), 1e-300)), 1.0::DOUBLE) AS x FROM {name}_raw),
+ {name}_w AS (SELECT 0 AS step, c, {[0.0] * (k + 1)}::DOUBLE[] AS w, {[0.0] * (k + 1)}::DOUBLE[] AS v FROM (VALUES {', '.join(f'({c}::DOUBLE)' for c in STRENGTHS)}) s(c)
+  UNION ALL SELECT step + 1, c, new AS w, list_transform(range(1, {k + 2}), lambda i: new[i] + momentum * (new[i] - w[i])) AS v
+  FROM (SELECT any_value(step) AS step, o.c, any_value(w) AS w, (1 - sqrt(any_value(q))) / (1 + sqrt(any_value(q))) AS momentum,
+   [{', '.join(f'any_value(v[{i + 1}]) - any_value(rate) * (sum(-y * x[{i + 1}] / (1 + exp(y * ({dot("x", "v")})))) / any_value(n) + any_value(v[{i + 1}]) / (o.c * any_value(n)))' for i in range(k + 1))}] AS new
+   FROM (SELECT *, 1 / (0.5 + 1 / (c * (SELECT n FROM {name}_n))) AS rate, 1 / (c * (SELECT n FROM {name}_n)) / (0.5 + 1 / (c * (SELECT n FROM {name}_n))) AS q FROM {name}_w) o, {name}_x GROUP BY o.c) WHERE step < {STEPS}),
+ {name}_fit AS (SELECT c, w FROM {name}_w WHERE step = {STEPS})"""
+
+
+@register("m02_strength_path", having("cases") + f", {LABELLED}, {_fit_sql('a', chr(39).join(['split = ', 'train', '']))} SELECT c AS strength, round(w[1], 4) AS w1, round(w[2], 4) AS w2, round(w[3], 4) AS w3, round(w[4], 4) AS constant, true AS converged FROM a_fit")
+def m02_strength_path(spark, sf_dir):
+    """The regression on three fixed terms under all strengths: weights in the order of the terms."""
+    c = cases(spark, sf_dir).filter("label is not null and split = 'train'").select("id", "text", "label")
+    with Scratch(spark) as scratch:
+        m = outcome.train(c, scratch, only=FIXED)
+        by_term = {r["term"]: r for r in m.table.collect()}  # three rows
+        rows = [(s, *(round(by_term[t][f"w{k}"] if t in by_term else 0.0, 4) for t in FIXED), round(m.constants[k], 4), m.norms[k] < 1e-6) for k, s in enumerate(m.strengths)]
+    return spark.createDataFrame(rows, "strength double, w1 double, w2 double, w3 double, constant double, converged boolean")
 
 
 @register("t01_streamed_chunks", having("pages", "passages") + " SELECT decision_year, count(*) AS n FROM passages GROUP BY decision_year")
 def t01_streamed_chunks(spark, sf_dir):
     """Chunks through the streaming ingest, each offered twice and kept once."""
     folder = f"{shared_dir(spark)}/ingest-{os.urandom(8).hex()}"
+    atexit.register(drop, spark, folder)
     p = passages(spark, sf_dir).select("chunk_id", F.concat(F.lit("S_"), "doc_id").alias("source_id"), "decision_year", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"), "text")
     p.unionByName(p).write.parquet(f"{folder}/in")
     ingest.append_to(ingest.distinct_chunks(ingest.read_chunks(spark, f"{folder}/in")), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema(ingest.CHUNKS).option("recursiveFileLookup", "true").parquet(f"{folder}/out").groupBy("decision_year").agg(F.count("*").alias("n"))
+
+
+@register("t02_latest_runs", "SELECT user_id || ':' || event_type AS key, event_id AS id, 3 AS orders FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def t02_latest_runs(spark, sf_dir):
+    """The latest event of each user and kind, kept by a stream that gets the events in three orders, four files of each one by one; in how many orders it comes out the same."""
+    folder = f"{shared_dir(spark)}/runs-{os.urandom(8).hex()}"
+    atexit.register(drop, spark, folder)
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
+    tables = []
+    for name, order in {"rising": F.col("at"), "falling": F.desc("at"), "mixed": F.xxhash64("id")}.items():
+        e.repartitionByRange(4, order).write.parquet(f"{folder}/{name}/in")
+        ingest.append_to(ingest.latest_runs(ingest.read_runs(spark, f"{folder}/{name}/in")), f"{folder}/{name}/out", f"{folder}/{name}/state", "update").awaitTermination()
+        changes = spark.read.schema(ingest.RUN).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}/out")
+        tables.append(ingest.newest(changes))
+    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
+    return every.groupBy("key", "id").agg(F.count("*").cast("int").alias("orders"))
+
+
+@register("t03_arrivals", having("pages", "passages") + " SELECT decision_year, time_bucket(INTERVAL 10 minutes, TIMESTAMP '2024-01-01' + to_minutes((doc_id % 500)::BIGINT), TIMESTAMP '2024-01-01') AS start, count(*) AS n FROM passages GROUP BY ALL")
+def t03_arrivals(spark, sf_dir):
+    """Chunks per ten minutes of their arrival and year, counted by a stream that gets them in two files."""
+    folder = f"{shared_dir(spark)}/arrivals-{os.urandom(8).hex()}"
+    atexit.register(drop, spark, folder)
+    minute = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") % 500).cast("int"))
+    p = passages(spark, sf_dir).select("chunk_id", F.concat(F.lit("S_"), "doc_id").alias("source_id"), "decision_year", (F.lit("2024-01-01 00:00:00").cast("timestamp") + minute).alias("arrived"), "text")
+    p.repartitionByRange(2, "arrived").write.parquet(f"{folder}/in")
+    counted = ingest.arrivals(ingest.read_chunks(spark, f"{folder}/in", 1), late="30 days")
+    ingest.append_to(counted, f"{folder}/out", f"{folder}/state", "update").awaitTermination()
+    changes = spark.read.schema("start timestamp, decision_year int, n long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    return changes.groupBy("decision_year", "start").agg(F.max("n").alias("n")).select("decision_year", F.col("start").cast("timestamp_ntz").alias("start"), "n")

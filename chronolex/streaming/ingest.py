@@ -28,10 +28,45 @@ def arrivals(stream: DataFrame, late: str = "1 hour", width: str = "10 minutes")
     return stream.withWatermark("arrived", late).groupBy(w.alias("w"), "decision_year").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "decision_year", "n")
 
 
-def append_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def append_to(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write each micro-batch under its epoch, so that a repeated one replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+RUN = "key string, at long, id long"
+
+
+def read_runs(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    return spark.readStream.schema(RUN).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+
+
+def latest_runs(stream: DataFrame) -> DataFrame:
+    """(key, at, id): the latest run of a key whenever a later one arrives; among runs of one time the greatest id.
+
+    The state of a key is the latest run seen, so a late row changes nothing and
+    rows may come in any order. It holds one row per key, for as long as the
+    stream's checkpoint lives.
+    """
+
+    def update(key, batches, state):
+        import pandas as pd
+
+        best = state.get if state.exists else None
+        new = best
+        for rows in batches:
+            top = rows.sort_values(["at", "id"]).iloc[-1]
+            new = max(new or (int(top["at"]), int(top["id"])), (int(top["at"]), int(top["id"])))
+        if new != best:
+            state.update(new)
+            yield pd.DataFrame({"key": [key[0]], "at": [new[0]], "id": [new[1]]})
+
+    return stream.select("key", "at", "id").groupBy("key").applyInPandasWithState(update, RUN, "at long, id long", "update", "NoTimeout")
+
+
+def newest(changes: DataFrame) -> DataFrame:
+    """The table that a log of changes of ``latest_runs`` stands for."""
+    return changes.groupBy("key").agg(F.max(F.struct("at", "id")).alias("r")).select("key", "r.at", "r.id")
