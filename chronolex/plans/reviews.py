@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as V
 from ..operators import metrics as M
+from ..operators import sampling as S
 from ..operators import validation as C
 from ..registry import register
 from ..sources.adapters import cases, fold, having, logits, queries, sources, table
@@ -247,10 +248,9 @@ def v14_comparable_experiments(spark, sf_dir):
     l = logits(spark, sf_dir)
     mean, vote = M.mean_pool(l).select("document", "label"), M.vote_pool(l).select("document", "label")
     made = [("mean", "facts-v1", mean), ("vote", "facts-v1", vote), ("part", "facts-v1", vote.filter("document % 10 <> 3")), ("other_rule", "facts-v2", mean)]
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("document", "label"))), lambda x: F.concat(x["document"], F.lit(":"), x["label"]))
     all_ = None
     for name, rule, rows in made:  # experiments; an evaluation set has one row a document
-        part = rows.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(rule).alias("rule"), "digest", "n")
+        part = S.digest(rows, F.concat("document", F.lit(":"), "label"), F.col("document")).select(F.lit(name).alias("name"), F.lit(rule).alias("rule"), "digest", "n")
         all_ = part if all_ is None else all_.unionByName(part)
     a, b = all_.alias("a"), all_.alias("b")
     same = [(F.col(f"a.{c}") == F.col(f"b.{c}")).alias(f"same_{d}") for c, d in (("rule", "rule"), ("digest", "ids"), ("n", "n"))]

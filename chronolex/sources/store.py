@@ -90,6 +90,7 @@ def stored_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[
     return _known[key][0]
 
 
-def forget() -> None:
-    """Build every table anew at its next use."""
-    _known.clear()
+def forget(*but: str) -> None:
+    """Build every table anew at its next use, except those of the names ``but``."""
+    for key in [k for k in _known if k[-1] not in but]:
+        del _known[key]
