@@ -30,6 +30,9 @@ NEAREST = 20
 TABLES = 16
 PROBES = 16
 ROUNDS = 3
+BLOCK_ROWS = 512
+"""Vectors that are turned together."""
+
 PART_ROWS = 4096
 HOT_SHARE = 1 << 16
 """A cell with over 1 / HOT_SHARE of all entries, and over PART_ROWS, is dealt to parts. There are at most HOT_SHARE such cells, whose list is broadcast."""
@@ -58,21 +61,25 @@ class Hashing:
     depth: int = 1
 
     def _turned(self, x: np.ndarray, table: int, turn: int) -> np.ndarray:
-        n = x.shape[1]
+        """Columns of ``x`` turned; a transform adds and subtracts whole rows of a block that fits the cache."""
+        n, m = x.shape
         signs = np.random.default_rng([0xC405, n, table, turn]).choice([-1.0, 1.0], (ROUNDS, n))
+        a, b = x.copy(), np.empty_like(x)
         for s in signs:
-            x, h = x * s, 1
+            a *= s[:, None]
+            h = 1
             while h < n:
-                y = x.reshape(len(x), n // (2 * h), 2, h)
-                x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-                h *= 2
-        return x
+                y, z = a.reshape(n // (2 * h), 2, h, m), b.reshape(n // (2 * h), 2, h, m)
+                np.add(y[:, 0], y[:, 1], out=z[:, 0])
+                np.subtract(y[:, 0], y[:, 1], out=z[:, 1])
+                a, b, h = b, a, 2 * h
+        return a
 
     def _padded(self, x: np.ndarray, last: np.ndarray | float) -> np.ndarray:
-        n = 1 << int(x.shape[1]).bit_length()
-        out = np.zeros((len(x), n))
-        out[:, : x.shape[1]] = x
-        out[:, x.shape[1]] = last
+        """Rows as columns, with one more coordinate, filled up to a power of two."""
+        out = np.zeros((1 << int(x.shape[1]).bit_length(), len(x)))
+        out[: x.shape[1]] = x.T
+        out[x.shape[1]] = last
         return out
 
     def _cell(self, group: int, table: int, codes: list[np.ndarray], n: int) -> np.ndarray:
@@ -84,36 +91,40 @@ class Hashing:
     def cells(self, x: np.ndarray, band: int) -> np.ndarray:
         """(rows, tables): where vectors of one dimension and band lie."""
         group, most = self.groups[x.shape[1], band]
-        unit = x / most
-        padded = self._padded(unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1))))
-        n, out = padded.shape[1], []
-        for t in range(self.tables):
-            codes = []
-            for d in range(self.depth):
-                turned = self._turned(padded, t, d)
-                axis = np.abs(turned).argmax(axis=1)
-                codes.append(2 * axis + (turned[np.arange(len(x)), axis] < 0))
-            out.append(self._cell(group, t, codes, n))
-        return np.stack(out, axis=1)
+        out = np.zeros((len(x), self.tables), np.int64)
+        for at in range(0, len(x), BLOCK_ROWS):
+            unit = x[at : at + BLOCK_ROWS] / most
+            padded = self._padded(unit, np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1))))
+            n = len(padded)
+            for t in range(self.tables):
+                codes = []
+                for d in range(self.depth):
+                    turned = self._turned(padded, t, d)
+                    axis = np.abs(turned).argmax(axis=0)
+                    codes.append(2 * axis + (turned[axis, np.arange(len(unit))] < 0))
+                out[at : at + BLOCK_ROWS, t] = self._cell(group, t, codes, n)
+        return out
 
     def looked_up(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables * probes * bands): cells that queries of one dimension look into, nearest axes first in each table."""
+        return np.concatenate([self._near(x[at : at + BLOCK_ROWS]) for at in range(0, len(x), BLOCK_ROWS)])
+
+    def _near(self, x: np.ndarray) -> np.ndarray:
         padded = self._padded(x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None], 0.0)
-        n, out = padded.shape[1], []
+        n, out = len(padded), []
         most = min(self.probes, 2 * n)
+        combined = np.array(list(product(range(most), repeat=self.depth)))
         for t in range(self.tables):
             near, far = [], []
             for d in range(self.depth):
-                turned = self._turned(padded, t, d)
+                turned = self._turned(padded, t, d).T
                 signed = np.stack([turned, -turned], axis=2).reshape(len(x), 2 * n)
                 near.append(np.argsort(-signed, axis=1, kind="stable")[:, :most])
                 far.append(np.take_along_axis(signed, near[-1], axis=1))
-            combined = list(product(range(most), repeat=self.depth))
-            closeness = sum(far[d][:, [c[d] for c in combined]] for d in range(self.depth))
+            closeness = sum(far[d][:, combined[:, d]] for d in range(self.depth))
             best = np.argsort(-closeness, axis=1, kind="stable")[:, : self.probes]
-            for group in [g for (dim, _), (g, _) in self.groups.items() if dim == x.shape[1]]:
-                codes = [np.take_along_axis(near[d], np.asarray([c[d] for c in combined])[best], axis=1) for d in range(self.depth)]
-                out.append(self._cell(group, t, codes, n))
+            codes = [np.take_along_axis(near[d], combined[:, d][best], axis=1) for d in range(self.depth)]
+            out += [self._cell(group, t, codes, n) for (dim, _), (group, _) in self.groups.items() if dim == x.shape[1]]
         return np.concatenate(out, axis=1)
 
 
