@@ -16,8 +16,10 @@ Rows are told apart by segment and place in it, never by id: repeated, clashing
 and null ids stay rows of their own. Ids may be of any type. A very long text
 makes a segment of its own.
 
-Null or wordless texts have no words and are never hit; repeated items are
-each reported; items without words match nothing; what an item without an id
+Null or wordless texts have no words and are never hit; an item id that repeats
+is reported once, whichever of its texts occurs; repeated documents are each
+reported; an empty table gives no rows; terms are compared by 64-bit hashes, never
+as words; items without words match nothing; what an item without an id
 covers is hit, but no item is named for it. Extra columns are ignored.
 """
 

@@ -18,8 +18,13 @@ Neighbours are found by rank in one global order of (host, path), so a host
 with a third of all pages is spread like any other; only hashes of lines travel.
 Pages with one path are one page for pairing; pages without a host have no
 neighbour. Alignment takes memory in proportion to the lines of a page, however
-many there are. Null html is an empty page. Repeated rows get equal texts. Extra
+many there are. Null html is an empty page; an empty table gives no rows; a very
+long page is parsed whole by one task. Repeated rows get equal texts. Extra
 columns are ignored.
+
+A name tells of furniture by any of its parts, unless another part says that the
+page is with, without or free of such a block. An article element ends the mark of
+a form around it, a main element that of anything.
 """
 
 from __future__ import annotations

@@ -24,7 +24,9 @@ smaller doc_id, or in the same document further left).
    windows are compared by two 64-bit hashes in a distributed sort instead.
 
 A document is looked at in slices that overlap by LENGTH - 1 bytes, so length is
-no limit. Null text is empty; texts shorter than LENGTH lose nothing. Rows come
+no limit. Null and empty texts have no bytes and no spans; texts shorter than
+LENGTH lose nothing; an empty table gives no rows. Of equal strings at one id the
+one further left is the first. Rows come
 in the order of their ids, null last; rows of one id, or without one, in the
 order of a hash of the text, each a document of its own. Rows that repeat both id
 and text are one document and lose the same bytes. Extra columns are ignored.
