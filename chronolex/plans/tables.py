@@ -310,13 +310,14 @@ def t02_latest_runs(spark, sf_dir):
 
 @register("t03_arrivals", having("pages", "passages") + " SELECT decision_year, time_bucket(INTERVAL 10 minutes, TIMESTAMP '2024-01-01' + to_minutes((doc_id % 500)::BIGINT), TIMESTAMP '2024-01-01') AS start, count(*) AS n FROM passages GROUP BY ALL")
 def t03_arrivals(spark, sf_dir):
-    """Chunks per ten minutes of their arrival and year, counted by a stream that gets them in two files."""
+    """Chunks per ten minutes of their arrival and year, counted by a stream that gets them in two batches of files."""
     folder = f"{shared_dir(spark)}/arrivals-{os.urandom(8).hex()}"
     atexit.register(drop, spark, folder)
     minute = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") % 500).cast("int"))
     p = passages(spark, sf_dir).select("chunk_id", F.concat(F.lit("S_"), "doc_id").alias("source_id"), "decision_year", (F.lit("2024-01-01 00:00:00").cast("timestamp") + minute).alias("arrived"), "text")
-    p.repartitionByRange(2, "arrived").write.parquet(f"{folder}/in")
-    counted = ingest.arrivals(ingest.read_chunks(spark, f"{folder}/in", 1), late="30 days")
+    files = max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # no task holds a part of the table that grows with its share of two
+    p.repartition(files, "chunk_id").write.parquet(f"{folder}/in")
+    counted = ingest.arrivals(ingest.read_chunks(spark, f"{folder}/in", (files + 1) // 2), late="30 days")
     ingest.append_to(counted, f"{folder}/out", f"{folder}/state", "update").awaitTermination()
     changes = spark.read.schema("start timestamp, decision_year int, n long").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     return changes.groupBy("decision_year", "start").agg(F.max("n").alias("n")).select("decision_year", F.col("start").cast("timestamp_ntz").alias("start"), "n")
