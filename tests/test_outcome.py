@@ -76,3 +76,12 @@ def test_latest_runs_in_any_order(spark, tmp_path):
         log = spark.read.schema(ingest.RUN).option("recursiveFileLookup", "true").parquet(str(tmp_path / name / "out"))
         assert {r["key"]: (r["at"], r["id"]) for r in ingest.newest(log).collect()} == want
         assert log.filter(F.col("at") == -1).count() == 0
+
+
+def test_a_kept_model_is_compared_with_the_fit_that_was_saved(spark, smoke_dir, monkeypatch):
+    from chronolex import plans, registry  # noqa: F401
+    from chronolex.operators import outcome as O
+
+    fit, fits = O.train, []
+    monkeypatch.setattr(O, "train", lambda *a, **k: fits.append(fit(*a, **k)) or fits[-1])
+    assert registry.QUERIES["s25_model_kept"](spark, smoke_dir).first()["equal"] and len(fits) == 1
