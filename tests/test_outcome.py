@@ -85,3 +85,17 @@ def test_a_kept_model_is_compared_with_the_fit_that_was_saved(spark, smoke_dir,
     fit, fits = O.train, []
     monkeypatch.setattr(O, "train", lambda *a, **k: fits.append(fit(*a, **k)) or fits[-1])
     assert registry.QUERIES["s25_model_kept"](spark, smoke_dir).first()["equal"] and len(fits) == 1
+
+
+@pytest.mark.parametrize("most", [2_000_000, 5, 1])
+def test_terms_are_counted_in_their_row(spark, monkeypatch, most):
+    monkeypatch.setattr(outcome, "PAIRS", most)
+    made = [(1, "aa bb aa bb c"), (2, None), (3, ""), (4, "bb aa"), (None, "Été ete x été")]
+    rows = spark.createDataFrame(made, "id long, text string")
+    found = outcome.frequencies(rows, "id")
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(1, "aa", 2), (1, "bb", 2), (1, "aa bb", 2), (1, "bb aa", 1), (4, "aa", 1), (4, "bb", 1), (4, "bb aa", 1), (None, "ete", 3), (None, "ete ete", 2)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert {tuple(r) for r in outcome.frequencies(rows, "id", only=("bb aa", "ete", "gone")).collect()} == {(1, "bb aa", 1), (4, "bb aa", 1), (None, "ete", 3)}
+    known = {(t, sum(x[1] == t for x in want), sum(x[2] for x in want if x[1] == t)) for t in {x[1] for x in want}}
+    assert {tuple(r) for r in outcome.known_terms(rows).collect()} == known
