@@ -15,8 +15,8 @@ probability of being right, at most 1 / (languages + 1) for text unlike all of
 them. ``rejected`` marks scores under the threshold that kept errors below
 REJECT on the calibration rows.
 
-Learning uses rows with crc32 remainder 0 and 1, calibration a bounded sample
-of remainder 3. Null text or text without a letter is `und` with score 0, as is
+Learning uses rows with crc32 remainder 0 and 1, calibration all labelled ones
+of remainder 3, counted by steps of GRID where they lie. Null text or text without a letter is `und` with score 0, as is
 everything when nothing could be learned. Ties go to the first language by
 name. Null languages are not learned from; repeated rows count as often as they
 occur. A very long text is one row of a chunk of its own size. An empty table
@@ -39,7 +39,8 @@ from .common import held_out, materialise, scratch, slices, sweep
 
 ORDER = 4
 DISCOUNT = 0.75
-CALIBRATE = 20_000
+GRID = 4096
+"""Steps of a margin or cross-entropy x that calibration rows are counted by, in each unit of ln(1 + x): a quarter of a thousandth of the value, so counts of any number of rows are few."""
 REJECT = 0.01
 CHUNK_BYTES = 16 << 20
 UNLIKE = 0.5
@@ -286,7 +287,7 @@ def margin(cross: np.ndarray, size: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     some = docs.select(key, text, F.col(lang).cast("string").alias(lang))
     model = learn(chunks(some.filter(fold_of(key) < 2), text, F.col(lang)))
-    _calibrate(model, crosses(chunks(some.filter(sampled(some, text, lang, key)), text), model, T.StructType([some.schema[lang]]), text), lang)
+    _calibrate(model, crosses(chunks(some.filter(calibrating(text, lang, key)), text), model, T.StructType([some.schema[lang]]), text), lang)
     return model
 
 
@@ -356,27 +357,55 @@ def crosses(chunked: DataFrame, model: Model, keep: T.StructType, text: str = "t
     return chunked.select("chunk", "rows").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(meet, schema)
 
 
-def sampled(docs: DataFrame, text: str, lang: str, key: str) -> Column:
-    """Which rows calibrate: at most about CALIBRATE labelled ones."""
-    labelled = (fold_of(key) == 3) & F.col(lang).isNotNull() & F.col(text).isNotNull()
-    share = min(1.0, CALIBRATE / max(docs.filter(labelled).count(), 1))
-    return labelled & F.coalesce(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(share * 1_000_000), F.lit(False))
+def calibrating(text: str, lang: str, key: str) -> Column:
+    """Which rows calibrate: all labelled ones of their fold."""
+    return (fold_of(key) == 3) & F.col(lang).isNotNull() & F.col(text).isNotNull()
+
+
+def _counted(model: Model, seen: DataFrame, lang: str) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration rows by steps of GRID: (margin: mean, least, greatest, right rows, wrong rows) and (least cross-entropy: mean, rows), rising.
+
+    Rows are counted in tasks and summed by step, so the driver gets one row per step.
+    """
+    langs, grid = model.langs, GRID
+
+    def run(batches):
+        for batch in batches:
+            cross, size, letters = _arrays(batch, len(langs))
+            right = np.array([langs[b] == t for b, t in zip(cross.argmin(axis=1), batch.column(lang).to_pylist(), strict=True)], bool) & (letters > 0)
+            for kind, x in enumerate((margin(cross, size), cross.min(axis=1))):
+                step, at, n = np.unique(np.floor(np.log1p(x) * grid).astype(np.int64), return_inverse=True, return_counts=True)
+                low, high = np.full(len(step), np.inf), np.full(len(step), -np.inf)
+                np.minimum.at(low, at, x)
+                np.maximum.at(high, at, x)
+                ok = np.bincount(at, weights=right, minlength=len(step)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(step), kind, np.int32)), pa.array(step), pa.array(n), pa.array(ok), pa.array(np.bincount(at, weights=x, minlength=len(step))), pa.array(low), pa.array(high)], ["kind", "step", "n", "ok", "x", "low", "high"])
+
+    parts = seen.select(lang, "_cross", "_n_units", "_n_letters").mapInArrow(run, "kind int, step long, n long, ok long, x double, low double, high double")
+    rows = parts.groupBy("kind", "step").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "x")], F.min("low").alias("low"), F.max("high").alias("high")).orderBy("kind", "step").toArrow()
+    kind, n, ok, x, low, high = (np.asarray(rows[c].combine_chunks()) for c in ("kind", "n", "ok", "x", "low", "high"))
+    mean, m, c = np.clip(x / np.maximum(n, 1), low, high), kind == 0, kind == 1
+    return np.stack([mean[m], low[m], high[m], ok[m], (n - ok)[m]]), np.stack([mean[c], n[c]])
+
+
+def _quantile(x: np.ndarray, n: np.ndarray, share: float) -> float:
+    """As ``np.quantile`` of each ``x``, rising, ``n`` times."""
+    at = share * (n.sum() - 1)
+    low, high = (x[np.searchsorted(np.cumsum(n), end, side="right")] for end in (np.floor(at), np.ceil(at)))
+    return float(low + (high - low) * (at - np.floor(at)))
 
 
 def _calibrate(model: Model, seen: DataFrame, lang: str) -> None:
     """Platt scaling of the margin, and the least score whose errors stay below REJECT."""
-    seen = seen.select(lang, "_cross", "_n_units", "_n_letters").toArrow() if model.langs else None
-    if seen is None or not seen.num_rows:
+    if not model.langs:
+        return
+    (m, least, most, good, bad), (cross, n) = _counted(model, seen, lang)
+    if not len(m):
         return
-    cross, size, letters = _arrays(seen, len(model.langs))
-    right = [model.langs[b] == t for b, t in zip(cross.argmin(axis=1), seen[lang].to_pylist(), strict=True)]
-    m, ok = margin(cross, size), np.asarray(right) & (letters > 0)
-    model.ceiling = float(np.quantile(cross.min(axis=1), 0.999)) + UNLIKE
-    good, bad = ok.sum(), (~ok).sum()
-    target = np.where(ok, (good + 1) / (good + 2), 1 / (bad + 2))
+    model.ceiling = _quantile(cross, n, 0.999) + UNLIKE
     # two languages with no margin between them are even; a hundredth of the rows says so
-    x, mass = np.r_[m, 0.0], np.r_[np.ones(len(m)), max(10.0, len(m) / 100)]
-    target = np.r_[target, 0.5]
+    x, mass = np.r_[m, m, 0.0], np.r_[good, bad, max(10.0, n.sum() / 100)]
+    target = np.r_[np.full(len(m), (good.sum() + 1) / (good.sum() + 2)), np.full(len(m), 1 / (bad.sum() + 2)), 0.5]
     a, b = 1.0, 0.0
     for _ in range(60):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
@@ -386,9 +415,10 @@ def _calibrate(model: Model, seen: DataFrame, lang: str) -> None:
         size = min(1.0, 2 / max(np.abs(step).max(), 1e-9))
         a, b = a - size * step[0], b - size * step[1]
     model.slope, model.shift = float(a), float(b)
-    score = model.calibrated(m)
+    # rows of one step are accepted together
+    score = np.minimum(model.calibrated(least), model.calibrated(most))
     order = np.argsort(-score, kind="stable")
-    wrong = np.cumsum(~ok[order]) / np.arange(1, len(ok) + 1)
+    wrong = np.cumsum(bad[order]) / np.cumsum((good + bad)[order])
     fine = np.flatnonzero(wrong <= REJECT)
     model.threshold = float(score[order[fine[-1]]]) if len(fine) else 1.0
 
@@ -420,11 +450,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     some = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    some = some.withColumn("sampled", sampled(some, "text", "lang", "doc_id"))
+    some = some.withColumn("calibrates", F.coalesce(calibrating("text", "lang", "doc_id"), F.lit(False)))
     with scratch() as keep:
         chunked = chunks(some, learn=F.when(fold_of("doc_id") < 2, F.col("lang")))
         model = learn(chunked)
-        found = materialise(crosses(chunked, model, some.select("doc_id", "lang", "sampled").schema), "crosses")
+        found = materialise(crosses(chunked, model, some.select("doc_id", "lang", "calibrates").schema), "crosses")
         keep(found)
-    _calibrate(model, found.filter("sampled"), "lang")
-    return _named(found.drop("lang", "sampled"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+    _calibrate(model, found.filter("calibrates"), "lang")
+    return _named(found.drop("lang", "calibrates"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

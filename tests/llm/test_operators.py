@@ -608,6 +608,32 @@ def test_language_held_out(spark, edge, none):
     assert langid.report(none.withColumn("lang", F.lit("xx"))).collect() == []
 
 
+def test_language_calibration_takes_all_rows(spark):
+    """Counts by steps give what the rows give, and none of 30,000 rows is left out."""
+    docs = spark.range(120_000).selectExpr("id AS doc_id", "'abra' AS text", "if(id % 10 = 0, null, 'xx') AS lang")
+    want = sum(zlib.crc32(str(k).encode()) % 4 == 3 and k % 10 > 0 for k in range(120_000))
+    assert want > 25_000 and docs.filter(langid.calibrating("text", "lang", "doc_id")).count() == want
+    rng = np.random.default_rng(3)
+    cross, size = rng.gamma(4, 0.6, (4000, 3)), rng.integers(1, 60, 4000)
+    right = rng.random(4000) < 1 / (1 + np.exp(-langid.margin(cross, size)))
+    model = langid.Model(["xx", "yy", "zz"])
+    rows = [(model.langs[(c.argmin() + (not ok)) % 3], c.tolist(), int(n), 1) for c, n, ok in zip(cross, size, right, strict=True)]
+    langid._calibrate(model, spark.createDataFrame(rows, "lang string, _cross array<double>, _n_units long, _n_letters long"), "lang")
+    assert np.isclose(model.ceiling, np.quantile(cross.min(axis=1), 0.999) + langid.UNLIKE, atol=2e-3)
+    m = langid.margin(cross, size)
+    target = np.r_[np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2)), 0.5]
+    x, mass, a, b = np.r_[m, 0.0], np.r_[np.ones(4000), 40.0], 1.0, 0.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
+        d, w = mass * (p - target), mass * (p * (1 - p) + 1e-9)
+        step = np.linalg.solve([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum()]], [(d * x).sum() + 1e-3 * a, d.sum()])
+        step *= min(1.0, 2 / max(np.abs(step).max(), 1e-9))
+        a, b = a - step[0], b - step[1]
+    assert np.allclose([model.slope, model.shift], [a, b], atol=2e-3)
+    kept = model.calibrated(m) >= model.threshold
+    assert kept.any() and (~right)[kept].mean() <= langid.REJECT
+
+
 def test_kneser_ney_sums_to_one(spark):
     table = spark.createDataFrame([(k, "abra cadabra banana " * 3, "xx") for k in range(9)], "doc_id long, text string, lang string")
     model = langid.fit(table)
