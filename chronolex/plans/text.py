@@ -11,6 +11,7 @@ from ..operators import facts as X
 from ..operators import metrics as M
 from ..registry import register
 from ..sources.adapters import cases, fold, having, pages, sources, table
+from ..sources.store import written
 
 
 def q(pattern: str) -> str:
@@ -167,7 +168,8 @@ def p17_ends_a_sentence(spark, sf_dir):
 @register("a10_facts_medians", FACTS + f" SELECT boundary_reason, count(*) AS n, median({WORDS.format('facts')}) AS kept_words, median({WORDS.format('text')}) AS source_words FROM facts GROUP BY boundary_reason")
 def a10_facts_medians(spark, sf_dir):
     f = X.extract(cases(spark, sf_dir))
-    sizes = f.select("boundary_reason", *[F.size(T.words(F.col(c))).alias(c) for c in ("facts", "text")])
+    # the texts are read once: what follows reads the counts five times
+    sizes = written(f.select("boundary_reason", *[F.size(T.words(F.col(c))).alias(c) for c in ("facts", "text")]), "facts-sizes")
     kept = M.percentiles(sizes, ["boundary_reason"], "facts", {"kept_words": 0.5}).drop("n").withColumnRenamed("boundary_reason", "_reason")
     source = M.percentiles(sizes, ["boundary_reason"], "text", {"source_words": 0.5}).drop("n").withColumnRenamed("boundary_reason", "_other")
     counts = sizes.groupBy("boundary_reason").agg(F.count("*").alias("n"))

@@ -131,6 +131,14 @@ def test_containment_join_verifies_few_pairs(spark):
         assert 10 * A.contained(q, s, scratch).candidates.count() < A.shared_phrases(q, s).count()
 
 
+def test_facts_are_cut_once(spark, smoke_dir):
+    """The medians read counts of words, not the texts again for every pass."""
+    from chronolex import plans, registry  # noqa: F401
+
+    plan = registry.QUERIES["a10_facts_medians"](spark, smoke_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not any(x in plan for x in ("rlike", "regexp", "split("))
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(4)
     rows = [(g, rng.choice([None, rng.gauss(0, 1), float(rng.randint(0, 3))])) for g in (None, "a", "b") for _ in range(3000)] + [("one", 5.0), ("none", None)] + [("same", 1.0)] * 500
