@@ -46,8 +46,7 @@ def cleaned(pages: DataFrame) -> DataFrame:
 
 def chunks(pages: DataFrame, words: int = CONFIG.chunk_words, most: int = CONFIG.chunk_sentences) -> DataFrame:
     """(doc_id, page, chunk, start, end, text): sentence-aligned passages of cleaned pages, by one fold per page."""
-    parts = T.sentences(F.col("text"))
-    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))
+    parts = T.bind(T.sentences(F.col("text")), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array("text")))
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"), F.lit(0).alias("words"))
 
     def step(state, sentence):
@@ -60,11 +59,12 @@ def chunks(pages: DataFrame, words: int = CONFIG.chunk_words, most: int = CONFIG
         )
 
     grouped = F.aggregate(parts, zero, step, lambda state: F.concat(state["out"], F.array(F.array_join(state["held"], " "))))
-    rows = pages.filter("text <> ''").select("doc_id", "page", "text", grouped.alias("parts"))
+    # a filter on the text or on what is exploded would be pushed down and clean and fold every page once more
+    rows = pages.select("doc_id", "page", F.when(F.col("text") != "", grouped).otherwise(F.array().cast("array<string>")).alias("parts"))
     # cleaned text has single spaces, so a passage starts one space after the last one's end
     sums = F.aggregate("parts", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.char_length(p) + 1)))
     starts = F.slice(sums, F.lit(1), F.size("parts"))
-    out = rows.select("doc_id", "page", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), starts.alias("start"))).alias("at", "c"))
+    out = rows.select("doc_id", "page", F.posexplode_outer(F.arrays_zip(F.col("parts").alias("text"), starts.alias("start"))).alias("at", "c")).filter("at is not null")
     return out.select("doc_id", "page", (F.col("at") + 1).alias("chunk"), F.col("c.start").alias("start"), (F.col("c.start") + F.char_length("c.text")).alias("end"), F.col("c.text").alias("text"))
 
 

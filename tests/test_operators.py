@@ -139,6 +139,16 @@ def test_facts_are_cut_once(spark, smoke_dir):
     assert not any(x in plan for x in ("rlike", "regexp", "split("))
 
 
+def test_pages_are_folded_once(spark, smoke_dir):
+    """No filter repeats the cleaning or the fold of a page; a page without text has no passage."""
+    from chronolex.operators import cleaning
+
+    some = spark.createDataFrame([(1, 1, ""), (1, 2, None), (1, 3, "One. Two.")], "doc_id long, page int, text string")
+    assert [tuple(r) for r in cleaning.chunks(some).collect()] == [(1, 3, 1, 0, 9, "One. Two.")]
+    plan = cleaning.chunks(cleaning.cleaned(adapters.pages(spark, smoke_dir)))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line.split("(")[0] and "aggregate(" in line for line in plan.split("\n"))
+
+
 def test_exact_percentiles(spark):
     rng = random.Random(4)
     rows = [(g, rng.choice([None, rng.gauss(0, 1), float(rng.randint(0, 3))])) for g in (None, "a", "b") for _ in range(3000)] + [("one", 5.0), ("none", None)] + [("same", 1.0)] * 500
