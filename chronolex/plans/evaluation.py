@@ -10,16 +10,18 @@ from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..registry import register
 from ..sources.adapters import having, logits, passages, queries, sources, table
-from ..sources.store import stored
+from ..sources.keyed import among
+from ..sources.store import stored, written
 from .retrieval import EXPECTED, SELECTED, candidates, expected, own_sources
 
 ALL = SELECTED
 EVIDENCE = """ev AS (SELECT pick.query_id, pick.query_year, position, 'E' || position AS evidence_id, pick.chunk_id, p.text, pick.doc_id, s.case_id, s.court, s.decision_year, p.page FROM pick JOIN passages p ON p.chunk_id = pick.chunk_id JOIN sources s ON s.doc_id = pick.doc_id)"""
 
 
-def _corpus(spark, sf_dir):
+def _corpus(spark, sf_dir, cited):
+    """Passages with their source's metadata, where their chunk_id may be one of ``cited``: texts that nothing cites are not moved."""
     s = sources(spark, sf_dir).select("doc_id", "case_id", "court", F.col("decision_year").alias("year"))
-    p = passages(spark, sf_dir).select("doc_id", "chunk_id", "page", "text")
+    p = among(passages(spark, sf_dir).select("doc_id", "chunk_id", "page", "text"), "chunk_id", cited)
     return p.join(s, "doc_id").withColumnRenamed("year", "decision_year")
 
 
@@ -27,7 +29,12 @@ def _run(spark, sf_dir):
     """(candidates, evidence with passages and metadata): the stored run of salient terms without the query's own judgment, and what is selected of it."""
     pre = candidates(spark, sf_dir)
     pick = R.diverse(pre).select("query_id", "query_year", "position", "chunk_id", "status")
-    return pre, stored(spark, sf_dir, "evidence", lambda: pick.join(_corpus(spark, sf_dir), "chunk_id"))
+
+    def build():
+        kept = written(pick, "picked")
+        return kept.join(_corpus(spark, sf_dir, kept), "chunk_id")
+
+    return pre, stored(spark, sf_dir, "evidence", build)
 
 
 LEVEL = "CASE WHEN count(ev.query_id) = 0 THEN 'insufficient' WHEN count(ev.query_id) = 1 THEN 'limited' ELSE 'multiple_selected_passages' END"
@@ -95,7 +102,7 @@ def v04_citation_checks(spark, sf_dir):
     for name in V.AUTHORITY:
         c = c.withColumn(f"law_{name}", F.col(name))
     c = c.withColumn("law_case_id", F.when(F.col("position") == 5, F.concat("case_id", F.lit("x"))).otherwise(F.col("case_id")))
-    done = V.verify(c, _corpus(spark, sf_dir), pre, own_sources(spark, sf_dir))
+    done = V.verify(c, _corpus(spark, sf_dir, c), pre, own_sources(spark, sf_dir))
     return done.select("query_id", "evidence_id", "chunk_id", F.array_join("failures", ",").alias("failures"), "passed")
 
 

@@ -12,7 +12,7 @@ from ..operators import sampling as S
 from ..operators import validation as C
 from ..registry import register
 from ..sources.adapters import cases, fold, having, logits, queries, sources, table
-from ..sources.store import stored
+from ..sources.store import stored, written
 from .evaluation import ALL, EVIDENCE, KEY, MEAN, VOTE, _corpus, _judged, _run, checked, own_sources, tampered
 from .retrieval import candidates, expected
 
@@ -159,7 +159,7 @@ def gated(spark, sf_dir):
     for name in V.AUTHORITY:
         c = c.withColumn(f"law_{name}", F.col(name))
     c = c.withColumn("law_case_id", F.when((F.col("position") == 5) & F.expr(SOME), F.concat("case_id", F.lit("x"))).otherwise(F.col("case_id")))
-    return V.verify(c, _corpus(spark, sf_dir), pre, own_sources(spark, sf_dir))
+    return V.verify(c, _corpus(spark, sf_dir, c), pre, own_sources(spark, sf_dir))
 
 
 GATED = f"{ALL}, {EVIDENCE}, {checked('s.' + SOME, SOME)}, gate AS (SELECT query_id, count(*) AS shown, sum((len(f) > 0)::INT)::BIGINT AS failed FROM chk GROUP BY query_id)"
@@ -229,8 +229,8 @@ def v13_replay_determinism(spark, sf_dir):
 
     row = lambda ev: ev.select("query_id", "position", F.sha2(F.concat_ws("|", "chunk_id", "doc_id", "text"), 256).alias("h"))
     kept = row(_run(spark, sf_dir)[1])
-    fresh = R.diverse(R.without(R.top_k(_scored(spark, sf_dir, "salient", True, CONFIG.top_k)), own_sources(spark, sf_dir))).select("query_id", "position", "chunk_id")
-    replay = row(fresh.join(_corpus(spark, sf_dir), "chunk_id"))
+    fresh = written(R.diverse(R.without(R.top_k(_scored(spark, sf_dir, "salient", True, CONFIG.top_k)), own_sources(spark, sf_dir))).select("query_id", "position", "chunk_id"), "fresh")
+    replay = row(fresh.join(_corpus(spark, sf_dir, fresh), "chunk_id"))
     altered = kept.withColumn("h", F.when(F.expr(LOST), F.sha2("h", 256)).otherwise(F.col("h")))
     again = [("replay", replay), ("tampered", altered), ("cut", kept.filter("position < 5"))]
     out = None

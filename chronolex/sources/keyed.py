@@ -17,6 +17,20 @@ from pyspark.sql import functions as F
 
 PAGE = 10_000
 
+BITS = 1 << 22
+"""Bits that tell which rows may have a wanted key: 512 KB, however many keys there are."""
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows whose ``key`` may be one of ``wanted``; few others stay. Neither table is shuffled, so a join after it moves few rows of ``rows``."""
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, bit = F.shiftright(at, 6).cast("int"), (at % 64).cast("int")
+    held = wanted.select(word.alias("word"), bit.alias("bit")).withColumn("bits", F.expr("shiftleft(1L, bit)")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = rows.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = held.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("all"))
+    of = F.get(words.select(F.col("all.bits")).scalar(), word)
+    return rows.filter(F.getbit(of, bit) == 1)
+
 
 class Keyed:
     def __init__(self, spark: SparkSession, name: str, key: str):

@@ -159,3 +159,25 @@ def test_few_terms_open_few_folders(spark, tmp_path):
     assert any("PartitionFilters" in line and "Subquery" in line for line in plan.splitlines())
     files = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
     assert len(files(found)) <= 2 < len(files(index.blocks()))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 22])
+def test_rows_among_wanted_keys(spark, bits):
+    """No wanted row is lost, few others stay, and the rows are not shuffled for it; without a wanted key none stays."""
+    from chronolex.sources.keyed import among
+
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), "id")
+    wanted = spark.range(0, 40_000, 1000).select(F.concat(F.lit("k"), "id").alias("k"))
+    got = {r["id"] for r in among(rows, "k", wanted, bits).collect()}
+    assert got >= set(range(0, 20_000, 1000)) and (bits == 64 or len(got) < 40)
+    assert among(rows, "k", wanted.limit(0), bits).count() == 0
+
+
+def test_evidence_does_not_move_the_corpus(spark, smoke_dir):
+    """Passages are left to those that are cited before they meet anything."""
+    from chronolex.plans import evaluation
+    from chronolex.sources.adapters import passages
+
+    cited = passages(spark, smoke_dir).filter("doc_id = 3").select("chunk_id")
+    held = evaluation._corpus(spark, smoke_dir, cited)
+    assert {r["doc_id"] for r in held.select("doc_id").collect()} >= {3} and held.count() < passages(spark, smoke_dir).count() / 10
