@@ -78,6 +78,17 @@ def test_latest_runs_in_any_order(spark, tmp_path):
         assert log.filter(F.col("at") == -1).count() == 0
 
 
+def test_latest_runs_are_reduced_without_a_call_for_each_key(spark, tmp_path):
+    """Keys grow with the table, and so would Python's calls; rows without a time come before all others."""
+    rows = [("a", None, 1), ("a", 5, 2), ("b", None, 3), (None, 1, 4)]
+    spark.createDataFrame(rows, ingest.RUN).coalesce(1).write.parquet(str(tmp_path / "in"))
+    latest = ingest.latest_runs(ingest.read_runs(spark, str(tmp_path / "in")))
+    assert "Pandas" not in latest._jdf.queryExecution().logical().toString()
+    ingest.append_to(latest, str(tmp_path / "out"), str(tmp_path / "state"), "update").awaitTermination()
+    log = spark.read.schema(ingest.RUN).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in ingest.newest(log).collect()} == {("a", 5, 2), ("b", None, 3), (None, 1, 4)}
+
+
 def test_a_kept_model_is_compared_with_the_fit_that_was_saved(spark, smoke_dir, monkeypatch):
     from chronolex import plans, registry  # noqa: F401
     from chronolex.operators import outcome as O
