@@ -110,3 +110,23 @@ def test_terms_are_counted_in_their_row(spark, monkeypatch, most):
     assert {tuple(r) for r in outcome.frequencies(rows, "id", only=("bb aa", "ete", "gone")).collect()} == {(1, "bb aa", 1), (4, "bb aa", 1), (None, "ete", 3)}
     known = {(t, sum(x[1] == t for x in want), sum(x[2] for x in want if x[1] == t)) for t in {x[1] for x in want}}
     assert {tuple(r) for r in outcome.known_terms(rows).collect()} == known
+
+
+@pytest.mark.parametrize("direct", [0, 64 << 20])
+def test_vectors_are_made_in_their_row(spark, rows, monkeypatch, direct):
+    """No term of a row is a row, neither for the fit nor for predictions; a strength that is done is not passed over again."""
+    monkeypatch.setattr(outcome, "DIRECT", direct)
+    passes, one = [], outcome._pass
+    monkeypatch.setattr(outcome, "_pass", lambda spark, vectors, w: passes.append(len(w)) or one(spark, vectors, w))
+    names, x, _ = dense(rows)
+    with Scratch(spark) as scratch:
+        m = outcome.train(rows, scratch)
+        assert max(m.norms) < 1e-6 and passes[0] == 3 and passes[-1] < 3
+        known = m.table.select("term", "at", "idf").toArrow()
+        made = outcome.vectors(rows, known, "id")
+        got = {r["id"]: (r["at"], r["x"]) for r in made.collect()}
+        for r, v in zip(rows.orderBy("id").collect(), x[:, :-1], strict=True):
+            assert got[r["id"]][0] == np.flatnonzero(v).tolist() and got[r["id"]][1] == pytest.approx(v[v > 0].tolist(), abs=1e-12)
+        for plan in (made, m.margins(rows, "id")):
+            shown = plan._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in shown and "Aggregate" not in shown
