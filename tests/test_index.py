@@ -181,3 +181,17 @@ def test_evidence_does_not_move_the_corpus(spark, smoke_dir):
     cited = passages(spark, smoke_dir).filter("doc_id = 3").select("chunk_id")
     held = evaluation._corpus(spark, smoke_dir, cited)
     assert {r["doc_id"] for r in held.select("doc_id").collect()} >= {3} and held.count() < passages(spark, smoke_dir).count() / 10
+
+
+def test_a_part_is_chosen_before_its_terms_are_counted(spark, smoke_dir, monkeypatch):
+    """Segments of a part of the chunks cut these only; filters stop at functions in Python."""
+    from chronolex import plans, registry  # noqa: F401
+    from chronolex.operators import retrieval as R
+
+    parts, make = [], R.chunk_vectors
+    monkeypatch.setattr(R, "chunk_vectors", lambda chunks: parts.append(chunks.count()) or make(chunks))
+    registry.QUERIES["s24_index_grown"](spark, smoke_dir)
+    from chronolex.sources.adapters import passages
+
+    n = passages(spark, smoke_dir).count()
+    assert len(parts) == 4 and max(parts) < 0.7 * n and sum(parts) < 1.3 * n
